@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import near, repetition
+from quire.llm import decontamination, near, repetition, substring
 from quire.llm.session import table
 
 
@@ -21,8 +21,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.where(f"repeated_fraction <= {repetition.MAX_COVERED} AND longest_repeat <= {repetition.MAX_LONGEST}")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, ...): every overlap of a document with a benchmark item."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every document that occurred before, with the document that has the first occurrence."""
+    return substring.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash_near_dedup, op6_quality_rules]
+    named = [op2_simhash_near_dedup, op6_quality_rules, op7_benchmark_decontamination, op9_substring_dedup]
     return {f.__name__: f for f in named}
 
 
