@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import decontamination, near, repetition, substring
+import corpus_pipeline
+from quire.llm import decontamination, near, packing, pieces, repetition, substring
 from quire.llm.session import table
 
 
@@ -15,6 +16,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every conversation is placed: its turns are its segments, the assistant's tokens bear loss."""
+    turns = pieces.with_token_counts(table(spark, sf_dir, "conversations"), keep=["conv_id", "role"])
+    loss = F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)
+    examples = turns.groupBy("conv_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_turns"), F.sum(loss).alias("n_loss"))
+    return packing.pack(examples, "conv_id", "n_tokens", "n_turns", "n_loss")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens): the greedy pieces of every document."""
+    return pieces.with_token_counts(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the repetition rules keep, with their scores."""
     scores = repetition.repetition_scores(table(spark, sf_dir, "documents"))
@@ -32,8 +46,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash_near_dedup, op6_quality_rules, op7_benchmark_decontamination, op9_substring_dedup]
-    return {f.__name__: f for f in named}
+    named = [op2_simhash_near_dedup, op4_packing, op5_token_counts, op6_quality_rules, op7_benchmark_decontamination, op9_substring_dedup]
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
