@@ -223,5 +223,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if repeated.isEmpty():
         return kept
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = kept.join(repeated, id_col, "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").select(docs.columns)
+    row = shared.fresh(docs.columns, "__row")
+    one = kept.join(repeated, id_col, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(docs.columns)
     return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(one)

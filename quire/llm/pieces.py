@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm import words as W
+from quire.llm import shared, words as W
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # begins the first piece of a word
@@ -150,7 +150,8 @@ def with_token_counts(docs: DataFrame, text_col: str = "text", count_col: str =
     matter; a column called like count_col is replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ((text_col, count_col) if keep is None else (count_col,))]
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    own = shared.fresh(keep, "__text")
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(own))
     at = len(keep)
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(load_vocabulary(vocabulary)))
 
@@ -159,4 +160,4 @@ def with_token_counts(docs: DataFrame, text_col: str = "text", count_col: str =
         for batch in W.slices(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(count(batch.column(at)))], [*keep, count_col])
 
-    return given.mapInArrow(run, given.drop("__text").withColumn(count_col, F.lit(0).cast("bigint")).schema)
+    return given.mapInArrow(run, given.drop(own).withColumn(count_col, F.lit(0).cast("bigint")).schema)

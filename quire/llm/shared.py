@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or name with underscores behind it, such that no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by written()."""
     for file in df.inputFiles()[:1]:

@@ -182,10 +182,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut and has no word left goes; documents that aren't cut stay as they are, empty ones and null ids included.
     """
     spans = shared.written(repeated_spans(docs, id_col, text_col, k, m), "spans")
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
+    own, cuts = shared.fresh(docs.columns, "__id"), shared.fresh(docs.columns, "__spans")
+    lists = spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts))
     size = docs.columns.index(size_col) if size_col in docs.columns else None
     at, columns = docs.columns.index(text_col), docs.columns
-    joined = docs.join(lists, F.col(id_col).cast("bigint") == F.col("__id"), "left").select(*columns, "__spans")
+    joined = docs.join(lists, docs[id_col].cast("bigint") == lists[own], "left").select(*columns, cuts)
     kind = docs.schema[columns[size]].dataType.simpleString() if size is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,7 +139,8 @@ def token_ids(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     """
     ours = ("n_tokens", "token_ids")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ours and (keep is not None or c != text_col)]
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+    own = shared.fresh(keep, "__text")
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(own))
     table = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks))
     at = len(keep)
 
@@ -150,7 +151,7 @@ def token_ids(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(first)), lists], [*keep, *ours])
 
-    schema = given.drop("__text").withColumn("n_tokens", F.lit(0).cast("bigint")).withColumn("token_ids", F.array(F.lit(0))).schema
+    schema = given.drop(own).withColumn("n_tokens", F.lit(0).cast("bigint")).withColumn("token_ids", F.array(F.lit(0))).schema
     return given.mapInArrow(run, schema)
 
 

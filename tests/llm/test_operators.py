@@ -1,0 +1,377 @@
+"""The operators and pipeline stages over Spark: brute force on small tables, and nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
+import corpus_pipeline
+from quire.llm import decontamination, near, packing, pieces, queries, repetition, roles, shared, substring, templates, tokens, urls
+
+R = random.Random(5)
+WORDS = ["".join(R.choice("abcdefgh") for _ in range(R.randint(2, 6))) for _ in range(4000)]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+ITEM = "which of these seven rivers flows north through the old capital before it meets the sea near delta town"
+
+
+def text(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def edit(t, n, seed):
+    r, w = random.Random(seed), t.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = r.choice(WORDS)
+    return " ".join(w)
+
+
+PASSAGE = text(70, "passage")
+CASES = [
+    (1, text(200, 1)),
+    (2, text(200, 1)),  # exact copy of 1
+    (3, edit(text(200, 1), 4, 3)),  # near copy of 1
+    (4, text(120, 4) + " " + PASSAGE + " " + text(60, 5)),
+    (5, PASSAGE + " " + text(150, 6)),
+    (6, text(90, 7) + " " + ITEM + " " + text(50, 8)),  # leak
+    (7, text(90, 9) + " " + ITEM.replace("seven", "nine").replace("capital", "port") + " " + text(50, 10)),  # leak with substitutions
+    (8, "spam spam spam spam eggs " * 40),  # repetition
+    (9, ""),
+    (10, None),
+    (11, " \n\t "),
+    (12, "one"),
+    (13, "one two"),
+    (14, text(30_000, 14)),  # very long
+    (None, text(200, 15)),
+    (None, None),
+    (16, "... !!! ???"),
+    (17, "x" * 100_000),
+    (18, text(80, 18)),
+    (18, text(80, 18)),  # a repeated row
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, None if i == 12 else "en", "s", None if t is None else len(t)) for i, t in CASES], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    rows = [(1, ITEM), (1, ITEM), (2, None), (None, ITEM), (3, ""), (4, "too short"), (5, "exactly five words is enough")]
+    return spark.createDataFrame(rows, "item_id bigint, text string")
+
+
+def clash(df):
+    """df with further columns that are called like those the operators make or use inside."""
+    for name in ("token", "n", "print", "node", "start", "end", "bin", "shard", "piece", "tokens", "item", "id", "host", "__x", "minimiser", "spans", "count", "n_words"):
+        df = df.selectExpr("*", f"'{name}' AS `{name}`")
+    return df
+
+
+def ids(df):
+    return sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda x: (x is None, x))
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_quality(docs, nothing):
+    kept = repetition.quality_filter(docs)
+    assert kept.schema == docs.schema
+    assert rows(kept) == rows(docs.where("doc_id IS NULL OR doc_id <> 8"))
+    scores = {r.doc_id: r for r in repetition.repetition_scores(docs).collect()}
+    assert scores[8].repeated_fraction > 0.9 and scores[8].longest_repeat == 195
+    assert scores[10].n_words == scores[9].n_words == scores[16].n_words == 0 and scores[10].repeated_fraction == 0
+    assert repetition.quality_filter(nothing).count() == 0 and repetition.repetition_scores(nothing).count() == 0
+    assert rows(repetition.repetition_scores(clash(docs))) == rows(repetition.repetition_scores(docs))
+    assert repetition.quality_filter(clash(docs)).columns == clash(docs).columns
+
+
+def test_near_duplicates(docs, nothing):
+    found = rows(near.near_duplicates(docs))
+    assert found == [(2, 1), (3, 1)]
+    assert rows(near.near_duplicates(clash(docs))) == found
+    assert near.near_duplicates(nothing).count() == 0
+    kept = near.near_dedup(docs)
+    assert kept.schema == docs.schema
+    assert ids(kept) == [1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 18, None, None]
+    assert near.near_dedup(nothing).count() == 0
+    assert near.near_dedup(clash(docs)).count() == kept.count()
+
+
+def test_near_duplicate_groups_equal_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = [text(r.randint(40, 300), f"base{i}") for i in range(150)]
+    for i in range(150):
+        t = texts[r.randrange(len(texts))]
+        texts.append(edit(t, max(1, len(t.split()) // 40), f"e{i}"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {a: b for a, b in near.near_duplicates(df, leaf=4).collect()}  # a small leaf makes several deep tries
+    prints = np.ascontiguousarray(near.fingerprints(pa.array(texts))[0]).view(np.uint64)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= round(near.RADIUS * near.BITS)]
+    joined = sum(found.get(i, i) == found.get(j, j) for i, j in pairs)
+    assert len(pairs) > 150 and joined >= 0.95 * len(pairs)
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in pairs:
+        parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert all(top(a) == top(b) for a, b in found.items())  # nothing is grouped that brute force keeps apart
+
+
+def spans_by_brute_force(cases, k):
+    seen, covered, texts = {}, defaultdict(set), {}
+    for i, t in cases:
+        if i is not None and t is not None:
+            texts.setdefault(i, re.findall(r"[0-9A-Za-z]+", t.lower()))
+    for i in sorted(texts):
+        w = texts[i]
+        for at in range(len(w) - k + 1):
+            window = tuple(w[at : at + k])
+            if window in seen:
+                covered[i].update(range(at, at + k))
+            else:
+                seen[window] = i
+    return {i: c for i, c in covered.items()}
+
+
+@pytest.mark.parametrize("k, m", [(50, 8), (7, 3), (1, 1)])
+def test_repeated_spans(docs, nothing, k, m):
+    found = defaultdict(set)
+    for r in substring.repeated_spans(docs, k=k, m=m).collect():
+        assert r.first_doc_id <= r.doc_id
+        found[r.doc_id].update(range(r.start_word, r.end_word))
+    assert found == spans_by_brute_force(CASES, k)
+    assert substring.repeated_spans(nothing, k=k, m=m).count() == 0
+
+
+def test_substring_dedup(docs, nothing):
+    cut = substring.substring_dedup(docs)
+    assert cut.schema == docs.schema
+    got = {r.doc_id: r for r in cut.where("doc_id IS NOT NULL").collect()}
+    assert 2 not in got  # nothing is left of the copy
+    assert PASSAGE in got[4].text and PASSAGE not in got[5].text and got[5].text.strip() == text(150, 6)
+    assert got[5].n_chars == len(got[5].text)
+    assert got[10].text is None and got[9].text == "" and got[1].text == CASES[0][1]
+    assert cut.where("doc_id IS NULL").count() == 2 and cut.where("doc_id = 18").count() == 2
+    assert substring.substring_dedup(nothing).count() == 0
+    assert substring.substring_dedup(clash(docs)).columns == clash(docs).columns
+
+
+def test_decontamination(docs, nothing, benchmark):
+    found = rows(decontamination.contaminated(docs, benchmark))
+    n = len(ITEM.split())
+    assert found == [(6, 1, 90, 90 + n, n), (7, 1, 90, 90 + n, n - 2)]
+    assert rows(decontamination.contaminated(clash(docs), clash(benchmark), broadcast_bytes=-1)) == found  # the shuffle join finds the same
+    kept = decontamination.decontaminate(docs, benchmark)
+    assert kept.schema == docs.schema and rows(kept) == rows(docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)"))
+    for a, b in ((nothing, benchmark), (docs, benchmark.limit(0)), (nothing, benchmark.limit(0))):
+        for limit in (1 << 20, -1):
+            assert decontamination.contaminated(a, b, broadcast_bytes=limit).count() == 0
+    short = docs.sparkSession.createDataFrame([(1, "well exactly five words is enough, yes"), (2, "exactly five words are enough")], "doc_id bigint, text string")
+    for limit in (1 << 20, -1):
+        assert rows(decontamination.contaminated(short, benchmark, broadcast_bytes=limit)) == [(1, 5, 1, 6, 5)]
+
+
+def test_packing(spark, docs):
+    given = [(1, 5000, 2, 10), (2, 100, 1, 100), (2, 100, 1, 100), (None, 50, 1, 0), (3, None, None, None), (4, -5, 0, 0), (5, 4096, 1, 4096), (6, 10, 100, 0), (7, 0, 0, 0)]
+    df = spark.createDataFrame(given, "id bigint, tokens int, n int, loss int")
+    out = packing.pack(df, "id", "tokens", "n", "loss", max_tokens=4096, max_segments=32, max_loss=3072).collect()
+    load = defaultdict(lambda: [0, 0, 0])
+    for r in out:
+        for i, x in enumerate((r.tokens, r.segments, r.loss)):
+            load[r.shard, r.bin][i] += x
+    assert all(a <= 4096 and b <= 32 and c <= 3072 for a, b, c in load.values())
+    total = lambda i: sorted((sum(r.tokens for r in out if r.id == i), sum(r.loss for r in out if r.id == i)))
+    assert total(1) == [10, 5000] and total(2) == [200, 200] and total(5) == [4096, 4096]  # nothing is dropped
+    assert len([r for r in out if r.id == 2]) == 2 and len([r for r in out if r.id == 6]) == 4 and len([r for r in out if r.id is None]) == 1
+    assert rows(packing.pack(df.orderBy("tokens"), "id", "tokens", "n", "loss")) == rows(packing.pack(df.repartition(3), "id", "tokens", "n", "loss"))
+    assert packing.pack(df.limit(0), "id", "tokens").count() == 0
+    many = spark.range(3000).selectExpr("id", "1 + id % 900 AS n_tokens", "'x' AS bin", "'y' AS shard")
+    out = packing.pack(many, "id", "n_tokens", shard=500)
+    assert out.count() == 3000 and out.select("shard").distinct().count() == 6
+
+
+def test_token_counts(docs, nothing):
+    found = {r.doc_id: r.n_tokens for r in pieces.with_token_counts(docs, keep=["doc_id"]).collect()}
+    known = set(pieces.load_vocabulary())
+    size = max(map(len, known))
+
+    def greedy(word):
+        i = n = 0
+        while i < len(word):
+            k = next((s for s in range(min(size, len(word) - i), 0, -1) if word[i : i + s] in known), 0)
+            n, i = (n + 1, i + k) if k else (n + len(word[i].encode()), i + 1)
+        return n
+
+    for i, t in CASES:
+        if i not in (None, 14, 17):
+            assert found[i] == sum(greedy(pieces.MARK + w) for w in (t or "").split())
+    assert pieces.with_token_counts(nothing).count() == 0
+    wide = pieces.with_token_counts(clash(docs).selectExpr("*", "'old' AS n_tokens"))
+    assert wide.columns == [c for c in clash(docs).columns if c != "text"] + ["n_tokens"] and wide.count() == len(CASES)
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_table(spark, docs, nothing, encoding, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    bpe = tiktoken.Encoding("x", pat_str=tokens.PATTERN, mergeable_ranks=tokens.load_ranks(), special_tokens={})
+    table = tokens.token_table(docs, encoding=encoding)
+    want = sorted(((i, bpe.encode_ordinary(t or "")) for i, t in CASES), key=repr)
+    assert sorted(((r.doc_id, list(r.token_ids)) for r in table.collect()), key=repr) == want
+    assert all(r.n_tokens == len(r.token_ids) for r in table.collect())
+    assert tokens.token_table(nothing, encoding=encoding).count() == 0
+
+    path = str(tmp_path / "t")
+    big = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 40) AS text")
+    tokens.write_tokens(tokens.token_ids(big.coalesce(1)), path, encoding=encoding, row_group_bytes=32 << 10, page_bytes=8 << 10, page_rows=64)
+    (file,) = glob.glob(path + "/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups > 1
+    for g in range(meta.num_row_groups):
+        columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+        ids = columns["token_ids.list.element"]
+        assert ids.has_offset_index and ids.has_column_index
+        assert ("DELTA_BINARY_PACKED" in ids.encodings) == (encoding == "delta")
+        assert any("DICTIONARY" in e for e in ids.encodings) == (encoding == "dictionary")
+    some = tokens.read_tokens(spark, path, ["doc_id", "n_tokens"], "doc_id BETWEEN 100 AND 109")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan and "GreaterThanOrEqual(doc_id,100)" in plan
+    assert some.count() == 10
+
+
+def test_url_decisions(spark):
+    given = [(1, "http://a.com/ads/x"), (1, "http://a.com/ads/x"), (2, None), (None, "http://b.com/"), (3, ""), (4, "http://ok.com/ads/keep"), (5, "http://9.9.9.9/"), (6, "http://a.com/loads/"), (7, "x" * 100_000)]
+    df = spark.createDataFrame(given, "page_id bigint, url string")
+    listed = spark.createDataFrame([(1, "block", "/ads/"), (2, "block", r"^http://[0-9.]+/"), (3, "allow", "/ads/keep$"), (4, "block", None), (None, "block", "x")], "rule_id bigint, action string, pattern string")
+    got = rows(urls.url_decisions(df, listed))
+    expected = []
+    for i, u in given:
+        hit = [(r, a) for r, a, p in ((1, "block", "/ads/"), (2, "block", r"^http://[0-9.]+/"), (3, "allow", "/ads/keep$")) if u is not None and re.search(p, u)]
+        block, allow = [r for r, a in hit if a == "block"], [r for r, a in hit if a == "allow"]
+        expected.append((i, u, len(block), len(allow), min(allow or block, default=None), "allow" if allow else "block" if block else "pass"))
+    assert got == sorted(expected, key=repr)
+    assert rows(urls.url_decisions(clash(df), listed)) == got
+    assert urls.url_decisions(df.limit(0), listed).count() == 0
+    assert {r[5] for r in rows(urls.url_decisions(df, listed.limit(0)))} == {"pass"}
+
+
+def test_url_index_equals_all_rules_on_all_urls(spark):
+    import duckdb
+
+    r = random.Random(3)
+    part = ["ads", "spam-farm", "cheap-pills", "en", "de", "print", "docs", "7", "1234", "wp-admin", "login", "x.html", "a.jpg"]
+    given = [(i, f"http://{r.choice(['m.', 'www.', 'blog.', 'ads.', ''])}{r.choice(['spam-farm.example.org', 'cheap-pills.example.com', 'ok.net', '1.2.3.4', 'casino9.io'])}/{'/'.join(r.choice(part) for _ in range(r.randint(1, 3)))}{r.choice(['', '/', '?page=1234', '?utm_source=feed', '?a=1&ref=x', '#top'])}") for i in range(400)]
+    df = spark.createDataFrame(given, "page_id bigint, url string")
+    mine = rows(urls.url_decisions(df, urls.rules_table(spark)))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", given)
+    assert mine == sorted(c.execute(urls.oracle()).fetchall(), key=repr)
+    assert len({m[4] for m in mine}) > 8
+
+
+@pytest.mark.parametrize("limit", [10**6, -1])
+def test_templates(spark, limit):
+    nav = "<div class=nav><ul><li>home<li>about</ul></div>"
+    page = lambda i, n=nav: f"<html><head><title>t{i}</title></head><body>{n}<p>only on {i} <b>x</b></p><div>by host</div><script>s()</script></body></html>"
+    given = [(i, f"http://h.com/{i}", page(i)) for i in range(5)]
+    given += [(10, "http://H.com:80/x", page(10)), (11, "http://other.com/", page(11)), (12, None, page(12)), (13, "http://h.com/z", None), (None, "http://h.com/n", page(14)), (14, "nohost", ""), (15, "http://long.com/", "<p>" + "word " * 100_000)]
+    given += [(20 + i, "http://copies.com/", page(99)) for i in range(6)]  # one page, copied
+    df = spark.createDataFrame(given, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in templates.extract(df, broadcast_subtrees=limit).collect()}
+    assert got[0].text == "only on 0 x" and got[0].n_removed == 2 and got[10].text == "only on 10 x" and got[None].text == "only on 14 x"
+    assert got[11].text == "home about only on 11 x by host" and got[12].n_removed == 0
+    assert got[13].text == "" and got[14].text == "" and len(got[15].text) > 400_000
+    assert got[20].text == "home about only on 99 x by host"  # copies of a page aren't templates
+    assert templates.extract(df.limit(0), broadcast_subtrees=limit).count() == 0
+    assert rows(templates.extract(clash(df), broadcast_subtrees=limit)) == rows(templates.extract(df))
+
+
+def test_template_counts_equal_brute_force(spark):
+    from quire.functions import html_tree as H
+
+    r = random.Random(2)
+    blocks = [f"<div><p>b{i}</p></div>" for i in range(6)]
+    given = [(i, f"http://h{i % 3}.com/{i}", "<body>" + "".join(r.sample(blocks, 3)) + f"<p>{i}</p></body>") for i in range(40)]
+    df = spark.createDataFrame(given, "page_id bigint, url string, html string")
+    pages = defaultdict(set)
+    size = defaultdict(set)
+    for i, u, h in given:
+        host = u.split("/")[2]
+        size[host].add(h)
+        for x in templates.subtree_hashes(H.build(h)[0]).values():
+            pages[host, x].add(h)
+    known = {k for k, v in pages.items() if len(v) >= 3 and len(v) >= 0.3 * len(size[k[0]])}
+    for row in templates.extract(df, min_share=0.3).collect():
+        root = H.build(given[row.page_id][2])[0]
+        n = templates.cut(root, {x for host, x in known if host == row.url.split("/")[2]})
+        assert (row.n_removed, row.text) == (n, H.text_of(root))
+
+
+def test_chats(spark):
+    given = [
+        (1, 0, "user", "a"), (1, 1, "assistant", "b"),
+        (2, 0, "assistant", "hi"), (2, 1, "user", "q"),
+        (3, 0, " User ", "x"), (3, 0, " User ", "x"), (3, 1, "ASSISTANT", None), (3, None, "tool", "late"),
+        (None, 0, "user", "n"), (4, 0, None, None), (5, 0, "user", "z" * 200_000), (5, 1, "assistant", ""),
+    ]
+    df = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in roles.format_chats(df).collect()}
+    assert (got[1].cost, got[1].rendered) == (0, "<|user|>\na\n<|end|>\n<|assistant|>\nb\n<|end|>\n")
+    assert got[2].cost == 4 and got[2].roles == "user assistant"  # relabel both; two insertions would cost 6
+    assert got[3].cost == 2 and got[3].roles == "user assistant" and "x\nx" in got[3].rendered and "late" in got[3].rendered
+    assert got[None].roles == "user assistant" and got[None].cost == 3
+    assert got[4].cost == 4 and got[4].n_turns == 2 and len(got[5].rendered) > 200_000
+    assert roles.format_chats(df.limit(0)).count() == 0
+    assert rows(roles.format_chats(clash(df))) == rows(roles.format_chats(df.repartition(4)))
+
+
+def test_pipeline_stages(spark, docs, nothing, benchmark, tmp_path):
+    folder = str(tmp_path)
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substrings", "leaks", "packing"]
+    now, left = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        now = shared.written(stage(spark, now, folder), name)
+        if name != "packing":
+            assert now.columns == docs.columns
+            left.append(ids(now))
+    assert left[0] == sorted(i for i, _ in CASES if i not in (8, None)) + [None, None]
+    assert left[1] == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, 16, 17, 18, None, None]
+    assert left[2] == left[1] and left[3] == [i for i in left[2] if i not in (6, 7)]
+    assert {r.doc_id for r in now.collect()} == set(left[3])
+    assert sorted(set(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()), key=repr) == sorted(set(left[3]), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, folder).count() == 0
+    extra = docs.selectExpr("*", "1 AS __id", "'x' AS duplicate_of", "'y' AS node")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, extra, folder).columns == extra.columns
+
+
+def test_registered_queries_run(spark):
+    named = queries.queries()
+    assert [n.split("_")[0] for n in named] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert set(queries.oracle_sql()) <= set(named)
+    for name, query in named.items():
+        assert query(spark, "/root/testdata/sf0.001").count() > 0, name
