@@ -10,7 +10,7 @@ from quire.operators import pages as P
 from quire.plans.registry import query
 
 #: SQL that takes the visible text of a page: hidden elements and comments out, tags to spaces where they break, entities decoded.
-VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<script>.*?</script>|<!--.*?-->', '', 'g'), '</?(?:nav|ul|li|div|article|h1|p|br|footer|html|body)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '\s+', ' ', 'g'))"""
+VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<script>.*?</script>|<!--.*?-->', '', 'g'), '</?(?:nav|ul|li|div|article|h1|p|br|footer|html|body)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '\s+', ' ', 'g'))"""
 
 
 #: The shape of a page's menu is the number of its items.

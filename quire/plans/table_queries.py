@@ -125,7 +125,7 @@ def table_plans(load, spark) -> DataFrame:
 @query(
     """WITH l AS (SELECT l_orderkey AS table_id, l_linestatus AS s, l_returnflag AS f, l_linenumber AS i FROM lineitem),
  c AS (SELECT table_id, 0 AS band, s AS t FROM l UNION ALL SELECT table_id, 1, f FROM l),
- n AS (SELECT table_id, band, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_id, band) AS a FROM c GROUP BY ALL),
+ n AS (SELECT table_id, band, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY table_id, band) AS a FROM c GROUP BY table_id, band, t),
  r AS (SELECT *, row_number() OVER (PARTITION BY table_id, band ORDER BY n DESC, t) AS k FROM n)
  SELECT table_id, band, CASE WHEN a >= 3 AND n >= 0.6 * a THEN t ELSE '' END AS label FROM r WHERE k = 1 UNION ALL SELECT DISTINCT table_id, 2, '🔗' FROM l"""
 )
