@@ -40,6 +40,13 @@ class Page:
     identifiers: set = field(default_factory=set)
     chrome: frozenset = frozenset()
     fingerprint: object = None
+    length: int = 0  # of the page's text
+
+    def is_chrome(self, node: H.Node) -> bool:
+        """Whether node has the shape of stable chrome, and holds little of its page and no long text."""
+        if not self.chrome or self.fingerprint is None or node.kind != "element" or self.fingerprint(node) not in self.chrome:
+            return False
+        return len(H.text_of(node)) <= 0.25 * self.length and all(len(n.value.strip()) <= 300 for n in H.walk(node) if n.kind == "text")
 
     def note(self, node: H.Node, terminal: str, why: str = "") -> None:
         self.ledger.append((path_of(node), terminal, why))
@@ -150,7 +157,7 @@ def blocks_of(nodes: list[H.Node], page: Page, align: str | None = None) -> list
             run.clear()
 
     for node in nodes:
-        if node.kind == "element" and page.chrome and page.fingerprint is not None and page.fingerprint(node) in page.chrome:
+        if page.is_chrome(node):
             flush()
             page.note(node, "REMOVED", "chrome")
             page.accounted.append(H.text_of(node))
@@ -456,6 +463,7 @@ def convert(html: str | None, chrome: frozenset = frozenset(), fingerprint=None)
     title = next((H.text_of(n) for n in H.walk(root) if n.tag == "title"), None)
     body = next((n for n in H.walk(root) if n.tag == "body"), root)
     source = H.text_of(body, frozenset(DROPPED))
+    page.length = len(source)
     links = [target(n.attrs["href"].strip()) for n in H.walk(body) if n.tag == "a" and (n.attrs or {}).get("href", "").strip() and not re.match(r"(?i)^\s*(?:javascript|vbscript|data|file):", n.attrs["href"]) and (H.text_of(n) or any(x.tag == "img" for x in H.walk(n)))]
     images = [target(n.attrs["src"].strip()) for n in H.walk(body) if n.tag == "img" and not decorative(n)]
     for n in [x for x in H.walk(root) if x.tag == "head"]:

@@ -434,9 +434,6 @@ def flatten(root: Node) -> list[dict]:
         row["links"], row["images"], row["sub_depth"] = links, images, deep
         return links, images, deep
 
-    import sys
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20000))
     visit(root, None, 0, "")
     buffer = text_buffer(root)
     for row in rows:
