@@ -15,7 +15,7 @@ DROPPED = {"script": "behaviour", "noscript": "behaviour", "template": "behaviou
 STRONG, EMPHASIS, DELETED = frozenset(("b", "strong")), frozenset(("i", "em", "cite", "var", "dfn")), frozenset(("s", "strike", "del"))
 CAPTION = 300
 _SPACE = re.compile(r"[ \t\r\n\f]+")
-_ORDINAL = re.compile(r"^(\d{1,3})([.)])\s+(.*)$", re.S)
+_ORDINAL = re.compile(r"^([0-9]{1,3})([.)])\s+(.*)$", re.S)
 _BULLET = re.compile(r"^([•·▪◦●■–—-])\s+(.*)$", re.S)
 _LEADER = re.compile(r"^(.*?)\.{4,}(.*)$", re.S)
 _DATE = re.compile(r"^(?:\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{1,2}\s+[^\W\d_]+\s+\d{4}(?:\s*г\.?)?)$")
@@ -114,7 +114,7 @@ def link(node: H.Node, page: Page) -> str:
     attrs = node.attrs or {}
     href = (attrs.get("href") or "").strip()
     label = inline(node.children, page)
-    if not href or re.match(r"(?i)^\s*(?:javascript|vbscript|data|file):", href):
+    if not href or re.match(r"(?i)^\s*(?:data|file|javascript|vbscript):", href):
         return label
     if not label.strip():
         return label
@@ -265,7 +265,7 @@ def figure(node: H.Node, page: Page) -> list[Block]:
         width = int(m[0]) if (m := re.match(r"\d+", a.get("width", ""))) else None
         props = {"src": a["src"].strip(), "position": {"left": "left", "right": "right"}.get(a.get("align", "").lower(), "center"), "size": "medium" if width is None else "large" if width >= 380 else "medium" if width >= 190 else "small"}
         alt = a.get("alt", "").strip()
-        if alt and len(alt) <= CAPTION and not re.search(r"(?i)\.(?:jpe?g|gif|png|bmp)$", alt):
+        if alt and len(alt) <= CAPTION and not re.search(r"(?i)\.(?:bmp|gif|jpg|jpeg|png)$", alt):
             props["caption"] = _SPACE.sub(" ", alt)
         up = img.parent
         if up is not None and up.tag == "a" and (up.attrs or {}).get("href"):
@@ -464,7 +464,7 @@ def convert(html: str | None, chrome: frozenset = frozenset(), fingerprint=None)
     body = next((n for n in H.walk(root) if n.tag == "body"), root)
     source = H.text_of(body, frozenset(DROPPED))
     page.length = len(source)
-    links = [target(n.attrs["href"].strip()) for n in H.walk(body) if n.tag == "a" and (n.attrs or {}).get("href", "").strip() and not re.match(r"(?i)^\s*(?:javascript|vbscript|data|file):", n.attrs["href"]) and (H.text_of(n) or any(x.tag == "img" for x in H.walk(n)))]
+    links = [target(n.attrs["href"].strip()) for n in H.walk(body) if n.tag == "a" and (n.attrs or {}).get("href", "").strip() and not re.match(r"(?i)^\s*(?:data|file|javascript|vbscript):", n.attrs["href"]) and (H.text_of(n) or any(x.tag == "img" for x in H.walk(n)))]
     images = [target(n.attrs["src"].strip()) for n in H.walk(body) if n.tag == "img" and not decorative(n)]
     for n in [x for x in H.walk(root) if x.tag == "head"]:
         page.note(n, "REMOVED", "head")

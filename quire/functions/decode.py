@@ -8,13 +8,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-ALIASES = {
-    "latin1": "windows-1252", "latin-1": "windows-1252", "iso-8859-1": "windows-1252", "iso8859-1": "windows-1252", "ascii": "windows-1252", "us-ascii": "windows-1252", "cp1252": "windows-1252",
-    "cp1251": "windows-1251", "win-1251": "windows-1251", "win1251": "windows-1251", "x-cp1251": "windows-1251", "koi8r": "koi8-r", "koi": "koi8-r", "cp866": "ibm866", "ibm-866": "ibm866", "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8",
-}
+_NAMES = {
+    "utf-8": "utf8 unicode-1-1-utf-8",
+    "koi8-r": "koi koi8r",
+    "ibm866": "ibm-866 cp866",
+    "windows-1251": "win1251 win-1251 x-cp1251 cp1251",
+    "windows-1252": "ascii us-ascii latin1 latin-1 iso8859-1 iso-8859-1 cp1252",
+}
+ALIASES = {alias: codec for codec, names in _NAMES.items() for alias in names.split()}
 PYTHON = {"windows-1251": "cp1251", "windows-1252": "cp1252", "koi8-r": "koi8_r", "ibm866": "cp866", "iso-8859-5": "iso8859_5", "utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}
-CANDIDATES = ("windows-1251", "koi8-r", "ibm866", "iso-8859-5", "windows-1252")
-_DECLARED = (re.compile(r"<\?xml[^>]+encoding\s*=\s*[\"']?([\w.:-]+)", re.I), re.compile(r"<meta[^>]+content\s*=\s*[\"'][^\"'>]*charset\s*=\s*([\w.:-]+)", re.I), re.compile(r"<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", re.I))
+CANDIDATES = tuple("windows-1251 koi8-r ibm866 iso-8859-5 windows-1252".split())
+_DECLARED = (re.compile(r"<\?xml\s[^>]*?\bencoding\s*=\s*[\"']?([\w.:-]+)", re.I), re.compile(r"<meta\s[^>]*?\bcontent\s*=\s*[\"'][^\"'>]*charset\s*=\s*([\w.:-]+)", re.I), re.compile(r"<meta\s[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", re.I))
 _BIGRAMS = frozenset("ст но то на ен ов ни ра во ко ос ро ер ре ит не по ка та ор ал ол ем ия ри го ет ле ан ве те ть ас ар ли ла".split())
 _MOJIBAKE = re.compile("[ÃÐÑ][\u0080-¿]|вЂ|Р[°-ї]")
 

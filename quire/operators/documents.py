@@ -165,7 +165,7 @@ def validate(blocks: DataFrame, id_col: str, frames: bool = True, signatures: bo
         ("image-position", "error", standalone & outside(p("position"), "left", "center", "right")),
         ("image-size", "error", standalone & outside(p("size"), "small", "medium", "large")),
         ("image-grouped-layout", "error", directive("image") & ~standalone & (p("position").isNotNull() | p("size").isNotNull())),
-        ("image-frame", "error", directive("image") & p("frame").isNotNull() & ~p("frame").isin("black", "white", "red", "gold")),
+        ("image-frame", "error", directive("image") & p("frame").isNotNull() & ~p("frame").isin("black", "gold", "red", "white")),
         ("image-link-empty", "error", directive("image") & p("link").isNotNull() & (F.trim(p("link")) == "")),
         ("images-columns", "error", directive("images") & outside(p("columns"), "2", "3", "4")),
         ("images-children", "error", directive("images") & (F.col("children") < 2)),
@@ -182,14 +182,14 @@ def validate(blocks: DataFrame, id_col: str, frames: bool = True, signatures: bo
         ("nav-empty", "error", directive("nav") & (F.col("items") == 0)),
         ("nav-active", "error", directive("nav") & p("active").isNotNull() & (hits != 1)),
         ("frame-unsupported", "error", directive("frame") & F.lit(not frames)),
-        ("frame-palette", "error", directive("frame") & outside(p("frame"), "black", "white", "red", "gold")),
+        ("frame-palette", "error", directive("frame") & outside(p("frame"), "black", "gold", "red", "white")),
         ("signature-unsupported", "error", directive("signature") & F.lit(not signatures)),
         ("anchor-identifier-empty", "error", directive("anchor") & missing(p("id"))),
         ("anchor-identifier-invalid", "error", directive("anchor") & ~missing(p("id")) & ~F.coalesce(p("id").rlike(r"^[\p{L}\p{N}_.:-]+$"), F.lit(False))),
         ("heading-empty", "error", (kind == "heading") & (F.trim(T.strip_inline("text")) == "")),
-        ("table-header-placeholder", "error", (kind == "table-row") & (F.col("depth") == 0) & F.exists(F.split("text", "\x1f"), lambda c: c.rlike(r"(?i)^(?:Поле|Field|Column|Столбец)\s*\d+$"))),
+        ("table-header-placeholder", "error", (kind == "table-row") & (F.col("depth") == 0) & F.exists(F.split("text", "\x1f"), lambda c: c.rlike(r"(?i)^(?:Column|Field|Поле|Столбец)\s*\d+$"))),
         ("highlight-unbalanced", "warning", (kind != "code") & (F.regexp_count("text", F.lit("==")) % 2 == 1)),
-        ("raw-html", "error", ~kind.isin("code", "directive") & F.col("text").rlike(r"(?<!\\)</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?>")),
+        ("raw-html", "error", ~kind.isin("code", "directive") & F.col("text").rlike(r"(?<!\\)</?\p{Alpha}\p{Alnum}*(?:\s[^<>]*)?>")),
         ("directive-inside-prefixed-block", "error", kind.isin("quote", "list-item") & F.col("text").rlike(r"^:::\s*[A-Za-z]")),
     ]
     found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, test in single]))
@@ -232,7 +232,7 @@ def lint(docs: DataFrame, id_col: str, text: str, max_line: int = 2200) -> DataF
     """(id, code, line): long lines, fences that don't balance, leaked server markup."""
     lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("i", "l"))
     long = lines.where(F.length("l") > max_line).select(id_col, F.lit("line-too-long").alias("code"), (F.col("i") + 1).alias("line"))
-    step = F.when(F.col("l").rlike(r"^:::[ \t]*[A-Za-z][\w-]*[ \t]*$"), 1).when(F.col("l").rlike(r"^:::[ \t]*$"), -1)
+    step = F.when(F.col("l").rlike(rf"^:::\s*{M.NAME}\s*$"), 1).when(F.col("l").rlike(r"^:::\s*$"), -1)
     upto = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     # a closing fence too many sets the depth back to 0: the depth is the running sum less its least value so far
     fences = lines.withColumn("s", step).where("s IS NOT NULL").withColumn("sum", F.sum("s").over(upto))
@@ -243,7 +243,7 @@ def lint(docs: DataFrame, id_col: str, text: str, max_line: int = 2200) -> DataF
     last = fences.groupBy(id_col).agg(F.max_by(F.col("sum") - F.col("low"), "i").alias("open")).where("open > 0")
     size = docs.select(id_col, F.size(F.split(text, "\n")).alias("line"))
     unclosed = last.join(size, id_col).select(id_col, F.lit("fence-unbalanced").alias("code"), "line")
-    leaked = docs.where(F.col(text).rlike(r"<\?php|<\?=|<%|<!--#")).select(id_col, F.lit("server-markup-leaked").alias("code"), F.lit(0).alias("line"))
+    leaked = docs.where(F.col(text).rlike(r"<!--#|<%|<\?=|<\?php")).select(id_col, F.lit("server-markup-leaked").alias("code"), F.lit(0).alias("line"))
     return long.unionByName(extra).unionByName(unclosed).unionByName(leaked)
 
 

@@ -240,7 +240,7 @@ def is_decorative(src: Column, width: Column, height: Column, alt: Column) -> Co
 
 def caption_from_alt(alt: Column) -> Column:
     a = F.trim(alt)
-    bad = (a == "") | a.rlike(r"(?i)\.(?:jpe?g|gif|png|bmp)$") | a.rlike(r"(?i)^(?:image|photo|picture|img|фото|рисунок)?\s*\d*$") | (F.length(a) > 300)
+    bad = (a == "") | a.rlike(r"(?i)\.(?:bmp|gif|jpg|jpeg|png)$") | a.rlike(r"(?i)^(?:image|photo|picture|img|фото|рисунок)?\s*\d*$") | (F.length(a) > 300)
     return F.when(~bad, a)
 
 

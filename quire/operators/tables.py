@@ -205,7 +205,7 @@ def table_features(cells: DataFrame, frequency: DataFrame | None = None) -> Data
     return f.withColumn("corpus_frequency", F.lit(0.0))
 
 
-_SCORED = ("SHELL", "LAYOUT", "DATA", "HYBRID", "CATALOG", "UNKNOWN")
+_SCORED = tuple("SHELL LAYOUT DATA HYBRID CATALOG UNKNOWN".split())
 
 
 def tier2_scores() -> dict[str, Column]:

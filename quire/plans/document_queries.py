@@ -63,12 +63,13 @@ def overall_score(load, spark) -> DataFrame:
     return D.overall_scores(pairs, "doc", "md", "made")
 
 
+GAP = "\n\n"
 BAD = [
     ("::: align\nposition: up\n\n::: frame\nframe: red\n\nx\n:::\n:::", ["align-position", "align-wraps-frame"]),
     ("::: image\nposition: left\nsize: huge\n:::", ["image-src", "image-size"]),
     ("::: images\ncolumns: 7\n\n::: image\nsrc: a\nsize: small\n:::\n:::", ["images-columns", "images-children", "image-grouped-layout"]),
-    ("::: columns\n\n::: column\n\na\n:::\n:::", ["columns-arity"]),
-    ("::: columns\ncolumns: 3\n\n::: column\n\na\n:::\n\n::: column\n\nb\n:::\n:::", ["columns-count-mismatch", "columns-property-unsupported"]),
+    (f"::: columns{GAP}::: column{GAP}a\n:::\n:::", ["columns-arity"]),
+    (f"::: columns\ncolumns: 3{GAP}::: column{GAP}a\n:::{GAP}::: column{GAP}b\n:::\n:::", ["columns-count-mismatch", "columns-property-unsupported"]),
     ("::: align\nposition: left\n\n::: nav\nactive: zz\n\n1. a\n2. b\n:::\n:::", ["nav-ordered", "nav-active", "nav-in-align"]),
     ("::: frame\nframe: pink\n\n::: frame\nframe: red\n\nx\n:::\n:::", ["frame-palette", "frame-nested"]),
     ("::anchor{#a}\n\n::anchor{#a}\n\n[x](#b) ==y", ["anchor-duplicate", "anchor-target-missing", "highlight-unbalanced"]),

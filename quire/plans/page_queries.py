@@ -110,7 +110,7 @@ def encode_roundtrip(load, spark) -> DataFrame:
 def charset_labels(load, spark) -> DataFrame:
     k = F.col("doc_id") % 5
     label = F.when(k == 0, " 'CP1251' ").when(k == 1, "KOI8R").when(k == 2, '"utf8"').when(k == 3, "ISO-8859-1").otherwise(" X-Own")
-    head = F.when(F.col("doc_id") % 3 == 0, '<meta http-equiv="Content-Type" content="text/html; charset=win-1251">').when(F.col("doc_id") % 3 == 1, "<?xml version='1.0' encoding='UTF8'?>").otherwise("<p>charset=none")
+    head = F.when(F.col("doc_id") % 3 == 0, '<META content="text/html;charset=win-1251" http-equiv=Content-Type>').when(F.col("doc_id") % 3 == 1, "<?xml version='1.0' encoding='UTF8'?>").otherwise("<p>charset=none")
     return load("documents").select("doc_id", D.codec_label(label).alias("label"), D.sniff_charset(F.encode(head, "UTF-8")).alias("declared"))
 
 

@@ -88,7 +88,7 @@ def wide_tables(load) -> DataFrame:
     """Rows of 7 + 1 + 1 physical columns, the second row subdivided, for each supplier nation."""
     s = load("supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
     line = F.transform("rows", lambda x, i: F.concat(F.lit("<tr><td colspan=7>"), x["s_name"], F.lit("</td><td>"), x["s_suppkey"], F.lit("</td><td><a href=x>"), i, F.lit("</a></td></tr>")))
-    extra = "<tr><td>a</td><td>b</td><td colspan=5>c</td><td>d</td><td>e</td></tr>"
+    extra = "<tr><td>p<td>q<td colspan=5>r<td>s<td>t</tr>"
     return s.where(F.size("rows") >= 2).select(F.col("s_nationkey").cast("bigint").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(line, ""), F.lit(extra + "</table>")).alias("html"))
 
 
@@ -100,7 +100,7 @@ def column_bands(load, spark) -> DataFrame:
 @query(
     """WITH s AS (SELECT s_nationkey AS table_id, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS "row", count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
  SELECT table_id, "row", 0 AS band, s_name AS text, 1 AS n_sources FROM s WHERE n >= 2 UNION ALL SELECT table_id, "row", 1, s_suppkey::VARCHAR, 1 FROM s WHERE n >= 2 UNION ALL SELECT table_id, "row", 2, "row"::VARCHAR, 1 FROM s WHERE n >= 2
- UNION ALL SELECT DISTINCT table_id, n, b.band, b.t, b.k FROM s, (VALUES (0, 'a b c', 3), (1, 'd', 1), (2, 'e', 1)) b(band, t, k) WHERE n >= 2"""
+ UNION ALL SELECT DISTINCT table_id, n, b.band, b.t, b.k FROM s, (VALUES (0, 'p q r', 3), (1, 's', 1), (2, 't', 1)) b(band, t, k) WHERE n >= 2"""
 )
 def planned_matrix(load, spark) -> DataFrame:
     cells = G.grid_cells(wide_tables(load)).cache()

@@ -8,7 +8,7 @@ from quire.functions import links as L, text as T
 from quire.operators import text_ops as O
 from quire.plans.registry import query
 
-NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '(\p{{L}})[-‐‑–—]\s*(\p{{L}})', '\1\2', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '(\p{{L}})[‐‑–—-]\s*(\p{{L}})', '\1\2', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def norm(x: str) -> str:
@@ -98,7 +98,7 @@ def seam_shingles(load, spark) -> DataFrame:
     return rounded(O.conservation(docs, "doc_id", "text", "rest", "head"), "recall")
 
 
-LEX = r"lex AS (SELECT word, contains(word, '-') AS hyphenated, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '\p{L}+-[ \t]*\r?\n\s*\p{L}+', ' ', 'g')), '\p{L}+(?:-\p{L}+)*')) AS word FROM documents) GROUP BY ALL)"
+LEX = r"lex AS (SELECT word, contains(word, '-') AS hyphenated, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '\p{L}+-[ \t]*\r?\n\s*\p{L}+', ' ', 'g')), '\p{L}+(?:[-]\p{L}+)*')) AS word FROM documents) GROUP BY ALL)"
 
 
 @query(f"WITH {LEX} SELECT * FROM lex")
@@ -251,7 +251,7 @@ def text_diff_class(load, spark) -> DataFrame:
 
 
 @query(
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\x{AD}', '', 'g'), '(\p{L})[-‐‑–—]\s*(\p{L})', '\1\2', 'g') AS text FROM documents)),
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\x{AD}', '', 'g'), '(\p{L})[‐‑–—-]\s*(\p{L})', '\1\2', 'g') AS text FROM documents)),
  v AS (SELECT doc_id, w, list_filter(w, lambda x, i: (i - 1) % 5 <> 4) AS v FROM w),
  g AS (SELECT doc_id, len(w) AS n, len(v) AS m, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS a, list_distinct(list_transform(range(1, len(v)), lambda i: v[i] || ' ' || v[i + 1])) AS b, list_distinct(w) AS da, list_distinct(v) AS db FROM v)
  SELECT doc_id, round(CASE WHEN n = 0 AND m = 0 THEN 1 WHEN n = 0 OR m = 0 THEN 0 WHEN n < 2 OR m < 2 THEN len(list_intersect(da, db)) / len(list_distinct(list_concat(da, db))) ELSE 2 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS similarity FROM g"""
