@@ -96,19 +96,23 @@ def bag_counts(items: DataFrame, keys: list[str], item: str = "item") -> DataFra
     return items.groupBy(*keys, item).agg(F.count("*").alias("n"))
 
 
+def both_bags(source: DataFrame, output: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """(keys, item, a, b): how often each item is in either bag; one aggregation over the union, combined on the map side, instead of a join."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    left = source.select(*keys, item, one.alias("a"), none.alias("b"))
+    right = output.select(*keys, item, none.alias("a"), one.alias("b"))
+    return left.unionByName(right).groupBy(*keys, item).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def bag_diff(source: DataFrame, output: DataFrame, keys: list[str], item: str = "item") -> DataFrame:
     """(keys, item, missing, extra): items of the two bags that don't balance, with multiplicity."""
-    a = bag_counts(source, keys, item).withColumnRenamed("n", "a")
-    b = bag_counts(output, keys, item).withColumnRenamed("n", "b")
-    both = a.join(b, [*keys, item], "full_outer").fillna(0, ["a", "b"])
+    both = both_bags(source, output, keys, item)
     return both.where("a <> b").select(*keys, item, F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("missing"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("extra"))
 
 
 def multiset_f1(expected: DataFrame, actual: DataFrame, keys: list[str], item: str = "item") -> DataFrame:
     """(keys, expected, actual, matched, recall, precision, f1); a pair of empty bags has no row."""
-    a = bag_counts(expected, keys, item).withColumnRenamed("n", "a")
-    b = bag_counts(actual, keys, item).withColumnRenamed("n", "b")
-    both = a.join(b, [*keys, item], "full_outer").fillna(0, ["a", "b"])
+    both = both_bags(expected, actual, keys, item)
     sums = both.groupBy(*keys).agg(F.sum("a").alias("expected"), F.sum("b").alias("actual"), F.sum(F.least("a", "b")).alias("matched"))
     return with_f1(sums)
 
