@@ -4,6 +4,11 @@ Fixed masks over SPAN consecutive words choose the positions that are hashed; th
 substituted.  The hashes of all benchmark windows under all masks are joined with those of all training
 windows.  A hit fixes a diagonal (training position minus benchmark position); along it the words are
 compared one by one, and the best run that tolerates substitutions is the overlap.
+
+The masks lose nothing: whichever words are substituted, at most MAX_SUBSTITUTED of them, an overlap of
+LONG words or more holds a window that one of MASKS hashes alike, and one of MIN_ITEM + 1 words or more a
+window for one of LIGHT_MASKS, which more texts share by chance.  Items of exactly MIN_ITEM words are
+looked for as they are, without substitutions.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import words as W
 
-MASKS = ("110110110110", "101101101011", "111001011001", "110010110101")
+MASKS = ("110111", "1101000011", "11100011", "1011011", "11111")
+LIGHT_MASKS = ("1111", "11011", "1100011")
+LONG = 10  # words; least overlap for which MASKS are enough
 MIN_OVERLAP = 13  # words; an item that is shorter must be there whole
 MIN_ITEM = 5  # words; shorter items are too common to tell anything
 MAX_SUBSTITUTED = 0.25  # of the words of an overlap
@@ -37,10 +44,16 @@ def seeds(hashes: np.ndarray, doc_end: np.ndarray, mask: str, salt: int) -> tupl
     return at, W.mix(total)
 
 
-def _masks(sizes: set[int], masks: tuple[str, ...]) -> list[str]:
-    """The masks, and a contiguous one for each size of item that is too short for them."""
-    short = min(map(len, masks))
-    return list(masks) + ["1" * n for n in sorted(sizes) if MIN_ITEM <= n < short]
+def _masks(masks: tuple[str, ...]) -> list[tuple[str, int, int]]:
+    """Every mask with the least and greatest overlap it is for."""
+    every = [(m, LONG, np.iinfo(np.int64).max) for m in masks] + [(m, MIN_ITEM + 1, LONG - 1) for m in LIGHT_MASKS]
+    return every + [("1" * MIN_ITEM, MIN_ITEM, MIN_ITEM)]
+
+
+def _least(size: np.ndarray, min_overlap: int) -> np.ndarray:
+    """The least overlap with items of these sizes, as it chooses the masks: 0 for items that are left out."""
+    asked = np.maximum(np.minimum(size, min_overlap), MIN_ITEM + 1)
+    return np.where(size > MIN_ITEM, asked, np.where(size == MIN_ITEM, MIN_ITEM, 0))
 
 
 def best_run(same: np.ndarray, max_substituted: float, least: int) -> tuple[int, int, int] | None:
@@ -77,20 +90,21 @@ def overlap(train: np.ndarray, item: np.ndarray, diagonal: int, max_substituted:
 class Index:
     """The seeds of benchmark items, sorted by hash, with a bitmap that most training windows fail."""
 
-    def __init__(self, items: list[int], tokens: list[np.ndarray], masks: tuple[str, ...]):
+    def __init__(self, items: list[int], tokens: list[np.ndarray], masks: tuple[str, ...], min_overlap: int = MIN_OVERLAP):
         keep = [i for i, t in enumerate(tokens) if len(t) >= MIN_ITEM]
         self.items, self.tokens = [items[i] for i in keep], [tokens[i] for i in keep]
-        self.masks = _masks({len(t) for t in self.tokens}, masks)
         flat = np.concatenate([np.zeros(0, np.uint64), *self.tokens])
         size = np.array([len(t) for t in self.tokens], np.int64)
         first = np.concatenate([[0], np.cumsum(size)])
         item_of = np.repeat(np.arange(len(size)), size)
-        rows = []
-        for salt, mask in enumerate(self.masks):
+        least = _least(size, min_overlap)
+        self.masks = [(salt, m) for salt, (m, low, high) in enumerate(_masks(masks)) if ((low <= least) & (least <= high)).any()]
+        rows = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for salt, mask in self.masks:
+            _, low, high = _masks(masks)[salt]
             at, value = seeds(flat, np.repeat(first[1:], size), mask, salt)
-            if "0" not in mask:  # a short item is matched whole
-                whole = size[item_of[at]] == len(mask)
-                at, value = at[whole], value[whole]
+            good = (low <= least[item_of[at]]) & (least[item_of[at]] <= high)
+            at, value = at[good], value[good]
             rows.append((value, item_of[at], at - first[item_of[at]]))
         self.hashes, self.item, self.offset = (np.concatenate(x) for x in zip(*rows))
         order = np.argsort(self.hashes, kind="stable")
@@ -104,7 +118,7 @@ class Index:
         """Distinct (text, item, diagonal) rows of a chunk of texts."""
         parts = [np.zeros((0, 3), np.int64)]
         ends = found.doc_end
-        for salt, mask in enumerate(self.masks):
+        for salt, mask in self.masks:
             at, value = seeds(found.hashes, ends, mask, salt)
             some = self.bitmap[(value >> self.shift).astype(np.int64)]
             at, value = at[some], value[some]
@@ -152,7 +166,8 @@ def contaminated(
     """(doc_id, item_id, start_word, end_word, matched): the longest overlap of each document with each benchmark item.
 
     An overlap has at least min_overlap words (or the whole of a shorter item) and at most max_substituted of
-    them differ.  A document is one row; rows that repeat an id give their rows again, and those with a null id
+    them differ; an item of MIN_ITEM words must be there unchanged.  No overlap is missed while max_substituted
+    is at most MAX_SUBSTITUTED; beyond that the masks lose some.  A document is one row; rows that repeat an id give their rows again, and those with a null id
     or no words none.  Items with a null id or of fewer than MIN_ITEM words are left out; repeated items count
     once.  An empty table on either side gives an empty result.  Other columns are ignored.
 
@@ -162,7 +177,7 @@ def contaminated(
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("item")).where(F.col("item_id").isNotNull() & F.col("item").isNotNull()).distinct()
     # each word of an item gives at most one seed a mask, of about 32 bytes
-    need = items.agg(F.sum(F.regexp_count("item", F.lit(r"\S+")) * (32 * (len(masks) + 1)))).first()[0] or 0
+    need = items.agg(F.sum(F.regexp_count("item", F.lit(r"\S+")) * (32 * (max(len(masks), len(LIGHT_MASKS)) + 1)))).first()[0] or 0
     if need <= broadcast_bytes:
         return _by_broadcast(given, items, masks, min_overlap, max_substituted)
     return _by_join(given, items, masks, min_overlap, max_substituted)
@@ -172,7 +187,7 @@ def _by_broadcast(given: DataFrame, items: DataFrame, masks, min_overlap: int, m
     rows = items.orderBy("item_id", "item").toArrow()
     found = W.scan(rows["item"])
     tokens = [found.hashes[a:b] for a, b in zip(found.first[:-1], found.first[1:])]
-    index = given.sparkSession.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), tokens, masks))
+    index = given.sparkSession.sparkContext.broadcast(Index(rows["item_id"].to_pylist(), tokens, masks, min_overlap))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
@@ -187,19 +202,16 @@ def _by_broadcast(given: DataFrame, items: DataFrame, masks, min_overlap: int, m
 
 
 def _by_join(given: DataFrame, items: DataFrame, masks, min_overlap: int, max_substituted: float) -> DataFrame:
-    short = min(map(len, masks))
-    all_masks = _masks(set(range(MIN_ITEM, short)), masks)
-
     def seed(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in W.slices(batches, max_bytes=W.CHUNK_BYTES // 4):
                 found = W.scan(batch.column(1))
-                size = np.diff(found.first)
-                for salt, mask in enumerate(all_masks):
+                least = _least(np.diff(found.first), min_overlap)
+                for salt, (mask, low, high) in enumerate(_masks(masks)):
                     at, value = seeds(found.hashes, found.doc_end, mask, salt)
                     text = np.searchsorted(found.first, at, "right") - 1
                     if whole:
-                        good = (size[text] >= MIN_ITEM) if "0" in mask else (size[text] == len(mask))
+                        good = (low <= least[text]) & (least[text] <= high)
                         at, value, text = at[good], value[good], text[good]
                     ids = batch.column(0).take(pa.array(text))
                     yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), ids, pa.array(at - found.first[text])], ["seed", "id", "at"])

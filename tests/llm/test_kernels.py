@@ -192,6 +192,50 @@ def test_spaced_seeds_find_overlaps_with_substitutions():
     assert found >= 195
 
 
+def _brute_overlaps(train, item, share=0.25, least=13):
+    best = None
+    for d in range(-len(item) + 1, len(train)):
+        run = decontamination.overlap(train, item, d, share, least)
+        if run is not None and (best is None or (best[0] - best[1], best[0]) > (run[0] - run[1], run[0])):
+            best = run
+    return best
+
+
+def test_seeds_find_what_all_diagonals_find():
+    g = np.random.default_rng(11)
+    for n in range(6, 41):
+        for least in (13, 8):
+            for trial in range(20):
+                item, train = g.integers(0, 1 << 60, n).astype(np.uint64), g.integers(0, 1 << 60, 60).astype(np.uint64)
+                size = n if n <= 13 or trial % 2 else int(g.integers(13, n + 1))  # all of the item, or a part of it
+                a = int(g.integers(0, n - size + 1))
+                train[10 : 10 + size] = item[a : a + size]
+                train[10 + 1 + g.choice(size - 2, size // 4, replace=False)] = 1
+                index = decontamination.Index([7], [item], decontamination.MASKS, least)
+                w = W.Words(np.zeros(0, np.uint8), np.zeros(1), np.zeros(60, int), np.zeros(60, int), train, np.array([0, 60]))
+                want = _brute_overlaps(train, item, least=least)
+                assert want is not None
+                assert decontamination._best(w, index.hits(w), index.tokens, 0.25, least) == {(0, 0): want}
+
+
+@pytest.mark.parametrize("masks, low", [(decontamination.MASKS, decontamination.LONG), (decontamination.LIGHT_MASKS, decontamination.MIN_ITEM + 1)])
+def test_no_substitutions_hide_an_overlap_from_the_masks(masks, low):
+    """The fewest mismatches that leave no window under any mask, by length, are more than a quarter."""
+    span = max(map(len, masks))
+    fewest = {0: 0}  # by the last places, 1 for a match
+    for n in range(1, 120):
+        after = {}
+        for state, lost in fewest.items():
+            for bit in (0, 1):
+                now = state << 1 | bit
+                if all(now & int(m, 2) != int(m, 2) for m in masks):
+                    key = now & ((1 << span - 1) - 1)
+                    after[key] = min(after.get(key, n), lost + 1 - bit)
+        fewest = after
+        ends = [lost for state, lost in fewest.items() if state & 1]
+        assert n < low or not ends or min(ends) > n * decontamination.MAX_SUBSTITUTED
+
+
 def cheapest(given_roles):
     best, heap = set(), [(0, 0, "")]
     while heap:

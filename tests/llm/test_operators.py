@@ -188,6 +188,14 @@ def test_decontamination(docs, nothing, benchmark):
         assert rows(decontamination.contaminated(short, benchmark, broadcast_bytes=limit)) == [(1, 5, 1, 6, 5)]
 
 
+def test_decontamination_of_short_items_with_substitutions(spark):
+    items = spark.createDataFrame([(1, "six words with one more here"), (2, "an item of eight words that is short"), (3, " ".join(ITEM.split()[:13]))], "item_id bigint, text string")
+    texts = [(1, "look six words with none more here now"), (2, "an item in eight words which is short"), (3, "which of those seven rivers runs north through an old capital before it"), (4, "six words and none more here")]
+    for limit in (1 << 20, -1):
+        found = rows(decontamination.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), items, broadcast_bytes=limit))
+        assert found == [(1, 1, 1, 7, 5), (2, 2, 0, 8, 6), (3, 3, 0, 13, 10)]
+
+
 def test_packing(spark, docs):
     given = [(1, 5000, 2, 10), (2, 100, 1, 100), (2, 100, 1, 100), (None, 50, 1, 0), (3, None, None, None), (4, -5, 0, 0), (5, 4096, 1, 4096), (6, 10, 100, 0), (7, 0, 0, 0)]
     df = spark.createDataFrame(given, "id bigint, tokens int, n int, loss int")
