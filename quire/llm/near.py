@@ -28,7 +28,7 @@ from quire.llm import shared, words as W
 
 BITS = 512
 RADIUS = 0.20  # share of bits in which near-duplicates may differ: a cosine of word-pair counts of about 0.81
-DESIGN = 0.16  # share of differing bits for which the recall is promised
+DESIGN = RADIUS  # share of differing bits for which the recall is promised: nearer pairs meet more often
 RECALL = 0.95
 LEAF = 1024
 _LOOK = 44  # of the first 128 bits: four standard deviations above RADIUS
@@ -164,7 +164,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     radius: float = RADIUS,
-    design: float = DESIGN,
+    design: float | None = None,
     recall: float = RECALL,
     leaf: int = LEAF,
 ) -> DataFrame:
@@ -172,7 +172,8 @@ def near_duplicates(
 
     Ids are integers; a row with a null id and a text without words (null, empty, only signs) are never
     grouped.  Rows that repeat an id count as one document and share its group.  An empty table gives an
-    empty result.  Other columns are ignored, whatever their names.
+    empty result.  Other columns are ignored, whatever their names.  The recall is that of a pair at ``design``, by
+    default the radius, so of every pair that counts as near.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def near_duplicates(
     members = printed.withColumn("node", F.min("doc_id").over(Window.partitionBy("print")))
     members = shared.written(members, "members")
     nodes = members.where("doc_id = node").select("node", "print").distinct()
-    count, depth = tries(nodes.count(), design, recall, leaf)
+    count, depth = tries(nodes.count(), radius if design is None else design, recall, leaf)
     start, far = max(0, depth - 4), round(radius * BITS)
     chosen = [np.random.default_rng(1000 + t).permutation(BITS)[:32] for t in range(count)]
 

@@ -107,6 +107,12 @@ def test_tries_reach_the_recall():
     assert near.tries(10**6)[1] > near.tries(10**4)[1]
 
 
+def test_pairs_at_the_radius_meet_as_often_as_promised():
+    for n in (10**4, 10**5, 6 * 10**6, 3 * 10**7):
+        count, depth = near.tries(n)
+        assert 1 - (1 - (1 - near.RADIUS) ** depth) ** count >= near.RECALL - 1e-9
+
+
 @given(st.lists(st.text(alphabet="abcé", min_size=1, max_size=5), max_size=8), st.lists(st.text(alphabet="abcdé", max_size=12), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_automaton_counts_greedy_pieces(vocabulary, texts):
