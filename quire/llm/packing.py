@@ -10,6 +10,7 @@ grouped-map, so the work is linear in the input and a bin never spans shards.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,40 +61,92 @@ def pack_vectors(vectors: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def pieces(examples: DataFrame, id_col: str, max_tokens: int, max_segments: int, max_loss: int) -> DataFrame:
-    """(id, piece, tokens, segments, loss): an example that breaks a limit by itself, cut into equal pieces that don't."""
+    """(id, piece, tokens, segments, loss): an example that breaks a limit by itself, cut into equal pieces that don't.
+
+    Each piece of an example that has segments takes one at least, as it is one in its bin.
+    """
     need = F.greatest(F.lit(1), F.ceil(F.col("tokens") / max_tokens), F.ceil(F.col("segments") / max_segments), F.ceil(F.col("loss") / max_loss)).cast("int")
     share = lambda c: (F.floor(F.col(c) * (F.col("piece") + 1) / F.col("n_pieces")) - F.floor(F.col(c) * F.col("piece") / F.col("n_pieces"))).cast("bigint")
+    segments = F.when((F.col("n_pieces") > 1) & (F.col("segments") > 0), F.greatest(F.lit(1).cast("bigint"), share("segments"))).otherwise(share("segments"))
     cut = examples.withColumn("n_pieces", need).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-    return cut.select(F.col(id_col), "piece", share("tokens").alias("tokens"), share("segments").alias("segments"), share("loss").alias("loss"))
+    return cut.select(F.col(id_col), "piece", share("tokens").alias("tokens"), segments.alias("segments"), share("loss").alias("loss"))
+
+
+def cut_turns(turns: list[tuple[int, int]], limits: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """(tokens, segments, loss) of the pieces of an example whose turns are (tokens, loss).
+
+    A piece takes whole turns in their order while no limit breaks; only a turn that breaks one alone is cut,
+    evenly, as its loss lies all over it.
+    """
+    made, now = [], (0, 0, 0)
+    for tokens, loss in turns:
+        n = max(1, -(-tokens // limits[0]), -(-loss // limits[2]))
+        for i in range(n):
+            part = (tokens * (i + 1) // n - tokens * i // n, 1, loss * (i + 1) // n - loss * i // n)
+            then = tuple(a + b for a, b in zip(now, part))
+            if now[1] and any(a > b for a, b in zip(then, limits)):
+                made.append(now)
+                then = part
+            now = then
+    return [*made, now]
+
+
+def turn_pieces(examples: DataFrame, id_col: str, max_tokens: int, max_segments: int, max_loss: int) -> DataFrame:
+    """pieces() of examples (id, turns: array of (tokens, loss)), cut between turns."""
+    kind, limits = dict(examples.dtypes)[id_col], (max_tokens, max_segments, max_loss)
+    total = lambda field: F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    given = examples.select(F.col(id_col), "turns", total("tokens").alias("tokens"), F.size("turns").cast("bigint").alias("segments"), total("loss").alias("loss"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)], axis=1)
+            fits = (sizes <= limits).all(axis=1)
+            over = np.flatnonzero(~fits)
+            cuts = [cut_turns([(t["tokens"], t["loss"]) for t in turns], limits) for turns in batch.column(1).take(pa.array(over)).to_pylist()]
+            row = np.concatenate([np.flatnonzero(fits), np.repeat(over, [len(c) for c in cuts])]).astype(np.int64)
+            piece = np.array([0] * int(fits.sum()) + [i for c in cuts for i in range(len(c))], np.int32)
+            made = np.concatenate([sizes[fits], *[np.array(c, np.int64) for c in cuts]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(3))], [id_col, "piece", "tokens", "segments", "loss"])
+
+    return given.mapInArrow(cut, f"`{id_col}` {kind}, piece int, tokens bigint, segments bigint, loss bigint")
 
 
 def pack(
     examples: DataFrame,
     id_col: str,
-    tokens_col: str,
+    tokens_col: str | None = None,
     segments_col: str | None = None,
     loss_col: str | None = None,
     max_tokens: int = MAX_TOKENS,
     max_segments: int = MAX_SEGMENTS,
     max_loss: int = MAX_LOSS,
     shard: int = SHARD,
+    turns_col: str | None = None,
 ) -> DataFrame:
     """(shard, bin, id, piece, tokens, segments, loss): where each example, or piece of one, is placed.
 
     Bins are numbered within a shard.  Without segments_col an example is one segment, without loss_col all its
     tokens bear loss.  Null or negative sizes count as 0; an example without tokens still takes its segments.
     An example that exceeds a limit alone is cut into the least number of equal pieces that don't: nothing is
-    dropped.  Null ids are packed like others, repeated rows each on their own.  An empty table gives an empty
+    dropped, and each piece is one segment at least.  With turns_col, an array of structs (tokens, loss) in the
+    order of the turns, the other columns aren't read: every turn is a segment, and an example over a limit is
+    cut between its turns, so that a piece holds the loss of its own turns.  Null ids are packed like others, repeated rows each on their own.  An empty table gives an empty
     result.  Ties go to the least vector, then the least id and piece.
     """
     size = lambda c: F.greatest(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), F.lit(0))
-    given = examples.select(
-        F.col(id_col),
-        size(tokens_col).alias("tokens"),
-        (size(segments_col) if segments_col else F.lit(1).cast("bigint")).alias("segments"),
-        (size(loss_col) if loss_col else size(tokens_col)).alias("loss"),
-    )
-    given = shared.written(pieces(given, id_col, max_tokens, max_segments, max_loss), "pieces")
+    if turns_col:
+        at_least_0 = lambda x: F.greatest(F.coalesce(x.cast("bigint"), F.lit(0)), F.lit(0))
+        turns = F.transform(F.coalesce(F.col(turns_col), F.array()), lambda x: F.struct(at_least_0(x["tokens"]).alias("tokens"), at_least_0(x["loss"]).alias("loss")))
+        cut = turn_pieces(examples.select(F.col(id_col), turns.alias("turns")), id_col, max_tokens, max_segments, max_loss)
+    else:
+        given = examples.select(
+            F.col(id_col),
+            size(tokens_col).alias("tokens"),
+            (size(segments_col) if segments_col else F.lit(1).cast("bigint")).alias("segments"),
+            (size(loss_col) if loss_col else size(tokens_col)).alias("loss"),
+        )
+        cut = pieces(given, id_col, max_tokens, max_segments, max_loss)
+    given = shared.written(cut, "pieces")
     shards = max(1, math.ceil(given.count() / shard))
     kind, limits = dict(given.dtypes)[id_col], np.array([max_tokens, max_segments, max_loss])
     dealt = given.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)).cast("bigint"))

@@ -28,10 +28,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every conversation is placed: its turns are its segments, the assistant's tokens bear loss."""
-    turns = pieces.with_token_counts(table(spark, sf_dir, "conversations"), keep=["conv_id", "role"])
+    turns = pieces.with_token_counts(table(spark, sf_dir, "conversations"), keep=["conv_id", "turn", "role"])
     loss = F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)
-    examples = turns.groupBy("conv_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_turns"), F.sum(loss).alias("n_loss"))
-    return packing.pack(examples, "conv_id", "n_tokens", "n_turns", "n_loss")
+    in_order = F.sort_array(F.collect_list(F.struct("turn", F.col("n_tokens").alias("tokens"), loss.alias("loss"))))
+    examples = turns.groupBy("conv_id").agg(in_order.alias("turns"))
+    return packing.pack(examples, "conv_id", turns_col="turns")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

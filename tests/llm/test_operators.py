@@ -215,6 +215,29 @@ def test_packing(spark, docs):
     assert out.count() == 3000 and out.select("shard").distinct().count() == 6
 
 
+def test_pieces_of_long_documents_are_segments(spark):
+    long = spark.range(40).selectExpr("id", "8200 AS n_tokens")
+    out = packing.pack(long, "id", "n_tokens", max_loss=4096).collect()
+    assert len(out) == 120 and sum(r.tokens for r in out) == 40 * 8200 and {r.segments for r in out} == {1}
+
+
+def test_long_conversations_are_cut_between_turns(spark, tmp_path):
+    given = [(1, i, "assistant" if i >= 4 else "user", "a " * 1000) for i in range(8)] + [(2, 0, "user", "b"), (2, 1, "assistant", "c"), (3, 0, "assistant", "d " * 9000), (4, 0, None, None)]
+    given += [(5, i, "user", "e") for i in range(40)]
+    table = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    size = {(r.conv_id, r.turn): r.n_tokens for r in pieces.with_token_counts(table, keep=["conv_id", "turn"]).collect()}
+    found = defaultdict(list)
+    for r in sorted(queries.op4_packing(spark, str(tmp_path)).collect(), key=lambda r: (r.conv_id, r.piece)):
+        found[r.conv_id].append((r.tokens, r.segments, r.loss))
+    n = size[1, 0]
+    assert 3 * n <= 3072 < 4 * n <= 4096 < 5 * n
+    assert found[1] == [(4 * n, 4, 0), (3 * n, 3, 3 * n), (n, 1, n)]
+    assert found[2] == [(size[2, 0] + size[2, 1], 2, size[2, 1])] and found[4] == [(0, 1, 0)]
+    assert len(found[3]) == -(-size[3, 0] // 3072) and all(s == 1 and t == x <= 3072 for t, s, x in found[3]) and sum(t for t, _, _ in found[3]) == size[3, 0]
+    assert [s for _, s, _ in found[5]] == [32, 8]
+
+
 def test_token_counts(docs, nothing):
     found = {r.doc_id: r.n_tokens for r in pieces.with_token_counts(docs, keep=["doc_id"]).collect()}
     known = set(pieces.load_vocabulary())
