@@ -17,7 +17,8 @@ from quire.llm import shared, words as W
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"  # begins the first piece of a word
-_MEMO = 1 << 21
+_MEMO = 1 << 19  # words
+_MEMO_BYTES = 64  # longer words aren't kept
 
 
 class Automaton:
@@ -99,8 +100,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, hashes, index of each text's first word) of the words between ASCII white space."""
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, index of each text's first word) of the words between ASCII white space."""
     data, offsets = W.raw(texts)
     n = len(data)
     word = ~_SPACE[data]
@@ -109,35 +110,31 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     edge = np.concatenate([[True], ~word]), np.concatenate([~word, [True]])
     starts = np.flatnonzero(word & (edge[0][:-1] | cut[:-1]))
     ends = np.flatnonzero(word & (edge[1][1:] | cut[1:])) + 1
-    up, down = W.powers(W._BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return data, starts, ends, W.mix((total[ends] - total[starts]) * down[starts]), np.searchsorted(starts, offsets)
+    return data, starts, ends, np.searchsorted(starts, offsets)
 
 
 class Counter:
-    """Counts the pieces of whole texts; words met before are looked up."""
+    """Counts the pieces of whole texts; words met before are looked up, by their bytes."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.known, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        data, starts, ends, hashes, first = _split(texts)
-        kinds, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        size = np.zeros(len(kinds), np.int64)
-        at = np.minimum(np.searchsorted(self.known, kinds), max(len(self.known) - 1, 0))
-        old = self.known[at] == kinds if len(self.known) else np.zeros(len(kinds), bool)
-        size[old] = self.sizes[at[old]]
-        new, count, buffer = np.flatnonzero(~old), self.automaton.count, data.tobytes()
-        size[new] = [count(MARK + buffer[a:b].decode("utf-8", "replace")) for a, b in zip(starts[example[new]].tolist(), ends[example[new]].tolist())]
-        if len(new):
-            if len(self.known) > _MEMO:
-                self.known, self.sizes = kinds, size
-            else:
-                known, sizes = np.concatenate([self.known, kinds[new]]), np.concatenate([self.sizes, size[new]])
-                order = np.argsort(known)
-                self.known, self.sizes = known[order], sizes[order]
+        data, starts, ends, first = _split(texts)
+        example, kind = W.kinds_of(data, starts, ends)
+        known, count, buffer = self.known, self.automaton.count, data.tobytes()
+        if len(known) > _MEMO:
+            known.clear()
+        size = np.zeros(len(example), np.int64)
+        for i, (a, b) in enumerate(zip(starts[example].tolist(), ends[example].tolist())):
+            word = buffer[a:b]
+            n = known.get(word)
+            if n is None:
+                n = count(MARK + word.decode("utf-8", "replace"))
+                if b - a <= _MEMO_BYTES:
+                    known[word] = n
+            size[i] = n
         total = np.concatenate([[0], np.cumsum(size[kind])])
         return total[first[1:]] - total[first[:-1]]
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from quire.llm import shared, words as W
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that _pieces evaluates; a tokenizer made with it must give the same ids.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MEMO = 1 << 21
+_MEMO = 1 << 19  # pieces
+_MEMO_BYTES = 64  # longer pieces aren't kept
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
 
@@ -44,9 +46,7 @@ class Tokenizer:
 
         self.bpe = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.classes = _classes()
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of the pieces met
-        self.slot = np.zeros(0, np.int64)  # of each, its place in first/size
-        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known: dict[bytes, list[int]] = {}  # the ids of pieces met, by their bytes
 
     def _pieces(self, points: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Where pieces begin; cut marks the code points that begin a text."""
@@ -77,53 +77,45 @@ class Tokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = W.raw(texts)
-        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        text_at = lead[offsets]  # in code points
-        n = len(points)
-        if not n:
+        if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        try:
+            text = data.tobytes().decode("utf-8")
+        except UnicodeDecodeError:  # bytes that are no UTF-8 become U+FFFD, text by text
+            whole = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+            return self.encode(pa.array(whole, pa.large_string()))
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        byte_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point
+        text_at = np.searchsorted(byte_at, offsets)
+        n = len(points)
         cut = np.zeros(n + 1, bool)
         cut[text_at] = True
         starts = self._pieces(points, cut[:n])
-        ends = np.append(starts[1:], n)
-        up, down = W.powers(W._BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        hashes = W.mix((total[ends] - total[starts]) * down[starts])
-        kinds, example, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        slot = self._slots(kinds, points, starts[example], ends[example])[kind]
-        size = self.size[slot]
+        a, b = byte_at[starts], byte_at[np.append(starts[1:], n)]
+        example, kind = W.kinds_of(data, a, b)
+        lists = self._ids(data.tobytes(), a[example].tolist(), b[example].tolist())
+        sizes = np.array(list(map(len, lists)), np.int64)
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        first, size = np.concatenate([[0], np.cumsum(sizes)])[kind], sizes[kind]
         to = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.first[slot] - to[:-1], size) + np.arange(to[-1])]
+        ids = flat[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
         return ids, to[np.searchsorted(starts, text_at)]
 
-    def _slots(self, kinds: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.known) > _MEMO:
-            self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        at = np.minimum(np.searchsorted(self.known, kinds), max(len(self.known) - 1, 0))
-        old = self.known[at] == kinds if len(self.known) else np.zeros(len(kinds), bool)
-        slots = np.empty(len(kinds), np.int64)
-        slots[old] = self.slot[at[old]]
-        new = np.flatnonzero(~old)
-        if len(new):
-            raw = points.tobytes()
-            core, ranks = self.bpe._core_bpe, self.bpe._mergeable_ranks
-            lists = []
-            for a, b in zip(starts[new].tolist(), ends[new].tolist()):
-                text = raw[4 * a : 4 * b].decode("utf-32-le").encode()
-                rank = ranks.get(text)
-                lists.append([rank] if rank is not None else core.encode_single_piece(text))
-            size = np.array([len(x) for x in lists], np.int64)
-            slots[new] = len(self.size) + np.arange(len(new))
-            self.first = np.concatenate([self.first, len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.int32)])
-            known, slot = np.concatenate([self.known, kinds[new]]), np.concatenate([self.slot, slots[new]])
-            order = np.argsort(known)
-            self.known, self.slot = known[order], slot[order]
-        return slots
+    def _ids(self, data: bytes, starts: list[int], ends: list[int]) -> list[list[int]]:
+        known, core, ranks = self.known, self.bpe._core_bpe, self.bpe._mergeable_ranks
+        if len(known) > _MEMO:
+            known.clear()
+        lists = []
+        for a, b in zip(starts, ends):
+            piece = data[a:b]
+            found = known.get(piece)
+            if found is None:
+                rank = ranks.get(piece)
+                found = [rank] if rank is not None else core.encode_single_piece(piece)
+                if b - a <= _MEMO_BYTES:
+                    known[piece] = found
+            lists.append(found)
+        return lists
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:

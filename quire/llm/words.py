@@ -7,6 +7,7 @@ case-folded before hashing.  Offsets are byte offsets into the UTF-8 text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,30 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15
-_BASE2 = 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
-
 _FOLD = np.zeros(256, np.uint8)
 for _b in range(256):
     if _b >= 128 or chr(_b).isalnum():
         _FOLD[_b] = _b + 32 if 65 <= _b <= 90 else _b
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept for the life of the worker."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[base] = (np.cumprod(up), np.cumprod(down))
-        if size > 4 * CHUNK_BYTES:  # one huge text: don't hold on to its tables
-            _powers.pop(base)
-    return have
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every bit."""
@@ -49,6 +31,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_LONG = 1 << 12  # bytes; a longer string is hashed by itself, so that one long word doesn't cost a round for all
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as a number; zeros follow the last."""
+    return np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte string data[start:end].
+
+    Every eight bytes are mixed into what came before by a bijection that isn't linear, so that no family of strings
+    collides by its algebra, as it would for polynomials modulo 2**64.
+    """
+    size = ends - starts
+    result = mix(size.astype(np.uint64) * _ODD)
+    if not len(data) or not len(starts):
+        return result
+    eights = _eights(data)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        result[i] = int.from_bytes(digest, "little")
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        some = eights[at] & _KEEP[np.minimum(left, 8)]
+        result[live] = mix((result[live] ^ some) * _ODD)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return result
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are alike, for each of the places."""
+    result = np.ones(len(a), bool)
+    for i in np.flatnonzero((a != b) & (size > _LONG)).tolist():
+        result[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    live = np.flatnonzero((a != b) & (size > 0) & (size <= _LONG))
+    if not len(live):
+        return result
+    eights, x, y, left = _eights(data), a[live], b[live], size[live]
+    while len(live):
+        good = ((eights[x] ^ eights[y]) & _KEEP[np.minimum(left, 8)]) == 0
+        result[live[~good]] = False
+        more = good & (left > 8)
+        live, x, y, left = live[more], x[more] + 8, y[more] + 8, left[more] - 8
+    return result
+
+
+def kinds_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(example, kind): strings of one kind have the same bytes, those of the string example[kind].
+
+    Hashes only suggest the kinds: the bytes of each string are compared with those of its example, and where hashes
+    collide a string is a kind by itself.
+    """
+    _, example, kind = np.unique(hashed(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    good = (size == size[example][kind]) & same_bytes(data, starts, starts[example][kind], np.minimum(size, size[example][kind]))
+    for i in np.flatnonzero(~good).tolist():  # a collision: it is a kind of its own
+        kind[i] = len(example)
+        example = np.append(example, i)
+    return example, kind
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end, and len(texts) + 1 offsets; null counts as ''."""
     if isinstance(texts, pa.ChunkedArray):
@@ -99,11 +147,7 @@ def scan(texts: pa.Array) -> Words:
         after[-1], after[:-1] = True, ~word[1:]
     starts = np.flatnonzero(word & (before | cut[:-1]))
     ends = np.flatnonzero(word & (after | cut[1:])) + 1
-    up, down = powers(_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(folded.astype(np.uint64) * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(data, offsets, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(data, offsets, starts, ends, hashed(folded, starts, ends), np.searchsorted(starts, offsets))
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +155,17 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hashes)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(_BASE2, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words.hashes * up[:n], out=total[1:])
     at = np.flatnonzero(np.arange(n) + k <= words.doc_end)
-    return at, mix((total[at + k] - total[at]) * down[at])
+    # runs of 1, 2, 4 ... words by doubling; those that k is the sum of make the run of k
+    power, size, whole, done = words.hashes, 1, np.full(len(at), k, np.uint64), 0
+    while True:
+        if k & size:
+            whole = mix((whole ^ power[at + done]) * _ODD)
+            done += size
+        if size * 2 > k:
+            return at, whole
+        power = mix((power[:-size] ^ _ODD) * _ODD + power[size:])
+        size *= 2
 
 
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

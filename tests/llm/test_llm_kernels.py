@@ -38,6 +38,45 @@ def test_words(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [8, 64, 2048, 1 << 14])
+def test_strings_that_collide_under_polynomials_are_told_apart(size):
+    one, two = thue_morse(size), thue_morse(size, "b", "a")
+    assert len(set(W.scan(pa.array([one, two])).hashes.tolist())) == 2
+    ids, first = TOKENIZER.encode(pa.array([one, two, one]))
+    assert [TOKENIZER.bpe.decode(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:])] == [one, two, one]
+    known = pieces.Automaton(["ab", "abb", "a", "b"])
+    assert pieces.Counter(known)(pa.array([one, two, one])).tolist() == [known.count(pieces.MARK + t) for t in (one, two, one)]
+    spaced = [" ".join(t) for t in (one, two)]
+    for k in (2, 50, size):
+        runs = {}
+        found = W.scan(pa.array(spaced))
+        for at, value in zip(*(x.tolist() for x in W.windows(found, k))):
+            text = int(np.searchsorted(found.first, at, "right")) - 1
+            runs.setdefault(value, set()).add((one, two)[text][at - found.first[text] : at - found.first[text] + k])
+        assert all(len(x) == 1 for x in runs.values())
+
+
+@given(st.lists(st.text(alphabet="abé", max_size=20), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_kinds_are_equal_bytes(strings):
+    raw = [s.encode() for s in strings]
+    data, to = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    example, kind = W.kinds_of(data, to[:-1], to[1:])
+    assert all((raw[i] == raw[j]) == (kind[i] == kind[j]) for i in range(len(raw)) for j in range(len(raw)))
+    assert all(raw[example[k]] == x for k, x in zip(kind, raw))
+
+
+def test_colliding_hashes_do_not_join_kinds(monkeypatch):
+    monkeypatch.setattr(W, "hashed", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"aabbccaa", np.uint8)
+    example, kind = W.kinds_of(data, np.array([0, 2, 4, 6]), np.array([2, 4, 6, 8]))
+    assert kind[0] == kind[3] and len(set(kind.tolist())) == 3 and (example[kind[1:3]] == [1, 2]).all()
+
+
 def repeats_by_brute_force(tokens, least):
     n, longest, covered = len(tokens), 0, set()
     for i in range(n):
