@@ -4,13 +4,16 @@ Fingerprint: 512 bits, the sign of the summed random +-1 vectors of a text's wor
 share of differing bits grows with the angle between the word-pair counts of two texts.
 
 Forest: each try orders the fingerprints by its own random permutation of the bits and is descended
-from a shared prefix only where it is dense (more than ``leaf`` fingerprints).  Depth is bounded: with
-T tries, two fingerprints that differ in a share ``design`` of their bits meet in at least one try with
-probability 1 - (1 - (1 - design) ** depth) ** T, so every dense cell stops (climbs back) at the deepest
-prefix for which that reaches ``recall``; T is the least number of tries for which that prefix still
-leaves cells of about ``leaf`` fingerprints.  Sparse cells stay at shorter prefixes, where recall is
-higher.  Inside a cell all pairs are compared (a first look at 128 of the bits discards far pairs, then
-all 512 bits verify), without any cap on partners.
+where it is dense (more than ``leaf`` fingerprints share a prefix).  From its deepest prefixes it climbs to shorter
+ones, and compares at each what the longer ones kept apart, until the prefix is short enough for the target: with
+T tries, two fingerprints that differ in a share ``design`` of their bits share a prefix of ``depth`` bits in at
+least one try with probability 1 - (1 - (1 - design) ** depth) ** T, and climbing ends at the greatest depth for which
+that reaches ``recall``.  T is the least number of tries for which such a prefix still leaves cells of about ``leaf``
+fingerprints.  Sparse cells are compared at shorter prefixes, where recall is higher.
+
+All pairs of a cell are verified by all 512 bits, without any cap on partners, except those that are in one group
+already; so a dense cluster, which the deep prefixes join, costs no square.  A cell of more than
+``block`` fingerprints is dealt into blocks, and every two of them meet in a task of their own.
 
 Only one fingerprint of equal ones enters the forest.  Groups are connected components.
 """
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quire.llm import shared, words as W
 
@@ -31,7 +34,7 @@ RADIUS = 0.20  # share of bits in which near-duplicates may differ: a cosine of
 DESIGN = RADIUS  # share of differing bits for which the recall is promised: nearer pairs meet more often
 RECALL = 0.95
 LEAF = 1024
-_LOOK = 44  # of the first 128 bits: four standard deviations above RADIUS
+BLOCK = 1 << 17  # fingerprints of a cell that one task holds, or two times as many
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,25 +97,36 @@ def _link(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _compare(rows: np.ndarray, label: np.ndarray, lo: int, hi: int, radius: int) -> None:
-    """Link all pairs of rows[lo:hi] that differ in at most radius bits."""
-    part = rows[lo:hi]
-    one, two = np.ascontiguousarray(part[:, 0]), np.ascontiguousarray(part[:, 1])
-    for at in range(0, hi - lo, 256):
-        to = min(at + 256, hi - lo)
-        for left in range(at, hi - lo, 4096):
-            right = min(left + 4096, hi - lo)
-            far = np.bitwise_count(one[at:to, None] ^ one[None, left:right])
-            far += np.bitwise_count(two[at:to, None] ^ two[None, left:right])
-            i, j = np.nonzero(far <= _LOOK)
-            i, j = i + at, j + left
-            i, j = i[i < j], j[i < j]
-            apart = label[lo + i] != label[lo + j]
+def _compare(rows: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int) -> None:
+    """Link all pairs of left (or of left and right) that differ in at most radius bits; pairs of one group are skipped.
+
+    Half of the bits are looked at first: if more than radius differ there, the pair is far.
+    """
+    half = [np.ascontiguousarray(rows[:, i]) for i in range(4)]
+    while len(left):
+        group = label[left[0]]
+        mine = label[left] == group
+        if mine.sum() > 32:  # many of one group: only those outside of it are left to be compared
+            mine[np.flatnonzero(mine)[256:]] = False
+            block, left = left[mine], left[~mine]
+            others = left if right is None else right
+            others = others[label[others] != group]
+        else:
+            block, others = left[:256], left if right is None else right
+            left = left[256:]
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            far = np.bitwise_count(half[0][block, None] ^ half[0][None, some]).astype(np.uint16)
+            for column in half[1:]:
+                far += np.bitwise_count(column[block, None] ^ column[None, some])
+            i, j = np.nonzero(far <= radius)
+            i, j = block[i], some[j]
+            apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            for some in range(0, len(i), 1 << 16):
-                a, b = i[some : some + (1 << 16)], j[some : some + (1 << 16)]
-                near = np.bitwise_count(part[a] ^ part[b]).sum(axis=1) <= radius
-                _link(label, lo + a[near], lo + b[near])
+            for part in range(0, len(i), 1 << 16):
+                a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                near = np.bitwise_count(rows[a] ^ rows[b]).sum(axis=1) <= radius
+                _link(label, a[near], b[near])
 
 
 def cell_links(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, start: int, depth: int, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +134,19 @@ def cell_links(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, start: int,
     order = np.lexsort((ids, keys))
     ids, keys = ids[order], keys[order]
     rows = np.ascontiguousarray(rows[order]).view(np.uint64)
-    label, todo = np.arange(len(ids)), [(0, len(ids), start)]
-    while todo:
-        lo, hi, at = todo.pop()
-        if hi - lo > leaf and at < depth:
-            mid = lo + int(np.searchsorted((keys[lo:hi] >> (31 - at)) & 1, 1))
-            todo += [(lo, mid, at + 1), (mid, hi, at + 1)]
-        elif hi - lo > 1:
-            _compare(rows, label, lo, hi, radius)
+    label = np.arange(len(ids))
+
+    def climb(lo: int, hi: int, at: int) -> None:
+        if hi - lo <= leaf or at >= 31:
+            _compare(rows, label, np.arange(lo, hi), None, radius)
+            return
+        mid = lo + int(np.searchsorted((keys[lo:hi] >> (31 - at)) & 1, 1))
+        climb(lo, mid, at + 1)
+        climb(mid, hi, at + 1)
+        if at >= depth:  # the prefix is shared as often as the target asks: nothing may be left out
+            _compare(rows, label, np.arange(lo, mid), np.arange(mid, hi), radius)
+
+    climb(0, len(ids), start)
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
     root = least[label]
@@ -138,12 +157,12 @@ def cell_links(ids: np.ndarray, rows: np.ndarray, keys: np.ndarray, start: int,
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for the nodes of links (node, root: bigint) other than each component's least node.
 
-    Alternates large-star and small-star steps until the links are stars; each step is one shuffle of
-    the links and is written to the shared folder.
+    Alternates large-star and small-star steps until the links are stars.  The least neighbour of a node is an
+    aggregate, combined before the shuffle, and joins its links, which adaptive execution splits at hubs; each step is
+    written to the shared folder.
     """
     spark = links.sparkSession
     links = shared.written(links.select("node", "root").where("node <> root").distinct(), "links")
-    of = Window.partitionBy("u")
     before = None
     while True:
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
@@ -151,11 +170,13 @@ def components(links: DataFrame) -> DataFrame:
             return links
         before = mark
         both = links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links.select(F.col("root").alias("u"), F.col("node").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(of), F.col("u"))).where("v > u").select(F.col("v").alias("node"), F.col("m").alias("root")).distinct()
-        down = large.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).withColumn("m", F.min("v").over(of))
-        small = down.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("m").alias("root")), F.struct(F.col("v").alias("node"), F.col("m").alias("root")))).alias("x")).select("x.node", "x.root")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("node"), F.col("m").alias("root")).distinct()
+        large = shared.written(large, "links")
+        down = large.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v")).where("u <> v")
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("m").alias("root")), F.struct(F.col("v").alias("node"), F.col("m").alias("root")))).alias("x")).select("x.node", "x.root")
         after = shared.written(small.where("node <> root").distinct(), "links")
-        shared.drop(spark, links)
+        shared.drop(links, large)
         links = after
 
 
@@ -167,6 +188,7 @@ def near_duplicates(
     design: float | None = None,
     recall: float = RECALL,
     leaf: int = LEAF,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, duplicate_of) for every document that has a near-duplicate with a lesser id: the least id of its group.
 
@@ -182,34 +204,60 @@ def near_duplicates(
             some = pa.array(n > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), _binary(rows).filter(some)], ["doc_id", "print"])
 
-    spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     printed = shared.written(given.mapInArrow(prints, "doc_id bigint, print binary"), "prints")
-    members = printed.withColumn("node", F.min("doc_id").over(Window.partitionBy("print")))
-    members = shared.written(members, "members")
-    nodes = members.where("doc_id = node").select("node", "print").distinct()
-    count, depth = tries(nodes.count(), radius if design is None else design, recall, leaf)
+    nodes = shared.written(printed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
+    total = nodes.count()
+    count, depth = tries(total, radius if design is None else design, recall, leaf)
     start, far = max(0, depth - 4), round(radius * BITS)
     chosen = [np.random.default_rng(1000 + t).permutation(BITS)[:32] for t in range(count)]
 
+    def cells_of(prints: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bits = np.unpackbits(_rows(prints), axis=1)
+        for t in range(count):
+            key = np.ascontiguousarray(np.packbits(bits[:, chosen[t]], axis=1)).view(">u4").ravel().astype(np.int64)
+            yield (key >> (32 - start)) + (t << 32), key
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, _ in cells_of(batch.column(0)) if len(batch) else ():
+                cells, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            bits = np.unpackbits(_rows(batch.column(1)), axis=1)
-            for t in range(count):
-                key = np.ascontiguousarray(np.packbits(bits[:, chosen[t]], axis=1)).view(">u4").ravel().astype(np.int64)
-                cell = (key >> (32 - start)) + (t << 32)
+            for cell, key in cells_of(batch.column(1)) if len(batch) else ():
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(key), batch.column(0), batch.column(1)], ["cell", "key", "node", "print"])
 
     def link(cells: pa.Table) -> pa.Table:
         node, root = cell_links(cells["node"].to_numpy(), _rows(cells["print"]), cells["key"].to_numpy(), start, depth, far, leaf)
         return pa.table({"node": node, "root": root})
 
-    placed = nodes.mapInArrow(place, "cell bigint, key bigint, node bigint, print binary")
-    links = placed.groupBy("cell").applyInArrow(link, "node bigint, root bigint")
-    same = members.where("doc_id <> node").select(F.col("doc_id").alias("node"), F.col("node").alias("root"))
-    return components(links.unionByName(same)).select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    placed = nodes.select("node", "print").mapInArrow(place, "cell bigint, key bigint, node bigint, print binary")
+    task = ["cell"]
+    if total > block:
+        large = nodes.select("print").mapInArrow(sizes, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > block)
+        large = shared.written(large.select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "cells")
+        if not large.isEmpty():
+            # Spark sends the few large cells to all tasks if their table is small
+            mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            placed = placed.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
+            placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            placed = placed.select("cell", "key", "node", "print", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+            task = ["cell", "one", "two"]
+    links = placed.groupBy(*task).applyInArrow(link, "node bigint, root bigint")
+    copies = printed.join(nodes.where("n > 1").select("print", "node"), "print").where("doc_id <> node").select("doc_id", "node")
+    # an id that comes with several texts links their groups
+    several = shared.written(printed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    twice = not several.isEmpty()
+    if twice:
+        links = links.unionByName(copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), F.col("node").alias("root")))
+        copies = copies.join(several, "doc_id", "left_anti")
+    roots = components(links)
+    joined = copies.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("duplicate_of"))
+    found = shared.written(joined.unionByName(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))), "duplicates")
+    shared.drop(printed, nodes, several, roots, *([large] if total > block else []))
+    return found
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -223,7 +271,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     if repeated.isEmpty():
         return kept
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
     row = shared.fresh(docs.columns, "__row")
-    one = kept.join(repeated, id_col, "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(docs.columns)
+    order = F.struct(F.xxhash64(text_col), F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if not kind.startswith("map")]))
+    one = kept.join(repeated, id_col, "left_semi").groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias(row)).select(f"{row}.*")
     return kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(one)

@@ -4,7 +4,8 @@ An example is a vector: tokens, segments, loss-bearing tokens.  A bin (one train
 all three.  Examples are dealt to shards of about SHARD examples by a hash of their id; a shard is packed by the
 dot-product heuristic: into the open bin goes, of all examples that fit, the one whose vector has the greatest
 weighted dot product with what is left of the bin; when none fits, the next bin opens.  A shard is one group of a
-grouped-map, so the work is linear in the input and a bin never spans shards.
+grouped-map, so the work is linear in the input and a bin never spans shards.  Rows without an id, and those of an id that
+has more rows than half a shard, are dealt by their place in the written table instead, as they'd all fall into one shard.
 """
 
 from __future__ import annotations
@@ -130,8 +131,8 @@ def pack(
     An example that exceeds a limit alone is cut into the least number of equal pieces that don't: nothing is
     dropped, and each piece is one segment at least.  With turns_col, an array of structs (tokens, loss) in the
     order of the turns, the other columns aren't read: every turn is a segment, and an example over a limit is
-    cut between its turns, so that a piece holds the loss of its own turns.  Null ids are packed like others, repeated rows each on their own.  An empty table gives an empty
-    result.  Ties go to the least vector, then the least id and piece.
+    cut between its turns, so that a piece holds the loss of its own turns.  Null ids are packed like others, repeated rows each on their own;
+    however many rows share an id or have none, shards stay of about the same size.  An empty table gives an empty result.  Ties go to the least vector, then the least id and piece.
     """
     size = lambda c: F.greatest(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), F.lit(0))
     if turns_col:
@@ -149,7 +150,14 @@ def pack(
     given = shared.written(cut, "pieces")
     shards = max(1, math.ceil(given.count() / shard))
     kind, limits = dict(given.dtypes)[id_col], np.array([max_tokens, max_segments, max_loss])
-    dealt = given.withColumn("shard", F.pmod(F.xxhash64(id_col, "piece"), F.lit(shards)).cast("bigint"))
+    key, place_of = F.xxhash64(id_col, "piece"), F.xxhash64(F.monotonically_increasing_id())
+    many = shared.written(given.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where(F.col("count") > shard // 2).select(id_col), "many")
+    if many.isEmpty():
+        key = F.when(F.col(id_col).isNull(), place_of).otherwise(key)
+    else:
+        given = given.withColumn("at", place_of).join(many.withColumn("many", F.lit(True)), id_col, "left")
+        key = F.when(F.col(id_col).isNull() | F.col("many"), F.col("at")).otherwise(key)
+    dealt = given.withColumn("shard", F.pmod(key, F.lit(shards)).cast("bigint"))
 
     def place(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_col, "ascending"), ("piece", "ascending"), ("tokens", "ascending"), ("segments", "ascending"), ("loss", "ascending")])

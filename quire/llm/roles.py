@@ -17,9 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from quire.llm import words as W
+
 ROLES = ("system", "user", "assistant")
 # state: the role of the turn last written; "" at the start
 _NEXT = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
@@ -94,17 +98,28 @@ def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: st
 
     Turns are taken in the order of turn_col, ties in that of role and text; null turns come last.  Repeated rows are
     turns like others (and get merged).  Roles are compared in lower case without white space around; an unknown or null
-    role may become any.  A null text counts as empty.  Rows with a null id are one conversation.  An empty table gives an empty
-    result.  Other columns are ignored, whatever their names.  A conversation is handled in one task.
+    role may become any.  A null text counts as empty.  Each row with a null id is a conversation by itself, as nothing says
+    what it belongs to.  An empty table gives an empty result.  Other columns are ignored, whatever their names.  A conversation
+    becomes one row, so one task holds it.
     """
     role = F.lower(F.trim(F.col(role_col)))
     turn = F.struct(F.col(turn_col).isNull().alias("z"), F.col(turn_col).alias("t"), role.alias("r"), F.col(text_col).alias("x"))
-    grouped = conversations.select(F.col(id_col).alias("id"), turn.alias("turn")).groupBy("id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    given = conversations.select(F.col(id_col).alias("id"), turn.alias("turn"))
+    grouped = given.where("id IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    grouped = grouped.unionByName(given.where("id IS NULL").select("id", F.array("turn").alias("turns")))
     rows = grouped.select(F.col("id").alias(id_col), F.col("turns.r").alias("r"), F.col("turns.x").alias("x"))
+
+    def text_bytes(lists: pa.Array) -> np.ndarray:
+        """Of all texts of each conversation."""
+        each = pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(each)])
+        to = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        return np.diff(total[to])
+
     kind = dict(rows.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches, 2, length=text_bytes):
             n, costs, roles, texts = [], [], [], []
             for r, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 cost, turns = repaired(list(zip(r, x)))

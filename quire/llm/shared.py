@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder the session names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary one is set if all executors are on this machine, as in tests; on a cluster that is an error,
+    as no executor would find what another wrote.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -37,8 +44,10 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by written()."""
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from quire.functions import html_tree as H
 from quire.llm import shared, words as W
 
-MIN_PAGES = 3
-MIN_SHARE = 0.05
+MIN_PAGES = 5  # fewer pages may share a list or a card that is their content
+MIN_SHARE = 0.2  # of the pages of a host
 BROADCAST_SUBTREES = 2_000_000
 _FRAME = frozenset(("html", "head", "body"))
 _HIDDEN = frozenset(("head", "script", "style", "noscript", "template"))

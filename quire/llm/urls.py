@@ -11,7 +11,10 @@ import re
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
+from quire.llm import shared
+
 BROADCAST_RULES = 200_000
+FREE_RULES = 1000  # rules without a token that a URL meets at a time
 
 #: (rule_id, action, pattern): a block list and its exceptions; RE2 and Java read these alike.
 RULES: list[tuple[int, str, str]] = [
@@ -39,13 +42,18 @@ RULES: list[tuple[int, str, str]] = [
 ]
 
 
-def literal_tokens(pattern: str) -> list[str]:
+def literal_tokens(pattern: str) -> list[str] | None:
     """The alphanumeric runs that each match of a pattern contains as whole tokens, lower case.
 
     Read from the top level of the pattern only: groups, classes, alternatives and quantified characters
     end a run, and a run counts only between literal non-alphanumeric characters or anchors, since
-    another neighbour could make the URL's token longer.  A pattern with a top-level | has none.
+    another neighbour could make the URL's token longer.  A pattern with a top-level | has none.  None stands for a
+    pattern that is malformed.
     """
+    try:
+        re.compile(pattern)
+    except re.error:
+        return None
     parts, depth, i, n = [], 0, 0, len(pattern)  # ("lit", c) | ("edge",) | ("any",)
     while i < n:
         c = pattern[i]
@@ -73,7 +81,9 @@ def literal_tokens(pattern: str) -> list[str]:
                 return []
             if c in "*?+{":
                 if c == "{":
-                    i = pattern.index("}", i)
+                    i = pattern.find("}", i)
+                    if i < 0:
+                        return None
                 if parts and c != "+":
                     parts[-1] = ("any", "")
                 elif parts:
@@ -117,13 +127,13 @@ def url_decisions(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", u
     n_block and n_allow count the distinct rules that match, first_rule is the least id of the matching rules
     of the deciding action; an allow rule outweighs all block rules.  decision is 'block', 'allow', or 'pass' where nothing matches.  A
     null URL matches nothing.  Rows are told apart by (id, url): repeated rows give their row each, all alike,
-    and null ids are kept.  Rules with a null pattern or id are left out.  Empty tables on either side are fine.
+    and null ids are kept.  Rules with a null pattern or id, and malformed ones, are left out.  Empty tables on either side are fine.
     Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     listed = rules.select("rule_id", "action", "pattern").where("rule_id IS NOT NULL AND pattern IS NOT NULL")
     tokens = F.udf(literal_tokens, "array<string>")  # runs once a rule
-    listed = listed.withColumn("tokens", tokens("pattern"))
+    listed = shared.written(listed.withColumn("tokens", tokens("pattern")), "rules").where("tokens IS NOT NULL")
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     distinct = urls.where("url IS NOT NULL").select("url").distinct()
     exploded = distinct.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
@@ -136,7 +146,11 @@ def url_decisions(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", u
     keyed = listed.join(index, "rule_id").select("token", "rule_id", "action", "pattern")
     free = listed.where(F.size("tokens") == 0).select("rule_id", "action", "pattern")
     candidates = exploded.join(send(keyed), "token").select("url", "rule_id", "action", "pattern")
-    everywhere = distinct.crossJoin(F.broadcast(free)) if small else distinct.crossJoin(free)
+    # rules that no token leads to meet every URL: in one task each group of them, by a key that both sides carry
+    slots = max(1, -(-free.count() // FREE_RULES))
+    groups = free.withColumn("slot", F.pmod(F.xxhash64("rule_id"), F.lit(slots))).groupBy("slot").agg(F.collect_list(F.struct("rule_id", "action", "pattern")).alias("rules"))
+    spread = distinct.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+    everywhere = spread.join(send(groups), "slot").select("url", F.explode("rules").alias("r")).select("url", "r.*")
     matched = candidates.unionByName(everywhere).where(F.expr("url RLIKE pattern")).select("url", "rule_id", "action")
     block, allow = F.col("action") == "block", F.col("action") == "allow"
     verdicts = matched.groupBy("url").agg(

@@ -168,22 +168,23 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         size *= 2
 
 
-def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges that hold about max_bytes of text each; a longer text is alone."""
-    n = len(texts)
-    if not n:
-        return
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def chunks(size: np.ndarray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges that hold about max_bytes each, where rows have these sizes; a larger row is alone."""
     total = np.concatenate([[0], np.cumsum(size)])
-    at = 0
+    at, n = 0, len(size)
     while at < n:
         to = max(at + 1, int(np.searchsorted(total, total[at] + max_bytes, "right")) - 1)
         yield at, to
         at = to
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, max_bytes: int = CHUNK_BYTES, length=text_bytes) -> Iterator[pa.RecordBatch]:
     """The record batches cut into slices of about max_bytes of the text column."""
     for batch in batches:
-        for at, to in chunks(batch.column(text), max_bytes):
-            yield batch.slice(at, to - at)
+        if len(batch):
+            for at, to in chunks(length(batch.column(text)), max_bytes):
+                yield batch.slice(at, to - at)

@@ -139,6 +139,49 @@ def test_near_cells_link_all_near_pairs_and_no_others():
     assert all(a > b for a, b in zip(node, root))
 
 
+@pytest.mark.parametrize("leaf, depth", [(4, 0), (8, 3), (1000, 0)])
+def test_climbing_compares_all_that_share_the_target_prefix(leaf, depth):
+    g = np.random.default_rng(2)
+    centre = g.integers(0, 256, 64).astype(np.uint8)
+    rows = np.concatenate([np.repeat(centre[None], 300, 0), g.integers(0, 256, (100, 64)).astype(np.uint8)])
+    for row in rows:  # a dense cluster in which some pairs are near and others aren't, and strangers
+        for bit in g.choice(512, g.integers(0, 90), replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    ids = g.permutation(1000)[: len(rows)].astype(np.int64)
+    keys = g.integers(0, 1 << 32, len(rows)).astype(np.int64)
+    node, root = near.cell_links(ids, rows, keys, 0, depth, 102, leaf)
+    found = dict(zip(node.tolist(), root.tolist()))
+    words = rows.view(np.uint64)
+    alike = (keys[:, None] >> (32 - depth)) == (keys[None, :] >> (32 - depth)) if depth else np.ones((400, 400), bool)
+    close = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= 102
+    for i, j in np.argwhere(close & alike):
+        assert found.get(ids[i], ids[i]) == found.get(ids[j], ids[j])
+    parent = {int(i): int(i) for i in ids}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in np.argwhere(close):
+        a, b = top(int(ids[i])), top(int(ids[j]))
+        parent[max(a, b)] = min(a, b)
+    assert all(top(a) == top(b) for a, b in found.items())
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.2, 0.4])
+def test_no_radius_hides_pairs_of_a_cell(radius):
+    g, far = np.random.default_rng(4), round(radius * near.BITS)
+    base = g.integers(0, 256, (200, 64)).astype(np.uint8)
+    rows = np.concatenate([base, base])
+    for row in rows[200:]:
+        for bit in g.choice(512, far, replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    node, root = near.cell_links(np.arange(400), rows, np.zeros(400, np.int64), 0, 0, far, 64)
+    found = dict(zip(node.tolist(), root.tolist()))
+    assert all(found.get(200 + i, 200 + i) == found.get(i, i) for i in range(200))
+
+
 def test_tries_reach_the_recall():
     for n in (0, 1, 1000, 10**6, 10**10):
         count, depth = near.tries(n)

@@ -134,6 +134,19 @@ def test_near_duplicate_groups_equal_brute_force(spark):
     assert all(top(a) == top(b) for a, b in found.items())  # nothing is grouped that brute force keeps apart
 
 
+def test_large_cells_are_compared_block_by_block(spark):
+    r = random.Random(21)
+    base = [text(60, f"b{i}") for i in range(40)]
+    given = [(i, edit(base[i % 40], 1, f"c{i}")) for i in range(400)]
+    df = spark.createDataFrame(given, "doc_id bigint, text string")
+    whole = rows(near.near_duplicates(df))
+    assert len(whole) > 200 and rows(near.near_duplicates(df, block=50)) == whole
+    twice = df.unionByName(spark.createDataFrame([(0, base[1]), (7, base[9]), (7, base[9])], df.schema))  # ids with two texts join their groups
+    groups = dict(near.near_duplicates(twice).collect())
+    assert groups.get(1, 1) == groups.get(0, 0) and groups.get(9, 9) == groups.get(7, 7)
+    assert near.near_dedup(twice).count() == 400 - len(groups)
+
+
 def spans_by_brute_force(cases, k):
     seen, covered, texts = {}, defaultdict(set), {}
     for i, t in cases:
@@ -157,6 +170,7 @@ def test_repeated_spans(docs, nothing, k, m):
         assert r.first_doc_id <= r.doc_id
         found[r.doc_id].update(range(r.start_word, r.end_word))
     assert found == spans_by_brute_force(CASES, k)
+    assert rows(substring.repeated_spans(docs, k=k, m=m, hot=0)) == rows(substring.repeated_spans(docs, k=k, m=m))
     assert substring.repeated_spans(nothing, k=k, m=m).count() == 0
 
 
@@ -183,11 +197,55 @@ def test_decontamination(docs, nothing, benchmark):
     for a, b in ((nothing, benchmark), (docs, benchmark.limit(0)), (nothing, benchmark.limit(0))):
         for limit in (1 << 20, -1):
             assert decontamination.contaminated(a, b, broadcast_bytes=limit).count() == 0
+    words = docs.sparkSession.createDataFrame([(1, "that is too short"), (2, "too  SHORT"), (3, "too very short")], "doc_id bigint, text string")
+    for limit in (1 << 20, -1):
+        assert decontamination.contaminated(words, benchmark, broadcast_bytes=limit).count() == 0
+        assert rows(decontamination.contaminated(words, benchmark, broadcast_bytes=limit, min_item=1)) == [(1, 4, 2, 4, 2), (2, 4, 0, 2, 2)]
     short = docs.sparkSession.createDataFrame([(1, "well exactly five words is enough, yes"), (2, "exactly five words are enough")], "doc_id bigint, text string")
     for limit in (1 << 20, -1):
         assert rows(decontamination.contaminated(short, benchmark, broadcast_bytes=limit)) == [(1, 5, 1, 6, 5)]
 
 
+def overlaps_by_brute_force(train, item, share, least):
+    """The longest run on any diagonal that starts and ends on equal words, with at most that share of others; the earliest of equals."""
+    best = None
+    for d in range(1 - len(item), len(train)):
+        at = [i for i in range(len(item)) if 0 <= i + d < len(train)]
+        for a in at:
+            for b in range(a + least, at[-1] + 2):
+                same = sum(item[i] == train[i + d] for i in range(a, b))
+                if item[a] == train[a + d] and item[b - 1] == train[b - 1 + d] and b - a - same <= share * (b - a) + 1e-9:
+                    key = (a - b, a + d)
+                    if best is None or key < best[0]:
+                        best = (key, (a + d, b + d, same))
+    return best and best[1]
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(8)
+    items = [(i, text(n, f"i{i}")) for i, n in enumerate((3, 5, 6, 7, 9, 12, 13, 14, 18, 25, 30))]
+    docs = []
+    for i in range(60):
+        words = items[i % len(items)][1].split()
+        a = r.randrange(max(1, len(words) - 13))
+        part = words[a:] if len(words) > 13 else words
+        for _ in range(r.choice((0, 0, 1, 2, len(part) // 4, len(part) // 3))):
+            part[r.randrange(len(part))] = r.choice(WORDS)
+        docs.append((i, f"{text(r.randint(0, 9), f'l{i}')} {' '.join(part)} {text(r.randint(0, 9), f'r{i}')}".strip()))
+    for least_item in (5, 1):
+        want = []
+        for i, t in docs:
+            for j, u in items:
+                n = len(u.split())
+                if n >= least_item:
+                    found = overlaps_by_brute_force(t.split(), u.split(), 0.25 if n > 5 else 0, min(13, n))
+                    want += [(i, j, *found)] if found else []
+        for limit in (1 << 20, -1):
+            got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_bytes=limit, min_item=least_item)
+            assert rows(got) == sorted(want, key=repr)
+        assert len(want) > 25
+
+
 def test_decontamination_of_short_items_with_substitutions(spark):
     items = spark.createDataFrame([(1, "six words with one more here"), (2, "an item of eight words that is short"), (3, " ".join(ITEM.split()[:13]))], "item_id bigint, text string")
     texts = [(1, "look six words with none more here now"), (2, "an item in eight words which is short"), (3, "which of those seven rivers runs north through an old capital before it"), (4, "six words and none more here")]
@@ -215,6 +273,44 @@ def test_packing(spark, docs):
     assert out.count() == 3000 and out.select("shard").distinct().count() == 6
 
 
+def test_rows_that_share_an_id_are_spread_over_shards(spark):
+    for same in ("CAST(NULL AS bigint)", "5"):
+        many = spark.range(3000).selectExpr(f"IF(id % 3 = 0, {same}, id + 10) AS id", "1 + id % 900 AS n_tokens")
+        out = packing.pack(many, "id", "n_tokens", shard=200)
+        assert out.count() == 3000 and max(r["count"] for r in out.groupBy("shard").count().collect()) < 400
+
+
+def packed_by_brute_force(vectors, limits):
+    """The rule word for word: of all examples that fit, the one with the greatest weighted dot product; ties to the least vector, then the first."""
+    weight = [sum(v[i] for v in vectors) / limits[i] / len(vectors) for i in range(3)]
+    weight = [w / max(sum(weight), 1e-12) for w in weight]
+    todo, bins, current, left = dict(enumerate(vectors)), {}, 0, list(limits)
+    while todo:
+        fits = {i: v for i, v in todo.items() if all(a <= b for a, b in zip(v, left))}
+        if not fits:
+            current, left = current + 1, list(limits)
+            continue
+        score = {i: sum(v[k] / limits[k] * weight[k] * left[k] / limits[k] for k in range(3)) for i, v in fits.items()}
+        top = max(score.values())
+        best = min((v, i) for i, v in fits.items() if score[i] >= top - 1e-12)[1]
+        bins[best] = current
+        left = [a - b for a, b in zip(left, todo.pop(best))]
+    return bins
+
+
+def test_packing_equals_brute_force(spark):
+    r = random.Random(6)
+    given = [(i, r.randint(0, 900), r.randint(1, 9), r.randint(0, 700)) for i in range(400)] + [(400 + i, 100, 1, 50) for i in range(60)]
+    df = spark.createDataFrame(given, "id bigint, tokens bigint, n bigint, loss bigint").repartition(5)
+    limits = (1000, 10, 750)
+    out = packing.pack(df, "id", "tokens", "n", "loss", *limits, shard=100).collect()
+    assert sorted(x.id for x in out) == list(range(460)) and len({x.shard for x in out}) == 5
+    for shard in {x.shard for x in out}:
+        mine = sorted((x for x in out if x.shard == shard), key=lambda x: x.id)
+        want = packed_by_brute_force([(x.tokens, x.segments, x.loss) for x in mine], limits)
+        assert {i: x.bin for i, x in enumerate(mine)} == want
+
+
 def test_pieces_of_long_documents_are_segments(spark):
     long = spark.range(40).selectExpr("id", "8200 AS n_tokens")
     out = packing.pack(long, "id", "n_tokens", max_loss=4096).collect()
@@ -303,6 +399,8 @@ def test_url_decisions(spark):
     assert got == sorted(expected, key=repr)
     assert rows(urls.url_decisions(clash(df), listed)) == got
     assert urls.url_decisions(df.limit(0), listed).count() == 0
+    broken = listed.unionByName(spark.createDataFrame([(8, "block", "/ads/["), (9, "block", "a{2"), (10, "block", "(")], listed.schema))
+    assert rows(urls.url_decisions(df, broken)) == got
     assert {r[5] for r in rows(urls.url_decisions(df, listed.limit(0)))} == {"pass"}
 
 
@@ -352,7 +450,7 @@ def test_template_counts_equal_brute_force(spark):
         size[host].add(h)
         for x in templates.subtree_hashes(H.build(h)[0]).values():
             pages[host, x].add(h)
-    known = {k for k, v in pages.items() if len(v) >= 3 and len(v) >= 0.3 * len(size[k[0]])}
+    known = {k for k, v in pages.items() if len(v) >= templates.MIN_PAGES and len(v) >= 0.3 * len(size[k[0]])}
     for row in templates.extract(df, min_share=0.3).collect():
         root = H.build(given[row.page_id][2])[0]
         n = templates.cut(root, {x for host, x in known if host == row.url.split("/")[2]})
@@ -372,6 +470,8 @@ def test_chats(spark):
     assert got[2].cost == 4 and got[2].roles == "user assistant"  # relabel both; two insertions would cost 6
     assert got[3].cost == 2 and got[3].roles == "user assistant" and "x\nx" in got[3].rendered and "late" in got[3].rendered
     assert got[None].roles == "user assistant" and got[None].cost == 3
+    lone = df.unionByName(df.where("conv_id IS NULL"))
+    assert len([r for r in roles.format_chats(lone).collect() if r.conv_id is None]) == 2  # rows without an id belong to nothing
     assert got[4].cost == 4 and got[4].n_turns == 2 and len(got[5].rendered) > 200_000
     assert roles.format_chats(df.limit(0)).count() == 0
     assert rows(roles.format_chats(clash(df))) == rows(roles.format_chats(df.repartition(4)))
