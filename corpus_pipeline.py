@@ -24,22 +24,27 @@ from quire.llm.session import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that mostly repeat themselves go.  Empty and null texts stay, as do null ids; repeated rows share their fate."""
     return repetition.quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document with the least id stays.  Texts without words and rows with a null id stay; of rows that repeat an id one stays."""
     return near.near_dedup(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay only where they occur first; a document of which no word is left goes.  Empty and null texts, and null ids, stay as they are."""
     return substring.substring_dedup(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go.  Empty and null texts, and null ids, stay; an empty benchmark removes nothing."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document, or piece of one, is placed.  A document without text is a segment without tokens; null ids and repeated rows are placed like others."""
     counted = pieces.with_token_counts(docs, keep=["doc_id"])
     return packing.pack(counted, "doc_id", "n_tokens", max_loss=packing.MAX_TOKENS)
 
@@ -59,6 +64,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            shared.drop(before)
     return docs
