@@ -26,9 +26,6 @@ SCOPE = frozenset("html table td th caption template object applet marquee".spli
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
-#: Elements nested deeper become siblings.
-MAX_DEPTH = 400
-
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
     r"|<(?P<decl>[!?])[^>]*>?"
@@ -39,9 +36,10 @@ _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 
 
 class Node:
-    __slots__ = ("kind", "tag", "attrs", "value", "parent", "children", "start", "end", "synthetic", "closed")
+    __slots__ = ("kind", "tag", "attrs", "value", "parent", "children", "start", "end", "synthetic", "closed", "pre")
 
     def __init__(self, kind: str, tag: str, attrs: dict[str, str] | None, value: str | None, start: int, end: int, synthetic: bool = False):
+        self.pre = -1  # place in document order, once numbered()
         self.kind, self.tag, self.attrs, self.value = kind, tag, attrs, value
         self.start, self.end, self.synthetic = start, end, synthetic
         self.parent: Node | None = None
@@ -67,6 +65,7 @@ class _Builder:
     def __init__(self) -> None:
         self.root = Node("element", "#root", {}, None, 0, 0, True)
         self.stack = [self.root]
+        self.tags: dict[str, int] = {"#root": 1}  # open elements by tag: most searches of a deep stack end here
         self.html = self.head = self.body = None
         self.active: list[Node | None] = []
         self.warnings: list[str] = []
@@ -87,7 +86,20 @@ class _Builder:
     def open(self, tag: str, attrs: dict[str, str], start: int, end: int, synthetic: bool = False) -> Node:
         node = Node("element", tag, attrs, None, start, end, synthetic)
         self.push(node)
+        self.enter(node)
+        return node
+
+    def enter(self, node: Node) -> None:
         self.stack.append(node)
+        self.tags[node.tag] = self.tags.get(node.tag, 0) + 1
+        node.closed = False
+
+    def leave(self, at: int | None = None) -> Node:
+        node = self.stack.pop()
+        self.tags[node.tag] -= 1
+        node.closed = True
+        if at is not None:
+            node.end = at
         return node
 
     def need_html(self, at: int) -> None:
@@ -97,19 +109,20 @@ class _Builder:
     def need_body(self, at: int) -> None:
         self.need_html(at)
         if self.body is None:
-            del self.stack[self.stack.index(self.html) + 1 :]
+            self.cut_to(self.html, at)
             if self.head is None:
                 self.head = self.open("head", {}, at, at, True)
-                self.stack.pop()
+                self.leave()
             self.body = self.open("body", {}, at, at, True)
 
     # -- closing
     def pop_to(self, node: Node, at: int) -> None:
-        while self.stack[-1] is not node:
-            self.stack.pop().end = at
-        self.stack.pop().end = at
+        self.cut_to(node, at)
+        self.leave(at)
 
     def in_scope(self, tags: frozenset[str] | set[str], stop: frozenset[str] = SCOPE) -> Node | None:
+        if not any(self.tags.get(tag) for tag in tags):
+            return None
         for node in reversed(self.stack):
             if node.tag in tags:
                 return node
@@ -125,9 +138,8 @@ class _Builder:
     def reconstruct(self, at: int) -> None:
         if not self.active:
             return
-        opened = {id(e) for e in self.stack}
         i = len(self.active)
-        while i and self.active[i - 1] is not None and id(self.active[i - 1]) not in opened:
+        while i and self.active[i - 1] is not None and self.active[i - 1].closed:
             i -= 1
         for j in range(i, len(self.active)):
             old = self.active[j]
@@ -179,10 +191,10 @@ class _Builder:
         if tag in ("body", "frameset"):
             self.need_html(start)
             if self.body is None:
-                del self.stack[self.stack.index(self.html) + 1 :]
+                self.cut_to(self.html, start)
                 if self.head is None:
                     self.head = self.open("head", {}, start, start, True)
-                    self.stack.pop()
+                    self.leave()
                 self.body = self.open("body", attrs, start, end)
             else:
                 for k, v in attrs.items():
@@ -193,14 +205,14 @@ class _Builder:
             if tag in HEAD:
                 if self.head is None:
                     self.head = self.open("head", {}, start, start, True)
-                elif self.head not in self.stack:
-                    self.stack.append(self.head)
+                elif self.head.closed:
+                    self.enter(self.head)
             else:
                 self.need_body(start)
         if tag in CLOSES_P:
             self.close_p(start)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop().end = start
+            self.leave(start)
         elif tag == "li":
             node = self.in_scope({"li"}, SCOPE | {"ul", "ol", "menu", "dir"})
             if node is not None:
@@ -211,7 +223,7 @@ class _Builder:
                 self.pop_to(node, start)
         elif tag in ("option", "optgroup"):
             if self.stack[-1].tag == "option":
-                self.stack.pop().end = start
+                self.leave(start)
         elif tag in TABLE_PARTS:
             if not self.table_part(tag, start):
                 return None
@@ -231,8 +243,8 @@ class _Builder:
             tag = "img"
         node = Node("element", tag, attrs, None, start, end)
         self.push(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
+        if tag not in VOID:
+            self.enter(node)
             if tag in FORMATTING:
                 like = [e for e in self.active if e is not None and e.tag == tag and e.attrs == attrs]
                 if len(like) >= 3:
@@ -285,7 +297,7 @@ class _Builder:
     def cut_to(self, node: Node, at: int) -> None:
         """Close all that is open inside node."""
         while self.stack[-1] is not node:
-            self.stack.pop().end = at
+            self.leave(at)
 
     def end_format(self, tag: str, at: int) -> None:
         node = next((e for e in reversed(self.active) if e is not None and e.tag == tag), None)
@@ -295,7 +307,7 @@ class _Builder:
                 self.pop_to(other, at)
             return
         self.active.remove(node)
-        if node in self.stack and self.in_scope({tag}) is not None:
+        if not node.closed and self.in_scope({tag}) is not None:
             # inner formatting elements stay active, and are opened again by what follows
             self.pop_to(node, at)
 
@@ -303,7 +315,7 @@ class _Builder:
         if tag in ("html", "body"):
             return
         if tag == "head":
-            if self.head is not None and self.head in self.stack:
+            if self.head is not None and not self.head.closed:
                 self.pop_to(self.head, end)
             return
         if tag == "br":
@@ -371,7 +383,7 @@ def build(source: str) -> tuple[Node, list[str]]:
             at = n if close < 0 else close + 1
             node.end = at
             if b.stack[-1] is node:
-                b.stack.pop()
+                b.leave()
     for node in b.stack:
         node.end = n
     if b.html is None and n:
@@ -388,6 +400,14 @@ def walk(root: Node):
         stack.extend(reversed(node.children))
 
 
+def numbered(root: Node) -> Node:
+    """root, with each node's place in document order in ``pre``, as in the node table."""
+    root.pre = 0
+    for i, node in enumerate(walk(root), 1):
+        node.pre = i
+    return root
+
+
 _WS = re.compile(r"[\s ﻿]+")
 
 
@@ -410,37 +430,69 @@ def flatten(root: Node) -> list[dict]:
     """Rows of the node table in document order (nested-set form), with [text_start, text_end) into text_buffer(root)."""
     rows: list[dict] = []
     length = 0
-
-    def visit(node: Node, parent_pre: int | None, depth: int, path: str) -> tuple[int, int, int]:
-        nonlocal length
-        pre = len(rows)
+    stack: list[tuple[Node | None, int | None, int, str]] = [(root, None, 0, "")]
+    open_rows: list[dict] = []
+    while stack:
+        node, parent_pre, depth, path = stack.pop()
+        if node is None:  # all below the last open row has been seen
+            row = open_rows.pop()
+            row["post"], row["text_end"] = len(rows) - 1, length
+            if open_rows:
+                up = open_rows[-1]
+                up["links"] += row["links"]
+                up["images"] += row["images"]
+                up["sub_depth"] = max(up["sub_depth"], row["sub_depth"] + 1 if row["kind"] == "element" else row["sub_depth"])
+            continue
         row = {
-            "pre": pre, "post": pre, "parent_pre": parent_pre, "depth": depth, "node_id": path, "kind": node.kind, "tag": node.tag,
+            "pre": len(rows), "post": 0, "parent_pre": parent_pre, "depth": depth, "node_id": path, "kind": node.kind, "tag": node.tag,
             "attrs": node.attrs, "value": node.value, "start_offset": node.start, "end_offset": node.end, "synthetic": node.synthetic,
-            "text_start": length, "text_end": length, "text_len": 0, "links": 0, "images": 0, "sub_depth": 0,
+            "text_start": length, "text_end": length, "text_len": 0, "links": int(node.tag == "a" and "href" in (node.attrs or {})), "images": int(node.tag == "img"), "sub_depth": 0,
         }
         rows.append(row)
+        open_rows.append(row)
         if node.kind == "text":
             length += len(node.value)
         elif node.kind == "element" and (node.tag == "br" or node.tag in BLOCK):
             length += 1
-        links, images, deep = int(node.tag == "a" and "href" in (node.attrs or {})), int(node.tag == "img"), 0
         seen: dict[str, int] = {}
+        below = []
         for child in node.children:
             seen[child.tag] = seen.get(child.tag, 0) + 1
-            a, b, c = visit(child, pre, depth + 1, f"{path}/{child.tag}[{seen[child.tag]}]")
-            links, images, deep = links + a, images + b, max(deep, c + 1 if child.kind == "element" else c)
-        row["post"], row["text_end"] = len(rows) - 1, length
-        row["links"], row["images"], row["sub_depth"] = links, images, deep
-        return links, images, deep
-
-    visit(root, None, 0, "")
+            below.append((child, row["pre"], depth + 1, f"{path}/{child.tag}[{seen[child.tag]}]"))
+        stack.append((None, None, 0, ""))
+        stack.extend(reversed(below))
     buffer = text_buffer(root)
     for row in rows:
         row["text_len"] = len(_WS.sub(" ", buffer[row["text_start"] : row["text_end"]]).strip())
     return rows
 
 
+def escape(text: str, attribute: bool = False) -> str:
+    text = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    return text.replace('"', "&quot;") if attribute else text
+
+
+def to_html(root: Node) -> str:
+    """The subtree as HTML; reading it again gives the same tree where tags may nest as they do."""
+    out: list[str] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.kind == "text":
+            out.append(node.value if node.parent is not None and node.parent.tag in RAW else escape(node.value))
+        elif node.kind == "comment":
+            out.append(f"<!--{node.value}-->")
+        else:
+            if node.tag != "#root":
+                out.append("<" + node.tag + "".join(f' {k}="{escape(v, True)}"' for k, v in (node.attrs or {}).items()) + ">")
+                if node.tag not in VOID:
+                    stack.append(f"</{node.tag}>")
+            stack.extend(reversed(node.children))
+    return "".join(out)
+
+
 def text_buffer(root: Node) -> str:
     parts: list[str] = []
     stack = [root]
