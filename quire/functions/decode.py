@@ -8,19 +8,23 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions import batches as B
+
 _NAMES = {
-    "utf-8": "utf8 unicode-1-1-utf-8",
-    "koi8-r": "koi koi8r",
-    "ibm866": "ibm-866 cp866",
-    "windows-1251": "win1251 win-1251 x-cp1251 cp1251",
-    "windows-1252": "ascii us-ascii latin1 latin-1 iso8859-1 iso-8859-1 cp1252",
+    "utf-8": ("utf8", "unicode-1-1-utf-8", "ascii", "us-ascii"),
+    "koi8-r": ("koi", "koi8", "koi8r", "koi8-ru", "cskoi8r"),
+    "ibm866": ("ibm-866", "cp866", "cp-866", "866"),
+    "windows-1251": ("win1251", "win-1251", "x-cp1251", "cp1251", "cp-1251", "windows1251"),
+    "windows-1252": ("latin1", "latin-1", "iso8859-1", "iso-8859-1", "cp1252", "cp-1252", "windows1252"),
+    "x-mac-cyrillic": ("mac-cyrillic", "maccyrillic"),
 }
-ALIASES = {alias: codec for codec, names in _NAMES.items() for alias in names.split()}
-PYTHON = {"windows-1251": "cp1251", "windows-1252": "cp1252", "koi8-r": "koi8_r", "ibm866": "cp866", "iso-8859-5": "iso8859_5", "utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}
-CANDIDATES = tuple("windows-1251 koi8-r ibm866 iso-8859-5 windows-1252".split())
+ALIASES = {alias: codec for codec, names in _NAMES.items() for alias in names}
+PYTHON = {"windows-1251": "cp1251", "windows-1252": "cp1252", "koi8-r": "koi8_r", "ibm866": "cp866", "iso-8859-5": "iso8859_5", "x-mac-cyrillic": "mac_cyrillic", "utf-8": "utf-8", "utf-16le": "utf-16-le", "utf-16be": "utf-16-be"}
+CANDIDATES = ("windows-1251", "koi8-r", "ibm866", "iso-8859-5", "windows-1252")
 _DECLARED = (re.compile(r"<\?xml\s[^>]*?\bencoding\s*=\s*[\"']?([\w.:-]+)", re.I), re.compile(r"<meta\s[^>]*?\bcontent\s*=\s*[\"'][^\"'>]*charset\s*=\s*([\w.:-]+)", re.I), re.compile(r"<meta\s[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", re.I))
 _BIGRAMS = frozenset("ст но то на ен ов ни ра во ко ос ро ер ре ит не по ка та ор ал ол ем ия ри го ет ле ан ве те ть ас ар ли ла".split())
-_MOJIBAKE = re.compile("[ÃÐÑ][\u0080-¿]|вЂ|Р[°-ї]")
+#: UTF-8 read as Latin-1, or as windows-1251 (of which the letters and signs that Russian doesn't use follow Р and С).
+_MOJIBAKE = re.compile("[ÃÐÑ][\u0080-\u00bf]|вЂ|[РС][ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї°±µ¶·№]")
 
 
 def codec_label(c: Column | str) -> Column:
@@ -53,15 +57,24 @@ def decoded_with(codec: str, data: bytes) -> str | None:
 
 
 def plausibility(text: str) -> float:
-    """Share of common letter pairs and of Cyrillic letters, less what looks broken."""
-    letters = [c for c in text.lower() if c.isalpha()]
+    """Share of common pairs among neighbouring Cyrillic letters, and of Cyrillic among all letters, less what looks broken.
+
+    What is broken counts by itself, not by its share: a character that can't be decoded rules a codec out.
+    """
     if not text:
         return 0.0
-    n = max(1, len(letters))
-    cyrillic = sum("а" <= c <= "я" or c == "ё" for c in letters)
-    pairs = sum(a + b in _BIGRAMS for a, b in zip(letters, letters[1:]))
+    lower = text.lower()
+    native = lambda c: "а" <= c <= "я" or c == "ё"
+    letters = sum(c.isalpha() for c in lower)
+    pairs = [a + b for a, b in zip(lower, lower[1:]) if native(a) and native(b)]
+    common = sum(p in _BIGRAMS for p in pairs) / len(pairs) if pairs else 0.0
     control = sum(ord(c) < 32 and c not in "\t\n\r" or 0x7F <= ord(c) < 0xA0 for c in text)
-    return 100 * pairs / n + 20 * cyrillic / n - 50 * text.count("�") / len(text) * 10 - 25 * control / len(text) * 10 - 10 * len(_MOJIBAKE.findall(text)) / n * 10
+    return 100 * common + 20 * sum(map(native, lower)) / max(1, letters) - 50 * text.count("�") - 25 * control - 10 * len(_MOJIBAKE.findall(text))
+
+
+def garbled(text: str, share: float = 0.01) -> bool:
+    """Whether a text reads like bytes that were decoded by the wrong codec."""
+    return len(_MOJIBAKE.findall(text)) > share * max(1, len(text))
 
 
 def decide(data: bytes | None) -> dict:
@@ -80,12 +93,16 @@ def decide(data: bytes | None) -> dict:
         text, codec, source = decoded_with(mark, data), mark, "bom"
     if text is None and declared:
         attempt = decoded_with(declared, data)
-        if attempt is not None and "�" not in attempt:
+        if attempt is not None and "�" not in attempt and not garbled(attempt):
             text, codec, source = attempt, declared, "declared"
     if text is None:
         try:
             text, codec, source = data.decode("utf-8"), "utf-8", "utf-8"
+            if garbled(text):
+                text = None
         except UnicodeDecodeError:
+            pass
+        if text is None:
             scored = sorted(((plausibility(t), -i, c, t) for i, c in enumerate(CANDIDATES) if (t := decoded_with(c, data)) is not None), reverse=True)
             best, second = scored[0], scored[1]
             uncertain = best[0] - second[0] < 10
@@ -111,7 +128,7 @@ def decode_pages(pages: DataFrame, content: str = "content") -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(DECODED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in B.slices(batches):
             out = pa.RecordBatch.from_pylist([decide(b) for b in batch.column(len(keep)).to_pylist()], schema=arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out.columns], [*keep, *out.schema.names])
 
@@ -153,17 +170,9 @@ def islands(text: str) -> tuple[str, list[dict]]:
 def quarantine(pages: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, clean, kind, start, end, line, raw, unterminated): a row for each island, one with null kind for a page without."""
     schema = f"{id_col} bigint, clean string, kind string, start int, end int, line int, raw string, unterminated boolean"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    def of(i: int, value: str | None) -> Iterator[dict]:
+        clean, found = islands(value or "")
+        return ({id_col: i, "clean": clean, **f} for f in found or [{}])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                clean, found = islands(t or "")
-                rows += [{id_col: i, "clean": clean, **f} for f in found or [{}]]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return pages.select(F.col(id_col).cast("bigint"), text).mapInArrow(run, schema)
+    return B.rows_of(pages, id_col, text, schema, of)

@@ -5,246 +5,80 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions import markdown as M, text as T
-from quire.operators import text_ops as O
+from quire.functions import batches as B, checks as K, markdown as M, text as T
 
 BLOCKS = "path string, parent string, ord int, kind string, name string, depth int, line int, text string, props map<string,string>"
 
 
 def read_blocks(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, BLOCKS) of every document; a null document has no blocks."""
-    schema = f"{id_col} bigint, {BLOCKS}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "parent", "ord", "kind", "name", "depth", "line", "text"]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        for batch in batches:
-            ids, rows = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = M.read(t)[0]
-                ids += [i] * len(found)
-                rows += found
-            props = pa.array([list(r["props"].items()) for r in rows], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], props], [id_col, *names, "props"])
-
-    return docs.select(F.col(id_col).cast("bigint"), text).mapInArrow(run, schema)
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, {BLOCKS}", lambda i, t: ({id_col: i, **b, "props": list(b["props"].items())} for b in M.read(t)[0]))
 
 
 def read_warnings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, code, line): what the reader found odd."""
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, code string, line int", lambda i, t: ({id_col: i, "code": c, "line": n} for c, n in M.read(t)[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(i, c, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c, n in M.read(t)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], [id_col, "code", "line"])
 
-    return docs.select(F.col(id_col).cast("bigint"), text).mapInArrow(run, f"{id_col} bigint, code string, line int")
+# -- facts and scores: a document is a row, and all of it is read in its batch (quire.functions.checks)
 
 
-# -- facts
+def facts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, axis, item): headings, links, images, directives and cells of every document, one row for each occurrence."""
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, axis string, item string", lambda i, t: ({id_col: i, "axis": a, "item": x} for a, x in K.facts(M.read(t)[0])))
 
-INLINE_LINK, INLINE_IMAGE = T.LINK, T.IMAGE
 
+def prose_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, prose): the visible text of every document, in order."""
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, prose string", lambda i, t: [{id_col: i, "prose": K.prose(M.read(t)[0])}])
 
-def facts(blocks: DataFrame, id_col: str) -> DataFrame:
-    """(id, axis, item): headings, links, images, directives and cells, one row for each occurrence."""
-    key = F.col(id_col)
-    plain = T.strip_inline("text")
-    headings = blocks.where("kind = 'heading'").select(key, F.lit("headings").alias("axis"), F.concat_ws("\t", "depth", T.fold_label(plain)).alias("item"))
-    prose = blocks.where("kind NOT IN ('directive', 'code')")
-    links = prose.select(key, F.lit("links").alias("axis"), F.explode(F.regexp_extract_all("text", F.lit(INLINE_LINK), 2)).alias("item"))
-    images = prose.select(key, F.lit("images").alias("axis"), F.explode(F.regexp_extract_all("text", F.lit(INLINE_IMAGE), 2)).alias("item"))
-    named = blocks.where("kind = 'directive'")
-    src, link = F.try_element_at("props", F.lit("src")), F.try_element_at("props", F.lit("link"))
-    sources = named.select(key, F.when(F.col("name") == "document", "links").otherwise("images").alias("axis"), src.alias("item")).where("item IS NOT NULL AND item <> ''")
-    targets = named.select(key, F.lit("links").alias("axis"), link.alias("item")).where("item IS NOT NULL AND item <> ''")
-    directives = named.select(key, F.lit("directives").alias("axis"), F.col("name").alias("item"))
-    cells = blocks.where("kind = 'table-row' AND depth > 0").select(key, F.lit("cells").alias("axis"), F.explode(F.split("text", "\x1f")).alias("cell"))
-    cells = cells.select(key, "axis", T.fold_label(T.strip_inline("cell")).alias("item")).where("item <> ''")
-    refs = links.unionByName(images).unionByName(sources).unionByName(targets).withColumn("item", T.fold_target("item"))
-    return headings.unionByName(refs).unionByName(directives).unionByName(cells)
 
+def axis_scores(pairs: DataFrame, id_col: str, expected: str, actual: str) -> DataFrame:
+    """(id, axis, expected, actual, matched, recall, precision, f1, missing): text and five inventories of each pair of documents.
 
-def prose_of(blocks: DataFrame, id_col: str) -> DataFrame:
-    """(id, prose): the visible text of each document in order."""
-    shown = F.when(F.col("kind") == "table-row", F.translate("text", "\x1f", " ")).otherwise(F.col("text"))
-    rows = blocks.where("kind NOT IN ('directive', 'rule')").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line", "path", shown.alias("t")))).alias("x"))
-    return rows.select(id_col, T.visible_text(F.array_join(F.transform("x", lambda r: r["t"]), "\n")).alias("prose"))
-
-
-def table_shapes(blocks: DataFrame, id_col: str) -> DataFrame:
-    """(id, k, cols, rows, cells): each table in order."""
-    t = blocks.where("kind = 'table-row'").groupBy(id_col, "parent", "name").agg(
-        F.min("line").alias("line"), F.max(F.size(F.split("text", "\x1f"))).alias("cols"), (F.count("*") - 1).alias("rows"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("depth") > 0, F.split(F.lower("text"), "\x1f"))))).alias("cells")
-    )
-    return t.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("line")) - 1).alias("k"), "cols", "rows", "cells")
-
+    anchor directives don't count while the expected document has none of them.  missing: the first eight items that lack.
+    """
+    schema = f"{id_col} bigint, axis string, expected bigint, actual bigint, matched bigint, recall double, precision double, f1 double, missing array<string>"
+    return B.rows_of(pairs, id_col, [expected, actual], schema, lambda i, e, a: ({id_col: i, "axis": axis, **x} for axis, x in K.scores(e, a)[0].items()))
 
-def shape_agreement(expected: list[dict], actual: list[dict]) -> float:
-    """Tables paired greedily by shared cells; half for the columns' ratio, half for the rows', over the larger number of tables."""
-    if not expected and not actual:
-        return 1.0
-    if not expected or not actual:
-        return 0.0
-    ratio = lambda a, b: 1.0 if a == b == 0 else min(a, b) / max(a, b)
-    overlap = lambda e, a: len(set(e["cells"]) & set(a["cells"])) / max(1, len(set(e["cells"])))
-    free, total = list(range(len(actual))), 0.0
-    for e in expected:
-        best = max(free, key=lambda i: (overlap(e, actual[i]), -i), default=None)
-        if best is None:
-            break
-        free.remove(best)
-        total += 0.5 * ratio(e["cols"], actual[best]["cols"]) + 0.5 * ratio(e["rows"], actual[best]["rows"])
-    return total / max(len(expected), len(actual))
 
+def overall_scores(pairs: DataFrame, id_col: str, expected: str, actual: str) -> DataFrame:
+    """(id, shape, overall): agreement of table shapes, and the weighted mean of it and the axes."""
 
-SILENT = ("anchor",)
+    def of(i: int, e: str | None, a: str | None):
+        _, shape, overall = K.scores(e, a)
+        return [{id_col: i, "shape": shape, "overall": overall}]
 
+    return B.rows_of(pairs, id_col, [expected, actual], f"{id_col} bigint, shape double, overall double", of)
 
-def axis_scores(pairs: DataFrame, id_col: str, expected: str, actual: str) -> DataFrame:
-    """(id, axis, expected, actual, matched, recall, precision, f1): text and five inventories of each pair of documents.
 
-    anchor directives don't count while the expected document has none of them.
-    """
-    e, a = read_blocks(pairs, id_col, expected), read_blocks(pairs, id_col, actual)
-    fe, fa = facts(e, id_col), facts(a, id_col)
-    spoken = fe.where(F.col("axis") == "directives").where(F.col("item").isin(*SILENT)).select(id_col, "axis", "item").distinct()
-    quiet = fa.where(~((F.col("axis") == "directives") & F.col("item").isin(*SILENT))).unionByName(fa.where((F.col("axis") == "directives") & F.col("item").isin(*SILENT)).join(spoken, [id_col, "axis", "item"], "left_semi"))
-    te = prose_of(e, id_col).select(id_col, F.lit("text").alias("axis"), F.explode(T.shingles("prose")).alias("item"))
-    ta = prose_of(a, id_col).select(id_col, F.lit("text").alias("axis"), F.explode(T.shingles("prose")).alias("item"))
-    scored = O.multiset_f1(fe.unionByName(te), quiet.unionByName(ta), [id_col, "axis"])
-    axes = pairs.select(F.col(id_col).cast("bigint").alias(id_col), F.explode(F.array(*map(F.lit, ("text", "headings", "links", "images", "directives", "cells")))).alias("axis"))
-    return axes.join(scored, [id_col, "axis"], "left").fillna(0, ["expected", "actual", "matched"]).fillna(1.0, ["recall", "precision", "f1"])
+def corpus_score(scores: DataFrame) -> DataFrame:
+    """(documents, mean, least): of overall scores."""
+    return scores.agg(F.count("*").alias("documents"), F.avg("overall").alias("mean"), F.min("overall").alias("least"))
 
 
-def overall_scores(pairs: DataFrame, id_col: str, expected: str, actual: str) -> DataFrame:
-    """(id, shape, overall): the weighted mean of the axes and of table shapes."""
-    axes = axis_scores(pairs, id_col, expected, actual)
-    weight = F.create_map(*[F.lit(x) for kv in T.WEIGHTS.items() for x in kv])
-    sums = axes.groupBy(id_col).agg(F.sum(F.col("f1") * weight[F.col("axis")]).alias("s"))
-    shape = lambda c: table_shapes(read_blocks(pairs, id_col, c), id_col).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("k", "cols", "rows", "cells"))).alias("t"))
-    both = sums.join(shape(expected).withColumnRenamed("t", "e"), id_col, "left").join(shape(actual).withColumnRenamed("t", "a"), id_col, "left")
-    agree = F.udf(lambda e, a: shape_agreement([r.asDict() for r in e or []], [r.asDict() for r in a or []]), "double")
-    return both.select(id_col, "s", agree("e", "a").alias("shape")).select(id_col, "shape", (F.col("s") + T.WEIGHTS["shape"] * F.col("shape")).alias("overall"))
+def report(axes: DataFrame, scores: DataFrame, id_col: str) -> DataFrame:
+    """(id, line): one line of fixed width for each document: the overall score, table shapes and the axes."""
+    cell = lambda name: F.lpad(F.format_string("%.1f", 100 * F.max(F.when(F.col("axis") == name, F.col("f1")))), 7, " ")
+    per = axes.groupBy(id_col).agg(F.concat(*[cell(a) for a in K.AXES]).alias("cells"))
+    pct = lambda c: F.lpad(F.format_string("%.1f", 100 * F.col(c)), 7, " ")
+    return per.join(scores, id_col).select(id_col, F.concat(F.rpad(F.col(id_col).cast("string"), 12, " "), pct("overall"), pct("shape"), F.col("cells")).alias("line"))
 
 
 # -- validation
 
 
-def validate(blocks: DataFrame, id_col: str, frames: bool = True, signatures: bool = True, columns_property: bool = False) -> DataFrame:
-    """(id, code, severity, path): the rules that each block breaks.
-
-    One projection makes all rules of a single block; rules that need children, ancestors or the whole document join or
-    aggregate within it.
-    """
-    p = lambda k: F.try_element_at("props", F.lit(k))
-    name, kind = F.col("name"), F.col("kind")
-    directive = lambda n: (kind == "directive") & (name == n)
-    up = blocks.select(F.col(id_col), F.col("path").alias("parent"), F.col("name").alias("in"))
-    b = blocks.join(up, [id_col, "parent"], "left").withColumn("in", F.coalesce("in", F.lit("")))
-    kids = blocks.where("parent <> ''").groupBy(id_col, F.col("parent").alias("path")).agg(
-        F.count("*").alias("children"),
-        F.sum((name == "image").cast("int")).alias("image_children"),
-        F.sum((name == "column").cast("int")).alias("column_children"),
-        F.max(name == "frame").alias("frame_child"),
-        F.sum((kind == "list-item").cast("int")).alias("items"),
-        F.max((kind == "list-item") & (name == "ordered")).alias("ordered_items"),
-        F.collect_list(F.when(kind == "list-item", T.fold_label(T.strip_inline("text")))).alias("labels"),
-    )
-    b = b.join(kids, [id_col, "path"], "left").fillna(0, ["children", "image_children", "column_children", "items"]).fillna(False, ["frame_child", "ordered_items"])
-    standalone = directive("image") & (F.col("in") != "images")
-    missing = lambda c: c.isNull() | (F.trim(c) == "")
-    outside = lambda c, *ok: c.isNull() | ~c.isin(*ok)
-    hits = F.size(F.filter(F.coalesce("labels", F.array().cast("array<string>")), lambda x: x == T.fold_label(p("active"))))
-    single = [
-        ("align-position", "error", directive("align") & outside(p("position"), "left", "center", "right", "justify")),
-        ("align-wraps-frame", "warning", directive("align") & F.col("frame_child")),
-        ("image-src", "error", directive("image") & missing(p("src"))),
-        ("image-position", "error", standalone & outside(p("position"), "left", "center", "right")),
-        ("image-size", "error", standalone & outside(p("size"), "small", "medium", "large")),
-        ("image-grouped-layout", "error", directive("image") & ~standalone & (p("position").isNotNull() | p("size").isNotNull())),
-        ("image-frame", "error", directive("image") & p("frame").isNotNull() & ~p("frame").isin("black", "gold", "red", "white")),
-        ("image-link-empty", "error", directive("image") & p("link").isNotNull() & (F.trim(p("link")) == "")),
-        ("images-columns", "error", directive("images") & outside(p("columns"), "2", "3", "4")),
-        ("images-children", "error", directive("images") & (F.col("children") < 2)),
-        ("images-children-kind", "error", directive("images") & (F.col("children") != F.col("image_children"))),
-        ("document-props", "error", directive("document") & (missing(p("src")) | missing(p("title")))),
-        ("document-mode", "error", directive("document") & outside(p("mode"), "link", "embed")),
-        ("columns-arity", "error", directive("columns") & ~F.col("children").between(2, 4)),
-        ("columns-children", "error", directive("columns") & (F.col("children") != F.col("column_children"))),
-        ("columns-count", "error", directive("columns") & p("columns").isNotNull() & ~p("columns").isin("2", "3", "4")),
-        ("columns-count-mismatch", "error", directive("columns") & p("columns").isin("2", "3", "4") & (p("columns").try_cast("int") != F.col("children"))),
-        ("columns-property-unsupported", "error", directive("columns") & p("columns").isNotNull() & F.lit(not columns_property)),
-        ("divider-unsupported", "error", directive("columns") & (p("divider") == "true") & F.lit(not columns_property)),
-        ("nav-ordered", "error", directive("nav") & F.col("ordered_items")),
-        ("nav-empty", "error", directive("nav") & (F.col("items") == 0)),
-        ("nav-active", "error", directive("nav") & p("active").isNotNull() & (hits != 1)),
-        ("frame-unsupported", "error", directive("frame") & F.lit(not frames)),
-        ("frame-palette", "error", directive("frame") & outside(p("frame"), "black", "gold", "red", "white")),
-        ("signature-unsupported", "error", directive("signature") & F.lit(not signatures)),
-        ("anchor-identifier-empty", "error", directive("anchor") & missing(p("id"))),
-        ("anchor-identifier-invalid", "error", directive("anchor") & ~missing(p("id")) & ~F.coalesce(p("id").rlike(r"^[\p{L}\p{N}_.:-]+$"), F.lit(False))),
-        ("heading-empty", "error", (kind == "heading") & (F.trim(T.strip_inline("text")) == "")),
-        ("table-header-placeholder", "error", (kind == "table-row") & (F.col("depth") == 0) & F.exists(F.split("text", "\x1f"), lambda c: c.rlike(r"(?i)^(?:Column|Field|Поле|Столбец)\s*\d+$"))),
-        ("highlight-unbalanced", "warning", (kind != "code") & (F.regexp_count("text", F.lit("==")) % 2 == 1)),
-        ("raw-html", "error", ~kind.isin("code", "directive") & F.col("text").rlike(r"(?<!\\)</?\p{Alpha}\p{Alnum}*(?:\s[^<>]*)?>")),
-        ("directive-inside-prefixed-block", "error", kind.isin("quote", "list-item") & F.col("text").rlike(r"^:::\s*[A-Za-z]")),
-    ]
-    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, test in single]))
-    own = b.select(id_col, "path", F.explode(found).alias("x")).select(id_col, "x.code", "x.severity", "path")
-    # ancestors: a path holds those of all its ancestors as prefixes
-    inner = blocks.where("kind = 'directive' AND name IN ('frame', 'nav')").select(id_col, "path", "name")
-    outer = blocks.where("kind = 'directive' AND name IN ('frame', 'align')").select(F.col(id_col), F.col("path").alias("o"), F.col("name").alias("oname"))
-    nested = inner.join(outer, id_col).where("startswith(path, concat(o, '/'))")
-    nested = nested.select(id_col, F.when((name == "frame") & (F.col("oname") == "frame"), "frame-nested").when((name == "nav") & (F.col("oname") == "align"), "nav-in-align").alias("code"), F.lit("error").alias("severity"), "path").where("code IS NOT NULL").distinct()
-    order = Window.partitionBy(id_col).orderBy("line")
-    heads = blocks.where("kind = 'heading'").withColumn("before", F.lag("depth").over(order)).withColumn("h1", F.sum((F.col("depth") == 1).cast("int")).over(Window.partitionBy(id_col)))
-    skips = heads.where("depth > before + 1").select(id_col, F.lit("heading-skips-level").alias("code"), F.lit("warning").alias("severity"), "path")
-    titles = blocks.groupBy(id_col).agg(F.sum(((kind == "heading") & (F.col("depth") == 1)).cast("int")).alias("n")).where("n <> 1").select(id_col, F.lit("h1-count").alias("code"), F.lit("error").alias("severity"), F.lit("document").alias("path"))
-    ident = blocks.where("name = 'anchor' AND kind = 'directive'").select(id_col, "path", "line", p("id").alias("ident")).where("ident <> ''")
-    again = ident.withColumn("k", F.row_number().over(Window.partitionBy(id_col, "ident").orderBy("line"))).where("k > 1").select(id_col, F.lit("anchor-duplicate").alias("code"), F.lit("error").alias("severity"), "path")
-    jumps = blocks.where("kind NOT IN ('code', 'directive')").select(id_col, "path", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(#([^)\s]+)\)"), 1)).alias("ident"))
-    lost = jumps.join(ident.select(id_col, "ident").distinct(), [id_col, "ident"], "left_anti").select(id_col, F.lit("anchor-target-missing").alias("code"), F.lit("warning").alias("severity"), "path").distinct()
-    notes = lambda pattern: blocks.where("kind NOT IN ('code', 'directive')").select(id_col, F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("note")).distinct()
-    used, defined = notes(r"\[\^([^\]]+)\](?!:)"), notes(r"(?m)^\[\^([^\]]+)\]:")
-    undefined = used.join(defined, [id_col, "note"], "left_anti").select(id_col, F.lit("footnote-undefined").alias("code"), F.lit("error").alias("severity"), F.lit("document").alias("path"))
-    unused = defined.join(used, [id_col, "note"], "left_anti").select(id_col, F.lit("footnote-unreferenced").alias("code"), F.lit("warning").alias("severity"), F.lit("document").alias("path"))
-    cells = p("cells").cast("int")
-    ragged = blocks.where("kind = 'table-row'").withColumn("w", F.first(cells).over(Window.partitionBy(id_col, "parent", "name").orderBy("depth"))).where(cells != F.col("w")).select(id_col, F.lit("table-ragged").alias("code"), F.lit("error").alias("severity"), "path")
-    result = own
-    for more in (nested, skips, titles, again, lost, undefined, unused, ragged, complexity(blocks, id_col)):
-        result = result.unionByName(more)
-    return result
-
-
-def complexity(blocks: DataFrame, id_col: str, per_1000: float = 25, max_depth: int = 4, total: int = 40) -> DataFrame:
-    """Documents with more directives than readers can bear; anchors don't count."""
-    real = (F.col("kind") == "directive") & (F.col("name") != "anchor")
-    words = F.when(F.col("kind") != "directive", F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != ""))).otherwise(0)
-    sums = blocks.groupBy(id_col).agg(F.sum(real.cast("int")).alias("n"), F.sum(words).alias("w"), F.max(F.when(real, F.col("depth") + 1)).alias("d"))
-    over = (F.col("n") > total) | (F.col("d") > max_depth) | ((F.col("w") >= 200) & (F.col("n") * 1000 / F.col("w") > per_1000))
-    return sums.where(over).select(id_col, F.lit("complexity-budget").alias("code"), F.lit("warning").alias("severity"), F.lit("document").alias("path"))
+def validate(docs: DataFrame, id_col: str, text: str, frames: bool = True, signatures: bool = True, columns_property: bool = False) -> DataFrame:
+    """(id, code, severity, path): the rules that each document breaks."""
+    of = lambda i, t: ({id_col: i, "code": c, "severity": s, "path": p} for c, s, p in K.validate(t, frames, signatures, columns_property))
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, code string, severity string, path string", of)
 
 
 def lint(docs: DataFrame, id_col: str, text: str, max_line: int = 2200) -> DataFrame:
     """(id, code, line): long lines, fences that don't balance, leaked server markup."""
-    lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("i", "l"))
-    long = lines.where(F.length("l") > max_line).select(id_col, F.lit("line-too-long").alias("code"), (F.col("i") + 1).alias("line"))
-    step = F.when(F.col("l").rlike(rf"^:::\s*{M.NAME}\s*$"), 1).when(F.col("l").rlike(r"^:::\s*$"), -1)
-    upto = Window.partitionBy(id_col).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    # a closing fence too many sets the depth back to 0: the depth is the running sum less its least value so far
-    fences = lines.withColumn("s", step).where("s IS NOT NULL").withColumn("sum", F.sum("s").over(upto))
-    fences = fences.withColumn("low", F.least(F.lit(0), F.min("sum").over(upto)))
-    before = F.coalesce(F.lag("low").over(Window.partitionBy(id_col).orderBy("i")), F.lit(0))
-    fences = fences.withColumn("fell", F.col("low") < before)
-    extra = fences.where("fell").select(id_col, F.lit("fence-unbalanced").alias("code"), (F.col("i") + 1).alias("line"))
-    last = fences.groupBy(id_col).agg(F.max_by(F.col("sum") - F.col("low"), "i").alias("open")).where("open > 0")
-    size = docs.select(id_col, F.size(F.split(text, "\n")).alias("line"))
-    unclosed = last.join(size, id_col).select(id_col, F.lit("fence-unbalanced").alias("code"), "line")
-    leaked = docs.where(F.col(text).rlike(r"<!--#|<%|<\?=|<\?php")).select(id_col, F.lit("server-markup-leaked").alias("code"), F.lit(0).alias("line"))
-    return long.unionByName(extra).unionByName(unclosed).unionByName(leaked)
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, code string, line int", lambda i, t: ({id_col: i, "code": c, "line": n} for c, n in K.lint(t, max_line)))
 
 
 # -- differences

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.functions.compile import levels
 from quire.functions.text import col
 
 LEGACY_PX = {"1": 10, "2": 13, "3": 16, "4": 18, "5": 24, "6": 32, "7": 48}
@@ -77,22 +78,12 @@ def text_offsets(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.withColumn("offset", F.coalesce(F.sum("text_len").over(w), F.lit(0)))
 
 
-def lift_levels(levels: list[int]) -> list[int]:
-    """Heading depths with one title (the first) and no level skipped, judged by what is written before."""
-    out: list[int] = []
-    for i, depth in enumerate(levels):
-        depth = 1 if i == 0 else max(2, depth)
-        out.append(min(depth, out[-1] + 1) if out else depth)
-    return out
-
-
 def enforce_single_title(heads: DataFrame, key: str) -> DataFrame:
-    """heads (ord, depth) with ``level``: a scan with state, one group at a time."""
+    """heads (ord, depth) with ``level``: a scan with state over the headings of each document."""
     rows = heads.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "depth"))).alias("h"))
-    step = lambda acc, x: F.struct((acc["last"] * 0 + F.when(acc["last"] == 0, 1).otherwise(F.least(F.greatest(F.lit(2), x["depth"]), acc["last"] + 1))).cast("int").alias("last"), F.concat(acc["out"], F.array(F.when(acc["last"] == 0, 1).otherwise(F.least(F.greatest(F.lit(2), x["depth"]), acc["last"] + 1)).cast("int"))).alias("out"))
-    start = F.struct(F.lit(0).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
-    levels = rows.select(key, F.arrays_zip(F.col("h.ord").alias("ord"), F.col("h.depth").alias("depth"), F.aggregate("h", start, step)["out"].alias("level")).alias("z"))
-    return levels.select(key, F.inline("z").alias("ord", "depth", "level"))
+    lift = F.udf(lambda depths: levels(list(depths)), "array<int>", useArrow=True)
+    zipped = rows.select(key, F.arrays_zip(F.col("h.ord").alias("ord"), F.col("h.depth").alias("depth"), lift(F.col("h.depth")).alias("level")).alias("z"))
+    return zipped.select(key, F.inline("z").alias("ord", "depth", "level"))
 
 
 # -- alignment
@@ -124,9 +115,10 @@ def box_alignment(x: Column, w: Column, cx: Column, cw: Column, tolerance: float
     return F.when((F.abs(left) <= tolerance) & (F.abs(right) <= tolerance), F.lit(None)).when(F.abs(left - right) <= tolerance, "center").when(F.abs(right) <= tolerance, "right").otherwise("left")
 
 
-def overflow(x: Column, w: Column, cx: Column, cw: Column) -> Column:
-    """Pixels outside the container."""
-    return F.greatest(F.lit(0.0), cx - x, x + w - cx - cw)
+def overflow(x: Column, w: Column, cx: Column, cw: Column, tolerance: float = 1) -> Column:
+    """Pixels outside the container; what is within the tolerance of rounding is none."""
+    out = F.greatest(F.lit(0.0), cx - x, x + w - cx - cw)
+    return F.when(out > tolerance, out).otherwise(F.lit(0.0))
 
 
 # -- geometry
@@ -150,7 +142,8 @@ def row_bands(boxes: DataFrame, key: str) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("y", "ascending"), ("x", "ascending"), ("id", "ascending")])
         band = bands_of(list(zip(rows["y"].to_pylist(), rows["h"].to_pylist(), rows["x"].to_pylist())))
-        order = sorted(range(len(band)), key=lambda i: (band[i], rows["x"][i].as_py(), i))
+        xs, ys = rows["x"].to_pylist(), rows["y"].to_pylist()
+        order = sorted(range(len(band)), key=lambda i: (band[i], xs[i], ys[i], i))
         rank = [0] * len(band)
         for r, i in enumerate(order):
             rank[i] = r
@@ -161,8 +154,47 @@ def row_bands(boxes: DataFrame, key: str) -> DataFrame:
 
 
 def reading_ranks(boxes: DataFrame, key: str) -> DataFrame:
-    """Rank of each box by (band, x, id) where bands are known."""
-    return boxes.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("band", "x", "id")) - 1)
+    """Rank of each box by (band, x, y, id) where bands are known."""
+    return boxes.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("band", "x", "y", "id")) - 1)
+
+
+def lanes(boxes: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """(key, id, lane): boxes (id, x, w) dealt to lanes from the left: one joins while it overlaps the lane's first box by more than half of the narrower."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("x", "ascending"), ("id", "ascending")])
+        out, first, lane = [], None, -1
+        for x, w in zip(rows["x"].to_pylist(), rows["w"].to_pylist()):
+            if first is None or min(x + w, first[0] + first[1]) - max(x, first[0]) <= least * min(w, first[1]):
+                first, lane = (x, w), lane + 1
+            out.append(lane)
+        return pa.table({key: rows[key], "id": rows["id"], "lane": pa.array(out, pa.int32())})
+
+    kind = dict(boxes.dtypes)
+    return boxes.select(key, "id", "x", "w").groupBy(key).applyInArrow(run, f"{key} {kind[key]}, id {kind['id']}, lane int")
+
+
+def compare_layouts(produced: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(key, block, class, produced, reference): where two rendered documents differ, over boxes (key, block, x, y, w, h, cx, cw, text_align) of the blocks that both have.
+
+    layout.align.mismatch: another alignment, declared or else shown by the box; layout.order.mismatch: another place in the reading
+    order of those blocks; layout.containment.mismatch: outside the container in one of the two only.
+    """
+    both = produced.select(key, "block").join(reference.select(key, "block"), [key, "block"], "left_semi").distinct()
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        box = (F.col("x"), F.col("w"), F.col("cx"), F.col("cw"))
+        own = df.join(both, [key, "block"], "left_semi").withColumn("id", F.col("block"))
+        rank = row_bands(own, key).select(key, F.col("id").alias("block"), "rank")
+        shown = own.select(key, "block", F.coalesce(fold_text_align("text_align"), box_alignment(*box), F.lit("left")).alias("align"), (overflow(*box) > 0).alias("out"))
+        return shown.join(rank, [key, "block"]).select(key, "block", F.struct("align", "rank", "out").alias(name))
+
+    pairs = side(produced, "p").join(side(reference, "r"), [key, "block"])
+    flat = lambda c: F.when(c == "justify", "left").otherwise(c)
+    kinds = [("align", flat(F.col("p.align")) != flat(F.col("r.align"))), ("order", F.col("p.rank") != F.col("r.rank")), ("containment", F.col("p.out") != F.col("r.out"))]
+    value = {"align": "align", "order": "rank", "containment": "out"}
+    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(f"layout.{k}.mismatch").alias("class"), F.col(f"p.{value[k]}").cast("string").alias("produced"), F.col(f"r.{value[k]}").cast("string").alias("reference"))) for k, test in kinds]))
+    return pairs.select(key, "block", F.inline(found))
 
 
 # -- lines

@@ -1,345 +1,127 @@
-"""HTML tables: occupancy grids, features, classes, column bands and record plans.
+"""HTML tables of pages as rows: cells, slots, features, classes, bands and plans.
 
-Placing cells depends on all earlier rows, so one Arrow function per table emits flat cell rows; everything
-after that is relational, keyed by table_id, and aggregates or windows over it.
+A page is one row, and all its tables are read in its batch (quire.functions.grids), innermost first.  Each of these relations
+is one narrow map over the pages: no exchange, whatever the size of the corpus.  They are keyed by the page's id
+(table_id) and the table's place in it (seq).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from quire.functions import html_tree as H
-
-MAX_SPAN, MAX_SLOTS = 1000, 100_000
-_ROW_HOLDERS = frozenset("thead tbody tfoot form div center".split())
-_BLOCKS = frozenset("table ul ol dl blockquote pre h1 h2 h3 h4 h5 h6 hr".split())
-
-
-def own_rows(table: H.Node) -> list[H.Node]:
-    rows, stack = [], table.children[::-1]
-    while stack:
-        node = stack.pop()
-        if node.tag == "tr":
-            rows.append(node)
-        elif node.tag in _ROW_HOLDERS:
-            stack.extend(reversed(node.children))
-    return rows
-
-
-def own_cells(row: H.Node) -> list[H.Node]:
-    cells, stack = [], row.children[::-1]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("td", "th"):
-            cells.append(node)
-        elif node.tag in ("form", "div", "center"):
-            stack.extend(reversed(node.children))
-    return cells
-
-
-def _span(node: H.Node, name: str, zero: int) -> int:
-    text = (node.attrs or {}).get(name, "").strip()
-    digits = text[: next((i for i, c in enumerate(text) if not c.isdigit()), len(text))]
-    if not digits:
-        return 1
-    n = int(digits[:9])
-    return zero if n == 0 else min(n, MAX_SPAN)
-
-
-def _count(node: H.Node, tag: str) -> int:
-    return sum(1 for n in H.walk(node) if n.tag == tag and (tag != "a" or "href" in (n.attrs or {})))
-
-
-def place(table: H.Node) -> tuple[list[dict], int, int, list[str]]:
-    """(cells, rows, columns, warnings); a cell has the slots it was given, the first claim on a slot wins."""
-    rows = own_rows(table)
-    taken: dict[tuple[int, int], int] = {}
-    cells: list[dict] = []
-    warnings: list[str] = []
-    height, width = len(rows), 0
-    for r, row in enumerate(rows):
-        c = 0
-        for node in own_cells(row):
-            while (r, c) in taken:
-                c += 1
-            down = max(1, min(_span(node, "rowspan", height - r), height - r))
-            across = _span(node, "colspan", 1)
-            if len(taken) + down * across > MAX_SLOTS:
-                warnings.append("too many slots")
-                down = across = 1
-            slots = [(y, x) for y in range(r, r + down) for x in range(c, c + across) if (y, x) not in taken]
-            if len(slots) < down * across:
-                warnings.append("overlapping spans")
-            for slot in slots:
-                taken[slot] = len(cells)
-            text = H.text_of(node)
-            bold = sum(len(H.text_of(n)) for n in H.walk(node) if n.tag in ("b", "strong"))
-            paragraphs = sum(1 for n in H.walk(node) if n.tag == "p" and H.text_of(n))
-            cells.append(
-                {
-                    "cell": len(cells), "row": r, "col": c, "row_span": down, "col_span": across, "is_header": node.tag == "th", "text": text, "is_empty": not text and not _count(node, "img"),
-                    "links": _count(node, "a"), "images": _count(node, "img"), "inlineable": paragraphs <= 1 and not any(n.tag in _BLOCKS for n in H.walk(node)),
-                    "is_bold": node.tag == "th" or (bool(text) and bold >= 0.9 * len(text)), "slots": slots,
-                }
-            )
-            c += across
-            width = max(width, c)
-    return cells, height, width, warnings
-
-
-CELLS = "table_id bigint, n_rows int, n_cols int, nested int, bordered boolean, cell int, row int, col int, row_span int, col_span int, is_header boolean, text string, is_empty boolean, links int, images int, inlineable boolean, is_bold boolean, slots array<struct<row:int,col:int>>"
-
-
-def _size(text: str | None) -> int:
-    digits = (text or "").strip()
-    digits = digits[: next((i for i, c in enumerate(digits) if not c.isdigit()), len(digits))]
-    return int(digits[:9]) if digits else 0
+from pyspark.sql import DataFrame, functions as F
+
+from quire.functions import batches as B, grids as G, html_tree as H
+
+KEY = "table_id bigint, seq int"
+CELLS = (
+    f"{KEY}, nesting int, n_rows int, n_cols int, nested int, bordered boolean, cell int, row int, col int, row_span int, col_span int, is_header boolean, text string, is_empty boolean, "
+    "links int, images int, inlineable boolean, is_bold boolean, kind string, slots array<struct<row:int,col:int>>"
+)
+FEATURES = (
+    f"{KEY}, rows int, cols int, cell_count int, nested_tables int, rowspan_count int, colspan_count int, has_header_row boolean, header_cells int, empty_ratio double, avg_text_len double, max_text_len int, "
+    "link_density double, image_density double, neighbour_similarity double, column_entropy double, width_variance double, has_border boolean, content_cells int, prosey_cells int, grid_regularity double, "
+    "link_column boolean, picture_paired double, corpus_frequency double"
+)
+
+
+def _each(tables: DataFrame, id_col: str, html: str, schema: str, of: Callable[[list[G.Grid]], Iterable[dict]]) -> DataFrame:
+    """Rows that ``of`` makes of all grids of each page."""
+
+    def rows(i: int, text: str | None) -> Iterator[dict]:
+        for row in of(G.grids(H.build(text or "")[0])):
+            yield {"table_id": i, **row}
+
+    return B.rows_of(tables, id_col, html, schema, rows, "table_id")
 
 
 def grid_cells(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
-    """One row for each cell of the first table of each HTML text (schema CELLS).
+    """One row for each cell of every table of each HTML text (schema CELLS).
 
-    A null text or one without a table has no rows.  Spans are clamped to MAX_SPAN, rowspan 0 reaches the last row, colspan 0 is 1.
+    A null text or one without a table has no rows.  Spans are clamped to grids.MAX_SPAN, rowspan 0 reaches the last row, colspan 0 is 1.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                root = H.build(text or "")[0]
-                table = next((n for n in H.walk(root) if n.tag == "table"), None)
-                if table is None:
-                    continue
-                cells, height, width, _ = place(table)
-                fixed = {"table_id": i, "n_rows": height, "n_cols": width, "nested": sum(1 for n in H.walk(table) if n.tag == "table"), "bordered": _size((table.attrs or {}).get("border")) > 0}
-                out += [{**fixed, **c, "slots": [{"row": y, "col": x} for y, x in c["slots"]]} for c in cells]
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+    def of(grids: list[G.Grid]) -> Iterator[dict]:
+        for g in grids:
+            fixed = {"seq": g.seq, "nesting": g.nesting, "n_rows": g.n_rows, "n_cols": g.n_cols, "nested": g.nested, "bordered": g.bordered}
+            for c in g.cells:
+                own = {k: getattr(c, k) for k in ("cell", "row", "col", "row_span", "col_span", "is_header", "text", "is_empty", "links", "images", "inlineable", "is_bold", "kind")}
+                yield {**fixed, **own, "slots": [{"row": y, "col": x} for y, x in c.slots]}
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    return _each(tables, id_col, html, CELLS, of)
 
-    rows = tables.select(F.col(id_col).cast("bigint").alias("table_id"), F.col(html))
-    arrow = to_arrow_schema(StructType.fromDDL(CELLS))
-    return rows.mapInArrow(run, CELLS)
+
+def grid_warnings(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, warning, n): overlapping and clamped spans."""
+    of = lambda grids: ({"seq": g.seq, "warning": w, "n": g.warnings.count(w)} for g in grids for w in sorted(set(g.warnings)))
+    return _each(tables, id_col, html, f"{KEY}, warning string, n int", of)
 
 
 def grid_slots(cells: DataFrame) -> DataFrame:
-    """(table_id, row, col, cell, is_origin): every occupied slot."""
-    s = cells.select("table_id", "cell", F.col("row").alias("r"), F.col("col").alias("c"), F.explode("slots").alias("s"))
-    return s.select("table_id", "s.row", "s.col", "cell", ((F.col("s.row") == F.col("r")) & (F.col("s.col") == F.col("c"))).alias("is_origin"))
+    """(table_id, seq, row, col, cell, text, is_origin): every occupied slot."""
+    s = cells.select("table_id", "seq", "cell", "text", F.col("row").alias("r"), F.col("col").alias("c"), F.explode("slots").alias("s"))
+    return s.select("table_id", "seq", "s.row", "s.col", "cell", "text", ((F.col("s.row") == F.col("r")) & (F.col("s.col") == F.col("c"))).alias("is_origin"))
 
 
-def trailing_empty(cells: DataFrame) -> DataFrame:
-    """(table_id, n_trailing): rows at the end, never the first, with nothing but empty cells.  A row in which a cell with content only continues isn't empty."""
-    filled = F.max(F.when(~F.col("is_empty"), F.col("row") + F.col("row_span") - 1))
-    return cells.groupBy("table_id").agg((F.first("n_rows") - F.greatest(F.coalesce(filled, F.lit(0)), F.lit(0)) - 1).cast("int").alias("n_trailing"))
+def trailing_empty(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, n_rows, n_trailing): rows at the end, never the first, that are empty."""
+    of = lambda grids: ({"seq": g.seq, "n_rows": g.n_rows, "n_trailing": g.trailing} for g in grids)
+    return _each(tables, id_col, html, f"{KEY}, n_rows int, n_trailing int", of)
 
 
-def content_kind() -> Column:
-    t = F.trim("text")
-    return (
-        F.when(F.col("is_empty"), "empty")
-        .when((F.col("images") > 0) & (F.length("text") < 3), "image")
-        .when((F.col("links") > 0) & (F.length("text") < 40), "link")
-        .when(t.rlike(r"^\d{4}$"), "year")
-        .when(t.rlike(r"^[\d\s.,–—-]+$"), "number")
-        .when((F.col("images") > 0) | (F.col("links") > 0), "mixed")
-        .when(F.length(t) > 80, "longText")
-        .otherwise("shortText")
-    )
+def table_features(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """One row of features for each table (schema FEATURES)."""
+    return _each(tables, id_col, html, FEATURES, lambda grids: ({"seq": g.seq, **G.features(g)} for g in grids))
 
 
-def table_features(cells: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
-    """One row of features for each table; frequency (table_id, corpus_frequency) is optional.
+def classify_tables(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, class, confidence, tier): gates first, then scores with a margin; tables of one page know of each other's pictures."""
 
-    One exchange by table_id serves all windows and aggregates but the entropy of columns, which has its own grain.
-    """
-    trailing = trailing_empty(cells)
-    c = cells.join(trailing, "table_id").withColumn("kind", content_kind())
-    live = c.where(F.col("row") < F.col("n_rows") - F.col("n_trailing"))
-    by_row = Window.partitionBy("table_id", "row").orderBy("col")
-    live = live.withColumn("next_kind", F.lead("kind").over(by_row))
-    n_first = F.sum((F.col("row") == 0).cast("int"))
-    n_header = F.sum(F.col("is_header").cast("int"))
-    flag = lambda cond: F.sum(cond.cast("int"))
-    base = live.groupBy("table_id").agg(
-        (F.first("n_rows") - F.first("n_trailing")).alias("rows"),
-        F.first("n_cols").alias("cols"),
-        F.count("*").alias("cell_count"),
-        F.first("nested").alias("nested_tables"),
-        flag(F.col("row_span") > 1).alias("rowspan_count"),
-        flag(F.col("col_span") > 1).alias("colspan_count"),
-        ((n_first >= 2) & ((flag(F.col("is_header") & (F.col("row") == 0)) == n_first) | (n_header >= n_first))).alias("has_header_row"),
-        n_header.alias("header_cells"),
-        F.avg(F.col("is_empty").cast("int")).alias("empty_ratio"),
-        F.avg(F.length("text")).alias("avg_text_len"),
-        F.max(F.length("text")).alias("max_text_len"),
-        (F.sum("links") / F.count("*")).alias("link_density"),
-        (F.sum("images") / F.count("*")).alias("image_density"),
-        F.coalesce(F.avg((F.col("kind") == F.col("next_kind")).cast("int")), F.lit(0.0)).alias("neighbour_similarity"),
-        F.first("bordered").alias("has_border"),
-        flag(~F.col("is_empty")).alias("content_cells"),
-        flag(F.length("text") > 120).alias("prosey_cells"),
-        (F.sum(F.size("slots")) / F.first(F.col("n_rows") * F.col("n_cols"))).alias("live_regularity"),
-    )
-    regular = cells.groupBy("table_id").agg((F.sum(F.size("slots")) / F.first(F.col("n_rows") * F.col("n_cols"))).alias("grid_regularity"))
-    in_column = live.select("table_id", "cell", "kind", "links", F.length("text").alias("len"), "is_empty", F.explode(F.array_distinct(F.col("slots.col"))).alias("c"))
-    per_kind = in_column.groupBy("table_id", "c", "kind").agg(
-        F.count("*").alias("n"),
-        flag(~F.col("is_empty") & ~((F.col("links") == 1) & (F.col("len") < 40))).alias("other"),
-        flag(~F.col("is_empty")).alias("filled"),
-    )
-    per_column = per_kind.groupBy("table_id", "c").agg(
-        (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h"), (F.sum("other") == 0).alias("only_links"), F.sum("filled").alias("filled")
-    )
-    columns = per_column.groupBy("table_id").agg(F.avg("h").alias("column_entropy"), F.max(F.col("only_links") & (F.col("filled") >= 3)).alias("link_column"))
-    pair = c.groupBy("table_id", "row").agg(
-        F.count("*").alias("n"), flag(F.col("kind") == "image").alias("pictures"), flag(F.col("kind").isin("shortText", "longText", "link", "mixed")).alias("worded"), flag(F.col("kind") != "empty").alias("filled"), F.first("n_cols").alias("n_cols")
-    ).where((F.col("n") == 2) & (F.col("filled") > 0) & (F.col("n_cols") == 2)).groupBy("table_id").agg(F.avg(((F.col("pictures") == 1) & (F.col("worded") == 1)).cast("int")).alias("picture_paired"))
-    f = base.drop("live_regularity").join(regular, "table_id").join(columns, "table_id", "left").join(pair, "table_id", "left").fillna(0.0, ["picture_paired", "column_entropy"]).fillna(False, ["link_column"])
-    if frequency is not None:
-        return f.join(frequency.select("table_id", "corpus_frequency"), "table_id", "left").fillna(0.0, ["corpus_frequency"])
-    return f.withColumn("corpus_frequency", F.lit(0.0))
-
-
-_SCORED = tuple("SHELL LAYOUT DATA HYBRID CATALOG UNKNOWN".split())
-
-
-def tier2_scores() -> dict[str, Column]:
-    """Additive evidence for each class, over the columns of table_features."""
-    f = F.col
-
-    def add(*parts: tuple[Column, float] | tuple[Column, float, float]) -> Column:
-        total = F.lit(0.0)
-        for test, yes, *no in parts:
-            total = total + F.when(test, yes).otherwise(no[0] if no else 0.0)
-        return total
-
-    return {
-        "SHELL": f("corpus_frequency") * 0.8 + add(((f("avg_text_len") < 8) & (f("cell_count") > 3), 0.2), ((f("image_density") > 0.6) & (f("avg_text_len") < 5), 0.2)),
-        "LAYOUT": add(
-            (f("nested_tables") > 0, 0.35), (f("empty_ratio") > 0.35, 0.2), (f("max_text_len") > 300, 0.25), (f("grid_regularity") < 0.8, 0.15), (~f("has_border") & ~f("has_header_row"), 0.15),
-            (f("rows") <= 2, 0.15), (f("colspan_count") + f("rowspan_count") > f("rows"), 0.15), (f("has_header_row"), -0.3),
-        ),
-        "DATA": add(
-            (f("has_header_row"), 0.35), (f("grid_regularity") > 0.95, 0.2), (f("neighbour_similarity") < 0.5, 0.15), (f("column_entropy") < 0.6, 0.2), ((f("rows") >= 3) & (f("cols") >= 2), 0.15),
-            (f("max_text_len") < 120, 0.1, -0.2), (f("has_border"), 0.05), (f("nested_tables") > 0, -0.35), (f("empty_ratio") > 0.35, -0.25),
-        ),
-        "HYBRID": add((f("has_header_row") & (f("nested_tables") > 0), 0.4), ((f("image_density") > 0.2) & f("has_header_row"), 0.2), ((f("max_text_len") > 200) & (f("grid_regularity") > 0.9) & (f("cols") >= 2), 0.2)),
-        "CATALOG": add(((f("image_density") > 0.3) & (f("cols") == 2) & (f("rows") >= 2), 0.3), (f("cols") == 2, 0.1)),
-        "UNKNOWN": F.lit(0.15),
-    }
-
-
-def classify_tables(features: DataFrame, peers: Column | None = None) -> DataFrame:
-    """(table_id, class, confidence, tier): ordered gates first, then scores with a margin."""
-    f = F.col
-    gates = [
-        (f("corpus_frequency") > 0.7, "SHELL", 0.95),
-        ((f("rows") == 1) & (f("cols") == 1), "LAYOUT", 0.97),
-        ((f("content_cells") == 1) & (f("cell_count") > 1), "LAYOUT", 0.9),
-        (f("has_header_row") & (f("rows") >= 3) & (f("cols") >= 2) & (f("max_text_len") < 400), "DATA", 0.93),
-        (f("link_column"), "DATA", 0.88),
-        ((f("rows") >= 3) & (f("grid_regularity") == 1) & (f("max_text_len") < 80) & (f("cols") >= 2) & (f("empty_ratio") < 0.2), "DATA", 0.85),
-        ((f("nested_tables") > 0) & (f("prosey_cells") > 1), "HYBRID", 0.8),
-        ((f("cols") == 2) & (f("picture_paired") == 1) & ((f("rows") >= 2) | (peers >= 1 if peers is not None else F.lit(False))), "CATALOG", 0.85),
-    ]
-    scored = features.withColumns({f"s_{k}": F.round(v, 9) for k, v in tier2_scores().items()})
-    ranked = F.sort_array(F.array(*[F.struct(f(f"s_{k}").alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(_SCORED)]), asc=False)
-    scored = scored.withColumn("ranked", ranked)
-    first, second = f("ranked")[0], f("ranked")[1]
-    kind = F.when(F.round(first["s"] - second["s"], 9) < 0.15, "UNKNOWN").otherwise(first["k"])
-    sure, tier = F.greatest(F.lit(0.0), F.least(F.lit(1.0), first["s"])), F.lit(2)
-    for test, what, confidence in reversed(gates):
-        kind, sure, tier = F.when(test, what).otherwise(kind), F.when(test, confidence).otherwise(sure), F.when(test, 1).otherwise(tier)
-    return scored.select("table_id", kind.alias("class"), sure.alias("confidence"), tier.alias("tier"))
-
-
-def column_bands(cells: DataFrame) -> DataFrame:
-    """(table_id, band, start, end): the boundaries most full-width rows agree on; a header row with no more of them wins."""
-    row = cells.groupBy("table_id", "row").agg(
-        F.sort_array(F.collect_list("col")).alias("bounds"), (F.max(F.col("col") + F.col("col_span")) == F.first("n_cols")).alias("full"), F.min("is_header").alias("headers"), F.first("n_cols").alias("n_cols")
-    ).where("full")
-    votes = row.groupBy("table_id", "bounds").agg(F.count("*").alias("n"), F.first("n_cols").alias("n_cols"), F.min("row").alias("at"))
-    best = Window.partitionBy("table_id").orderBy(F.desc("n"), F.size("bounds"), "at")
-    votes = votes.withColumn("k", F.row_number().over(best)).where("k = 1")
-    header = row.where("headers AND row < 2 AND size(bounds) >= 2").groupBy("table_id").agg(F.min_by("bounds", "row").alias("head"))
-    chosen = votes.join(header, "table_id", "left").select("table_id", "n_cols", F.when(F.size("head") <= F.size("bounds"), F.col("head")).otherwise(F.col("bounds")).alias("bounds"))
-    chosen = chosen.select("table_id", "n_cols", F.array_sort(F.array_distinct("bounds")).alias("bounds"))
-    bands = chosen.select("table_id", "n_cols", "bounds", F.posexplode("bounds").alias("band", "start"))
-    return bands.select("table_id", "band", "start", F.coalesce(F.try_element_at("bounds", F.col("band") + 2), F.col("n_cols")).alias("end"))
-
-
-def planned_cells(cells: DataFrame, bands: DataFrame) -> DataFrame:
-    """(table_id, row, band, text, n_sources, is_empty, ...): cells assigned to bands by a range join within their table."""
-    trailing = trailing_empty(cells)
-    live = cells.join(trailing, "table_id").where(F.col("row") < F.col("n_rows") - F.col("n_trailing"))
-    joined = live.join(bands, (live["table_id"] == bands["table_id"]) & (F.col("col") >= F.col("start")) & (F.col("col") < F.col("end"))).drop(bands["table_id"])
-    crossing = (F.col("col") + F.col("col_span") > F.col("end")) & (F.col("col") + F.col("col_span") != F.col("n_cols"))
-    return joined.groupBy("table_id", "row", "band").agg(
-        F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda x: x["text"])).alias("text"),
-        F.count("*").alias("n_sources"),
-        F.min("is_empty").alias("is_empty"),
-        F.min("is_header").alias("is_header"),
-        F.sum("links").alias("links"),
-        F.sum("images").alias("images"),
-        F.sum(F.length("text")).alias("text_len"),
-        F.max(crossing).alias("crosses"),
-        F.max(~F.col("inlineable")).alias("blocks"),
-    )
-
-
-def plan_tables(cells: DataFrame, min_rows: int = 2, min_cols: int = 2, max_cols: int = 8) -> DataFrame:
-    """(table_id, n_bands, n_body, header, failure): whether a table is a record matrix, or the first reason why not."""
-    bands = column_bands(cells)
-    planned = planned_cells(cells, bands)
-    size = cells.join(trailing_empty(cells), "table_id").groupBy("table_id").agg((F.first("n_rows") - F.first("n_trailing")).alias("rows"))
-    n_bands = bands.groupBy("table_id").agg(F.count("*").alias("n_bands"))
-    picture = (F.col("images") > 0) & (F.col("text_len") < 3)
-    flag = lambda c: F.sum(c.cast("int"))
-    per_band = planned.where("NOT is_empty").groupBy("table_id", "band").agg(F.count("*").alias("n"), flag(picture).alias("p"))
-    lanes = per_band.groupBy("table_id").agg(F.max((F.col("n") >= 2) & (F.col("p") / F.col("n") >= 0.6)).alias("lane"))
-    prose = planned.groupBy("table_id", "row").agg(flag(F.col("text_len") > 180).alias("long")).groupBy("table_id").agg(F.max(F.col("long") > 1).alias("prose"))
-    body = F.col("row") > 0
-    whole = planned.join(n_bands, "table_id").groupBy("table_id").agg(
-        F.max("crosses").alias("crosses"), F.max("blocks").alias("blocks"), flag(~F.col("is_empty")).alias("filled"), flag(~F.col("is_empty") & (F.col("images") > 0)).alias("media"),
-        ((flag(~body) == F.first("n_bands")) & F.min(body | F.col("is_header"))).alias("real"),
-        ((flag(~body) == F.first("n_bands")) & F.min(body | (~F.col("is_empty") & (F.col("links") == 0) & (F.col("images") == 0) & F.col("text_len").between(1, 60))) & F.max(body & ((F.col("links") > 0) | (F.col("images") > 0)))).alias("labels"),
-        F.countDistinct("row").alias("n_rows"),
-    )
-    p = size.join(n_bands, "table_id", "left").join(whole, "table_id", "left").join(lanes, "table_id", "left").join(prose, "table_id", "left")
-    header = F.coalesce(F.col("real") | (F.col("labels") & (F.col("n_rows") >= 3)), F.lit(False))
-    n_body = F.coalesce(F.col("n_rows"), F.lit(0)) - header.cast("int")
-    nb = F.coalesce("n_bands", F.lit(0))
-    failure = (
-        F.when(F.col("rows") < min_rows, "too-small").when(nb == 0, "no-bands").when(nb < min_cols, "too-small").when(nb > max_cols, "too-many-columns").when(F.col("crosses"), "cell-crosses-band")
-        .when(F.col("blocks"), "cell-needs-blocks").when(F.col("n_rows") < min_rows, "no-body").when(F.col("prose"), "prose-matrix").when(F.col("lane"), "media-lane")
-        .when((F.col("filled") >= 4) & (F.col("media") / F.col("filled") >= 0.5), "media-catalog").when(n_body == 0, "no-body")
-    )
-    return p.select("table_id", nb.alias("n_bands"), n_body.alias("n_body"), header.alias("header"), failure.alias("failure"))
-
-
-def occupied_bands(planned: DataFrame) -> DataFrame:
-    """(table_id, band): the bands that some cell fills, unless fewer than two would be left."""
-    filled = planned.groupBy("table_id", "band").agg(F.max(~F.col("is_empty")).alias("filled"))
-    n = F.sum(F.col("filled").cast("int")).over(Window.partitionBy("table_id"))
-    return filled.withColumn("n", n).where((F.col("n") < 2) | F.col("filled")).select("table_id", "band")
-
-
-def synthesized_header(planned: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
-    """(table_id, band, label): the dominant label of a band (60 % of three cells or more, at most 24 characters), or '' ; bands of bare links get a link sign."""
-    filled = planned.where("NOT is_empty")
-    counts = filled.groupBy("table_id", "band", "text").agg(F.count("*").alias("n"), F.sum("links").alias("links"), F.max("text_len").alias("len"))
-    total = Window.partitionBy("table_id", "band")
-    first = Window.partitionBy("table_id", "band").orderBy(F.desc("n"), "text")
-    counts = counts.withColumns({"all": F.sum("n").over(total), "all_links": F.sum("links").over(total), "longest": F.max("len").over(total), "k": F.row_number().over(first)}).where("k = 1")
-    dominant = (F.col("all") >= 3) & (F.col("n") >= 0.6 * F.col("all")) & (F.length("text") <= 24)
-    link = (F.col("all_links") == F.col("all")) & (F.col("longest") < 40)
-    label = F.when(dominant, F.col("text")).when(link, "🔗").otherwise("")
-    out = counts.select("table_id", "band", label.alias("label"))
-    if canonical is not None:
-        out = out.join(F.broadcast(canonical.select(F.lower("synonym").alias("s"), "canonical")), F.lower("label") == F.col("s"), "left").select("table_id", "band", F.coalesce("canonical", "label").alias("label"))
-    return out
+    def of(grids: list[G.Grid]) -> Iterator[dict]:
+        paired = {g.seq for g in grids if G.picture_paired(g) == 1}
+        for g in grids:
+            kind, sure, tier = G.classify(G.features(g), len(paired - {g.seq}))
+            yield {"seq": g.seq, "class": kind, "confidence": sure, "tier": tier}
+
+    return _each(tables, id_col, html, f"{KEY}, class string, confidence double, tier int", of)
+
+
+def column_bands(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, band, start, end)."""
+    of = lambda grids: ({"seq": g.seq, "band": i, "start": a, "end": b} for g in grids for i, (a, b) in enumerate(G.column_bands(g)))
+    return _each(tables, id_col, html, f"{KEY}, band int, start int, end int", of)
+
+
+def planned_cells(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, row, band, text, n_sources, is_empty, links, images): cells dealt to the bands of their table."""
+
+    def of(grids: list[G.Grid]) -> Iterator[dict]:
+        for g in grids:
+            for (row, band), x in G.planned(g.live(), G.column_bands(g), g.n_cols).items():
+                yield {"seq": g.seq, "row": row, "band": band, **{k: x[k] for k in ("text", "n_sources", "is_empty", "links", "images")}}
+
+    return _each(tables, id_col, html, f"{KEY}, row int, band int, text string, n_sources int, is_empty boolean, links int, images int", of)
+
+
+def plan_tables(tables: DataFrame, id_col: str = "table_id", html: str = "html", **limits) -> DataFrame:
+    """(table_id, seq, n_bands, n_body, header, failure): whether a table is a record matrix, or the first reason why not."""
+
+    def of(grids: list[G.Grid]) -> Iterator[dict]:
+        for g in grids:
+            p = G.plan(g, **limits)
+            yield {"seq": g.seq, "n_bands": len(p.bands), "n_body": p.n_body, "header": p.header, "failure": p.failure}
+
+    return _each(tables, id_col, html, f"{KEY}, n_bands int, n_body int, header boolean, failure string", of)
+
+
+def occupied_bands(tables: DataFrame, id_col: str = "table_id", html: str = "html") -> DataFrame:
+    """(table_id, seq, band): the bands that some cell fills, unless fewer than two would be left."""
+    of = lambda grids: ({"seq": g.seq, "band": b} for g in grids for b in G.plan(g).occupied())
+    return _each(tables, id_col, html, f"{KEY}, band int", of)
+
+
+def synthesized_header(tables: DataFrame, id_col: str = "table_id", html: str = "html", canonical: dict[str, str] | None = None) -> DataFrame:
+    """(table_id, seq, band, label).  canonical: a vocabulary of labels, lower-case synonym to house label."""
+    of = lambda grids: ({"seq": g.seq, "band": b, "label": label} for g in grids for b, label in G.synthesized_header(G.plan(g), canonical).items())
+    return _each(tables, id_col, html, f"{KEY}, band int, label string", of)

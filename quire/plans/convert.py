@@ -1,71 +1,126 @@
-"""Whole runs: pages to documents with a conservation gate, and the corpus scan that precedes them."""
+"""Whole runs: the corpus scan, and pages to documents with a conservation gate."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions import compile as C, text as T
-from quire.operators import documents as D, pages as P, text_ops as O
+from quire.functions import batches as B, checks as K, compile as C, decode as D, html_tree as H, rewrite as R
+from quire.operators import pages as P, text_ops as O
 
-CONVERTED = "markdown string, source_text string, accounted string, links array<string>, images array<string>, ledger array<struct<node:string,terminal:string,note:string>>"
+LEDGER = "array<struct<node:string,terminal:string,note:string>>"
+TABLES = "array<struct<seq:int,class:string,confidence:double,tier:int,plan:string>>"
+GATE = "recall double, missing_links int, extra_links int, missing_images int, extra_images int, lost_tables int, problems int, reviews int, state string"
+CONVERTED = f"markdown string, source_text string, accounted string, links array<string>, images array<string>, ledger {LEDGER}, tables {TABLES}, {GATE}"
 MAX_CHROME = 1_000_000
 
 
-def convert_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", chrome: DataFrame | None = None) -> DataFrame:
-    """(id, CONVERTED) of every page: a narrow map.  chrome (fingerprint), if given, is sent to all tasks after its size is checked."""
-    shapes: frozenset[str] = frozenset()
-    if chrome is not None:
-        rows = chrome.select("fingerprint").distinct().limit(MAX_CHROME + 1).collect()
-        if len(rows) > MAX_CHROME:
-            raise ValueError("more stable shapes than a site can have: raise the threshold of stable_chrome")
-        shapes = frozenset(r.fingerprint for r in rows)
-    schema = f"{id_col} bigint, {CONVERTED}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                rows = []
-                for i, text in zip(batch.column(0)[at : at + 128].to_pylist(), batch.column(1)[at : at + 128].to_pylist()):
-                    made = C.convert(text, shapes, P.fingerprint if shapes else None)
-                    made["ledger"] = [{"node": n, "terminal": t, "note": w} for n, t, w in made["ledger"]]
-                    rows.append({id_col: i, **made})
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(html)).mapInArrow(run, schema)
-
-
-def verify(converted: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, recall, missing_links, extra_links, missing_images, problems, state) of each converted page.
-
-    state: review-required where text, links or images are lost or a rule of severity error is broken; else complete.
-    """
-    blocks = D.read_blocks(converted, id_col, "markdown")
-    prose = D.prose_of(blocks, id_col)
-    pairs = converted.select(id_col, "source_text", "accounted").join(prose, id_col, "left").withColumn("prose", F.coalesce("prose", F.lit("")))
-    text = O.conservation(pairs, id_col, "source_text", "prose", "accounted").select(id_col, "recall", F.col("ok").alias("text_ok"))
-    facts = D.facts(blocks, id_col)
+def broken_words(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, word): the forms, joined and hyphenated, that the words broken on each page may have; what a page asks of the lexicon."""
+
+    kind = dict(pages.dtypes)[id_col]
 
-    def lost(axis: str, source: str):
-        want = converted.select(id_col, F.explode(source).alias("item")).withColumn("item", T.fold_target("item"))
-        have = facts.where(F.col("axis") == axis).select(id_col, "item")
-        return O.bag_diff(want, have, [id_col]).groupBy(id_col).agg(F.sum("missing").alias(f"missing_{axis}"), F.sum("extra").alias(f"extra_{axis}"))
+    def of(i, text: str | None) -> Iterator[dict]:
+        words = set()
+        root = H.build(D.islands(text or "")[0])[0]
+        for node in H.walk(root):
+            if node.kind == "text" and any(h in node.value for h in R.HYPHENS):
+                for c in R.hyphens_of(node.value):
+                    words |= {(c["left"] + c["right"]).lower(), f"{c['left']}-{c['right']}".lower()}
+            kids = node.children
+            for a, mid, b in zip(kids, kids[1:], kids[2:]):
+                if a.kind == b.kind == "text" and mid.kind == "element" and H.text_buffer(mid) in tuple(R.HYPHENS):
+                    words |= {f"{x}{sign}{y}".lower() for x in a.value.split()[-1:] for y in b.value.split()[:1] for sign in ("", "-")}
+        return ({id_col: i, "word": w} for w in sorted(words))
 
-    problems = D.validate(blocks, id_col).where("severity = 'error'").groupBy(id_col).agg(F.count("*").alias("problems"))
-    r = text.join(lost("links", "links"), id_col, "left").join(lost("images", "images"), id_col, "left").join(problems, id_col, "left").fillna(0)
-    bad = ~F.col("text_ok") | (F.col("missing_links") > 0) | (F.col("missing_images") > 0) | (F.col("problems") > 0)
-    return r.select(id_col, "recall", "missing_links", "extra_links", "missing_images", "problems", F.when(bad, "review-required").otherwise("complete").alias("state"))
+    return B.rows_of(pages, id_col, html, f"`{id_col}` {kind}, word string", of, kind=kind)
 
 
-def scan(pages: DataFrame, threshold: float = 0.7) -> dict[str, DataFrame]:
+def with_lookups(pages: DataFrame, lexicon: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """pages with ``known``: how often the corpus has the forms of each page's broken words.
+
+    Pages ask by word, the lexicon (word, hyphenated, n) answers in an equi-join, and the answers go back by page; both are as many
+    as there are broken words, whatever the size of the lexicon.
+    """
+    asked = broken_words(pages, id_col, html)
+    found = asked.join(lexicon.select("word", "n"), "word").groupBy(id_col).agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return pages.join(found, id_col, "left")
+
+
+def convert_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html", profile: dict[str, DataFrame] | None = None, options: C.Options = C.Options(), min_recall: float = 0.995, max_line: int = 2200, invisible: str | None = None, classes: str | None = None) -> DataFrame:
+    """(id, CONVERTED) of every row of pages: its document, what its conversion kept, and whether that passes the gate.
+
+    A narrow map, with one join before it if profile (as made by scan) has a lexicon.  Stable chrome is sent to all tasks after its size
+    is checked; where there is more of it than MAX_CHROME shapes, each page gets the shapes it has, in a join.
+    invisible: a column of nodes (array<int>) that a measurement found invisible; classes: one of classes of tables decided elsewhere,
+    array of (seq, class).  Repeated ids give a row each.
+    """
+    columns = [html]
+    columns += [c for c in (invisible, classes) if c]
+    if profile is not None and "lexicon" in profile:
+        pages, columns = with_lookups(pages, profile["lexicon"], id_col, html), [*columns, "known"]
+    shapes: frozenset[str] = frozenset()
+    if profile is not None and "stable_chrome" in profile:
+        chrome = profile["stable_chrome"].select("fingerprint").distinct()
+        if chrome.limit(MAX_CHROME + 1).count() <= MAX_CHROME:
+            shapes = frozenset(r.fingerprint for r in chrome.collect())
+        else:
+            own = P.fingerprints(pages, id_col, html).select(F.col("page_id").alias(id_col), "fingerprint").distinct().join(chrome, "fingerprint")
+            pages = pages.join(own.groupBy(id_col).agg(F.collect_set("fingerprint").alias("shapes")), id_col, "left")
+            columns.append("shapes")
+    rules = options.target.rules()
+    kind = "string" if dict(pages.dtypes)[id_col] == "string" else "bigint"
+
+    def of(i: int, text: str | None, *more) -> list[dict]:
+        extra = dict(zip(columns[1:], more))
+        chrome = frozenset(extra.get("shapes") or shapes)
+        known = R.Lookup({w["word"]: w["n"] for w in extra.get("known") or ()})
+        made = C.convert(text, C.replace(options, chrome=chrome, classes=tuple((x["seq"], x["class"]) for x in extra.get(classes) or ())), known, P.fingerprint, frozenset(extra.get(invisible) or ()))
+        made["ledger"] = [{"node": n, "terminal": t, "note": w} for n, t, w in made["ledger"]]
+        return [{id_col: i, **made, **K.verify(made, min_recall, max_line, rules)}]
+
+    return B.rows_of(pages, id_col, columns, f"`{id_col}` {kind}, {CONVERTED}", of, kind=kind)
+
+
+def scan(pages: DataFrame, id_col: str = "page_id", html: str = "html", threshold: float = 0.7) -> dict[str, DataFrame]:
     """The corpus profile: fingerprint_freq, stable_chrome, lexicon."""
-    prints = P.fingerprints(pages)
-    frequency = P.fingerprint_frequency(prints)
-    nodes = convert_pages(pages).select("page_id", F.col("source_text").alias("text"))
-    return {"fingerprint_freq": frequency, "stable_chrome": P.stable_chrome(frequency, pages.count(), threshold), "lexicon": O.lexicon(nodes)}
+    total = pages.agg(F.countDistinct(id_col)).first()[0]
+    frequency = P.fingerprint_frequency(P.fingerprints(pages, id_col, html))
+    texts = B.rows_of(pages, id_col, html, "page_id bigint, text string", lambda i, t: [{"page_id": i, "text": _words(t)}], "page_id")
+    return {"fingerprint_freq": frequency.withColumn("frequency", F.col("pages") / F.lit(max(1, total))), "stable_chrome": P.stable_chrome(frequency, total, threshold), "lexicon": O.lexicon(texts)}
+
+
+def _words(text: str | None) -> str:
+    """The text of a page, line ends kept, as the lexicon reads it."""
+    root = H.numbered(H.build(D.islands(text or "")[0])[0])
+    R.sanitize(root)
+    R.drop_head(root)
+    return H.text_buffer(root)
+
+
+def encoding_report(decoded: DataFrame, keep: list[str]) -> DataFrame:
+    """What was declared and chosen for each file, and whether the choice is sure."""
+    return decoded.select(*keep, "declared", "codec", "source", "replacement_chars", "uncertain")
+
+
+def table_frequency(pages: DataFrame, profile: dict[str, DataFrame], id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, seq, fingerprint, frequency): how much of the corpus has the shape of each table; 0 if unseen."""
+
+    def of(i: int, text: str | None) -> Iterator[dict]:
+        tables = [n for n in H.walk(H.build(text or "")[0]) if n.tag == "table"]
+        return ({"page_id": i, "seq": k, "fingerprint": P.fingerprint(n)} for k, n in enumerate(tables))
+
+    shapes = B.rows_of(pages, id_col, html, "page_id bigint, seq int, fingerprint string", of, "page_id")
+    return shapes.join(profile["fingerprint_freq"].select("fingerprint", "frequency"), "fingerprint", "left").select("page_id", "seq", "fingerprint", F.coalesce("frequency", F.lit(0.0)).alias("frequency"))
+
+
+def changes(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, stage, node, tag, action, reason, loses_words): all that the rewriting stages do to each page."""
+
+    def of(i: int, text: str | None) -> Iterator[dict]:
+        root = H.numbered(H.build(D.islands(text or "")[0])[0])
+        for r in [*R.sanitize(root), *R.drop_head(root), *R.dehyphenate(root, R.Lookup({})), *R.normalize(root), *R.recover_headings(root)]:
+            yield {"page_id": i, "stage": r.stage, "node": r.pre, "tag": r.tag, "action": r.action, "reason": r.reason, "loses_words": r.loses_words}
+
+    return B.rows_of(pages, id_col, html, "page_id bigint, stage string, node int, tag string, action string, reason string, loses_words boolean", of, "page_id")

@@ -1,40 +1,245 @@
-"""Conversion of pages, end to end."""
+"""Conversion of pages, stage by stage and end to end."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.operators import documents as D
+from quire.functions import batches as B, checks as K, html_tree as H, rewrite as R
+from quire.operators import documents as D, text_ops as O
 from quire.plans import convert as C
+from quire.plans.page_queries import VISIBLE
 from quire.plans.registry import query
 
 
 @query()
 def convert_pages(load, spark) -> DataFrame:
     """Every page as Markdown, with what its conversion kept."""
-    made = C.convert_pages(load("pages")).cache()
-    return made.select("page_id", "markdown").join(C.verify(made), "page_id")
+    return C.convert_pages(load("pages")).drop("source_text", "accounted", "links", "images", "ledger", "tables")
 
 
-@query("SELECT page_id, 'complete' AS state, 0::BIGINT AS missing_links, 0::BIGINT AS missing_images FROM pages")
+#: The words of a text, as SQL.
+WORDS = r"""len(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({t}), '([\p{{L}}])[-‐‑–—]\s*([\p{{L}}])', '\1\2', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> ''))"""
+
+
+@query(f"SELECT page_id, {WORDS.format(t='visible')}::BIGINT AS words FROM (SELECT page_id, {VISIBLE} AS visible FROM pages)")
+def converted_words(load, spark) -> DataFrame:
+    """The words of every document are those that its page shows."""
+    prose = D.prose_of(C.convert_pages(load("pages")), "page_id", "markdown")
+    count = F.udf(lambda t: len(K.normalized(t).split()), "bigint", useArrow=True)
+    return prose.select("page_id", count("prose").alias("words"))
+
+
+@query(r"""SELECT page_id, lower(ltrim(replace(h, '&amp;', '&'), '/')) AS href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY ALL""")
+def converted_links(load, spark) -> DataFrame:
+    """The links of every document are those of its page."""
+    made = C.convert_pages(load("pages"))
+    return D.facts(made, "page_id", "markdown").where("axis = 'links'").groupBy("page_id", F.col("item").alias("href")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, 'complete' AS state, 0 AS missing_links, 0 AS missing_images, 0 AS problems FROM pages")
 def conversion_conserves(load, spark) -> DataFrame:
-    """The gate: nothing of any page is lost."""
-    return C.verify(C.convert_pages(load("pages")).cache()).select("page_id", "state", "missing_links", "missing_images")
+    """The gate: nothing of any page is lost (converted_words and converted_links hold the documents against the pages themselves)."""
+    return C.convert_pages(load("pages")).select("page_id", "state", "missing_links", "missing_images", "problems")
 
 
-@query("SELECT page_id, 'head' AS note, 1::BIGINT AS n FROM pages UNION ALL SELECT page_id, 'comment', (length(html) - length(replace(html, '<!--', '<!-')))::BIGINT FROM pages WHERE contains(html, '<!--')")
+@query(r"""WITH c AS (SELECT page_id, html, regexp_extract(html, '(?s)<head>(.*?)</head>', 1) AS head FROM pages), k AS (VALUES ('behaviour', '<script'), ('style', '<style'), ('comment', '<!--'))
+ SELECT page_id, 'head' AS note, 1::BIGINT AS n FROM c UNION ALL SELECT page_id, k.col0, ((length(html) - length(replace(html, k.col1, ''))) // length(k.col1))::BIGINT FROM c, k WHERE contains(html, k.col1)""")
 def conversion_ledger(load, spark) -> DataFrame:
     made = C.convert_pages(load("pages")).select("page_id", F.explode("ledger").alias("x")).where("x.terminal = 'REMOVED'")
     return made.groupBy("page_id", F.col("x.note").alias("note")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, len(list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"([^\"]*)\"', 1))) > 1 AS has_nav, 1 AS titles FROM pages")
+@query(r"""WITH n AS (SELECT page_id, html, list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1)) AS h FROM pages)
+ SELECT page_id, len(h) > 1 AS has_nav, (CASE WHEN len(h) > 1 THEN len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')) ELSE 0 END)::BIGINT AS items, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM n""")
 def converted_structure(load, spark) -> DataFrame:
+    """The menu and the title of every document."""
     b = D.read_blocks(C.convert_pages(load("pages")), "page_id", "markdown")
-    return b.groupBy("page_id").agg(F.max((F.col("kind") == "directive") & (F.col("name") == "nav")).alias("has_nav"), F.sum(((F.col("kind") == "heading") & (F.col("depth") == 1)).cast("int")).alias("titles"))
+    nav = (F.col("kind") == "directive") & (F.col("name") == "nav")
+    inside = (F.col("kind") == "list-item") & (F.col("parent") != "")
+    title = F.max(F.when((F.col("kind") == "heading") & (F.col("depth") == 1), F.regexp_replace("text", r"\\(.)", "$1")))
+    return b.groupBy("page_id").agg(F.max(nav).alias("has_nav"), F.sum(inside.cast("int")).alias("items"), title.alias("title"))
 
 
-@query()
+# -- the two phases
+
+
+def menu_pages(load) -> DataFrame:
+    """A page for each customer with orders, around one menu."""
+    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p>order "), x, F.lit(" of this customer, which was written down at length"))), "")
+    html = F.concat(F.lit("<title>Customer "), "o_custkey", F.lit("</title><body><div class=menu><ul><li>home<li>about us</ul></div><div>"), body, F.lit("</div>"))
+    return o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))
+
+
+@query("""SELECT o_custkey AS page_id, '# Customer ' || o_custkey || chr(10) || chr(10) || string_agg('order ' || o_orderkey || ' of this customer, which was written down at length', chr(10) || chr(10) ORDER BY o_orderkey) || chr(10) AS markdown FROM orders GROUP BY o_custkey""")
+def corpus_conversion(load, spark) -> DataFrame:
+    """Scan, then conversion with what was found: the menu that all pages share is in no document."""
+    pages = menu_pages(load)
+    return C.convert_pages(pages, profile=C.scan(pages)).select("page_id", "markdown")
+
+
+@query("SELECT page_id, 'complete' AS state FROM pages")
+def pages_with_profile(load, spark) -> DataFrame:
+    """The given pages, scanned and converted with their own profile: what goes as chrome is accounted for."""
+    pages = load("pages")
+    return C.convert_pages(pages, profile=C.scan(pages)).select("page_id", "state")
+
+
+@query(r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(t), '(\p{L}+(?:-\p{L}+)*)', 1)) AS word FROM (SELECT ' ' || replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<script>.*?</script>|<!--.*?-->', '', 'g'), '</?(?:nav|ul|li|div|article|h1|p|br|footer|html|body)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS t FROM pages))
+ SELECT word, contains(word, '-') AS hyphenated, count(*) AS n FROM w GROUP BY word""")
 def corpus_profile(load, spark) -> DataFrame:
-    p = C.scan(load("pages"))
-    return p["lexicon"].groupBy("hyphenated").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_tokens"))
+    """The lexicon of the pages, as the scan builds it."""
+    return C.scan(load("pages"))["lexicon"]
+
+
+# -- stages, over pages made of rows
+
+
+def forms(load, forms: list[str], name: Column) -> DataFrame:
+    """A page for each part: one of the forms by its key, with its name in place of {}."""
+    html = F.lit("")
+    for i, form in enumerate(forms):
+        html = F.when(F.col("p_partkey") % len(forms) == i, F.replace(F.lit(form), F.lit("{}"), name)).otherwise(html)
+    return load("part").select(F.col("p_partkey").alias("page_id"), "p_name", html.alias("html"))
+
+
+LONG = "and it goes on for long enough to be the body of a page, which has more words than a label, and so it isn't one. " * 3
+NORMALIZED = [
+    ("<p><font size=5>{}</font></p>", "unwrap", "presentation"),
+    ("<p>much of it <font size=4>{}</font> is plain</p>", "keep", "sets a part of its line"),
+    ("<p>{}<img src=i/spacer2.gif></p>", "remove", "spacer"),
+    ("<p>{}</p><div>&nbsp;</div>", "remove", "empty"),
+    (f"<blockquote><table border=1><tr><td>{{}}<td>x</table></blockquote><p>{LONG}", "unwrap", "indent around tables"),
+    (f"<blockquote><h2>{{}}</h2>x</blockquote><p>{LONG}", "unwrap", "indent around headings"),
+    ("<blockquote>{} holds all</blockquote>", "unwrap", "indent of most of the page"),
+    ("<p>{}</p><blockquote></blockquote>", "unwrap", "empty indent"),
+    ("<table><tr><td>{}</table>", "unwrap", "table of one cell"),
+    ("<div><div class=x>{}</div></div>", "unwrap", "wrapper"),
+    ("<p>{}</p><center>mid</center>", "keep", "centres a part of its parent"),
+    ("<p>{}</p><img src=a.png width=2 height=90>", "remove", "spacer"),
+    ("<table border=1><tr><td>{}</table>", None, None),
+    ("<table><tr><td style='border:3px solid'>{}</table>", None, None),
+    (f"<blockquote>{{}}</blockquote><p>{LONG}", None, None),
+]
+
+
+def cases(rows: list[tuple], at: int) -> str:
+    return "CASE p_partkey % " + str(len(rows)) + " " + " ".join(f"WHEN {i} THEN '{r[at]}'" for i, r in enumerate(rows) if r[at] is not None) + " END"
+
+
+@query(f"SELECT * FROM (SELECT p_partkey AS page_id, {cases(NORMALIZED, 1)} AS action, {cases(NORMALIZED, 2)} AS reason FROM part) WHERE action IS NOT NULL")
+def normalized_nodes(load, spark) -> DataFrame:
+    """What normalizing does to pages that each need one of its rules, or none."""
+    pages = forms(load, [f for f, _, _ in NORMALIZED], F.col("p_name"))
+    # the table in an indent and the parts of what is unwrapped may need further rules: the first counts
+    first = C.changes(pages).where("stage = 'normalize'").groupBy("page_id").agg(F.min(F.struct("node", "action", "reason")).alias("x"))
+    return first.select("page_id", "x.action", "x.reason")
+
+
+SANITIZED = [
+    ("<p>{}</p><form><input><label>x</label></form>", "form"),
+    ("<p>{}</p><object><param></object>", "plugin"),
+    ("<p>{}</p><img src=//counter.example.net/hit width=88>", "tracker"),
+    ("<p>{}</p><img src=x.gif width=1 height=1>", "tracker"),
+    ("<meta http-equiv=Refresh content=0><p>{}</p>", "refresh"),
+    ("<p>{}</p><noscript>{}</noscript>", "behaviour"),
+    ("<p onclick='go()'>{}</p>", "event handler"),
+    ("<p><a href=' javascript:go()'>{}</a></p>", "unsafe URL"),
+    ("<p>{}</p><!-- {} -->", "comment"),
+    ("<style>p { margin: 0 }</style><p>{}</p>", "style"),
+]
+
+
+@query(f"SELECT p_partkey AS page_id, {cases(SANITIZED, 1)} AS reason, p_partkey % {len(SANITIZED)} < 2 AND p_partkey % {len(SANITIZED)} = 0 AS loses_words FROM part")
+def sanitized_nodes(load, spark) -> DataFrame:
+    """Why nodes go, or lose an attribute, and whether that takes words of the author along; forms go if asked."""
+    pages = forms(load, [f for f, _ in SANITIZED], F.col("p_name"))
+
+    def of(i: int, text: str | None):
+        root = H.numbered(H.build(text or "")[0])
+        return ({"page_id": i, "reason": r.reason, "loses_words": r.loses_words} for r in R.sanitize(root, forms=True) if r.subsumed_by is None)
+
+    return B.rows_of(pages, "page_id", "html", "page_id bigint, reason string, loses_words boolean", of)
+
+
+@query("SELECT doc_id, md5(text) AS text_hash FROM documents")
+def words_joined(load, spark) -> DataFrame:
+    """All texts, with every long word between spaces broken by a hyphen and a line end, and joined again by the lexicon of the whole texts."""
+    docs = load("documents").select("doc_id", "text")
+    broken = docs.select("doc_id", F.regexp_replace("text", "(?<![^ ])([a-z]{3})([a-z]{3,})(?![^ ])", "$1-\n$2").alias("html"))
+    known = C.with_lookups(broken.select("doc_id", F.regexp_replace(F.regexp_replace("html", "&", "&amp;"), "<", "&lt;").alias("html")), O.lexicon(docs), "doc_id", "html").select("doc_id", "known")
+
+    def of(i: int, text: str | None, words):
+        joined, made = R.join_words(text or "", R.Lookup({w["word"]: w["n"] for w in words or ()}))
+        assert R.patched(text or "", made) == joined
+        return [{"doc_id": i, "joined": joined}]
+
+    made = B.rows_of(broken.join(known, "doc_id"), "doc_id", ["html", "known"], "doc_id bigint, joined string", of)
+    return made.select("doc_id", F.md5("joined").alias("text_hash"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1) SELECT c AS page_id, d.depth, CASE d.depth WHEN 1 THEN 1 ELSE n END AS n FROM o, (VALUES (1), (2)) d(depth)""")
+def outline_of_pages(load, spark) -> DataFrame:
+    """Pages without heading elements: the title and the section labels are found by how they are set."""
+    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    sections = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p><font size=4><b>Section of order "), x, F.lit(f"</b></font></p><p>{LONG}</p>"))), "")
+    html = F.concat(F.lit("<body><p><font size=6>Customer "), "o_custkey", F.lit("</font></p>"), sections)
+    blocks = D.read_blocks(C.convert_pages(o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))), "page_id", "markdown")
+    return blocks.where("kind = 'heading'").groupBy("page_id", "depth").agg(F.count("*").alias("n"))
+
+
+def md(*blocks: str) -> str:
+    return "\n\n".join(blocks) + "\n"
+
+
+def _nav(*items: str) -> str:
+    return "::: nav\n\n" + "\n".join(f"- {x}" for x in items) + "\n:::"
+
+
+STRUCTURES = [
+    ("<h1>{}</h1><p>«It opens here,<p>goes on<p>and closes there.»<p>x", md("# {}", "> «It opens here,\n>\n> goes on\n>\n> and closes there.»", "x")),
+    ("<h1>{}</h1><p>• one<p>• two<p>end", md("# {}", "- one\n- two", "end")),
+    ("<h1>{}</h1><p>1. one<br>2. two<br>3. three<p>4. four<p>end", md("# {}", "1. one\n2. two\n3. three\n4. four", "end")),
+    (f"<h1>{{}}</h1><p>a<hr><p>A new section<p>{LONG}", md("# {}", "a", "---", "## A new section", LONG.strip())),
+    ("<h1>{}</h1><p><b>WORKS</b><ul><li>one<li>two</ul>", md("# {}", "## WORKS", "- one\n- two")),
+    ("<h1>{}</h1><p>First:<ul><li>a</ul><p>Second:<ul><li>b</ul>", md("# {}", "## First", "- a", "## Second", "- b")),
+    ("<h1>{}</h1><p>1.2.2003<p>came<p>3.4.2004<p>went", md("# {}", "## 1.2.2003", "came", "## 3.4.2004", "went")),
+    ("<h1>{}</h1><img src=a.png width=400><p><i>a caption</i>", md("# {}", "::: image\nsrc: a.png\nposition: center\nsize: large\ncaption: a caption\n:::")),
+    ("<h1>{}</h1><img src=a.png width=200 height=90><img src=b.png width=200 height=90>", md("# {}", "::: images\ncolumns: 2\n\n::: image\nsrc: a.png\n:::\n\n::: image\nsrc: b.png\n:::\n:::")),
+    ("<h1>{}</h1><table><tr><td><img src=a.png width=200><tr><td>what it shows</table>", md("# {}", "::: image\nsrc: a.png\nposition: center\nsize: medium\ncaption: what it shows\n:::")),
+    ("<h1>{}</h1><table><tr><td><a href=a.html>A</a><tr><td><a href=b.html>B</a><tr><td><a href=c.html>C</a></table>", md("# {}", _nav("[A](/#/a)", "[B](/#/b)", "[C](/#/c)"))),
+    ("<h1>{}</h1><table><tr><th>k<th>v<tr><td>1<td>a<tr><td>2<td>b</table>", md("# {}", "| k | v |\n| --- | --- |\n| 1 | a |\n| 2 | b |")),
+    ("<h1>{}</h1><table><tr><td>left one<p>left two<td>right one<p>right two</table>", md("# {}", "::: columns\n\n::: column\n\nleft one\n\nleft two\n:::\n\n::: column\n\nright one\n\nright two\n:::\n:::")),
+    (f"<h1>{{}}</h1><div style='border: 3px solid red'>a notice that is set apart</div><p>{LONG}", md("# {}", "::: frame\nframe: red\n\na notice that is set apart\n:::", LONG.strip())),
+    (f"<h1>{{}}</h1><p>{LONG}<p>{LONG}<p align=right>signed<p align=right>by hand", md("# {}", LONG.strip(), LONG.strip(), "::: align\nposition: right\n\nsigned\n\nby hand\n:::")),
+    ("<h1>{}</h1><p>Opus one ..... 3<br>Opus two ..... 5<br>Opus three .... 8", md("# {}", "|  |  |\n| --- | --- |\n| Opus one | 3 |\n| Opus two | 5 |\n| Opus three | 8 |")),
+    ("<h1>{}</h1><p>a<p>* * *<p>b", md("# {}", "a", "---", "b")),
+    ("<h1>{}</h1><p>He wrote:<br>one sonata,<br>two suites,<br>a concerto.", md("# {}", "He wrote:", "- one sonata,\n- two suites,\n- a concerto.")),
+    ("<h1>{}</h1><pre>  a\n    b\n\n\n\n  c</pre>", md("# {}", "```\na\n  b\n\nc\n```")),
+    ("<h1>{}</h1><h3>skips</h3><h1>second</h1>x", md("# {}", "## skips", "## second", "x")),
+    ("<h1>{}</h1><a name=n1></a><p>to <a href=#n1>it</a><p><a name=n1></a>x", md("# {}", "::anchor{#n1}", "to [it](#n1)", "x")),
+    ("<h1>{}</h1><p>a <b>b <i>c</i></b> <s>d</s> <a href='x y.pdf'>e</a>", md("# {}", "a **b *c*** ~~d~~ [e](x%20y.pdf)")),
+    ("<h1>{}</h1><dl><dt>term<dd>meaning</dl><blockquote>short</blockquote><p>" + LONG, md("# {}", "**term**", "meaning", "> short", LONG.strip())),
+    ("<?php echo 1 ?><h1>{}</h1><p>x<%= y %>z", md("# {}", "x z")),
+]
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("SELECT p_partkey AS page_id, replace(CASE p_partkey % " + str(len(STRUCTURES)) + " " + " ".join(f"WHEN {i} THEN {_sql(m)}" for i, (_, m) in enumerate(STRUCTURES)) + " END, '{}', p_name) AS markdown FROM part")
+def structures(load, spark) -> DataFrame:
+    """Pages of each shape that is recovered, with their documents to the letter."""
+    return C.convert_pages(forms(load, [f for f, _ in STRUCTURES], F.col("p_name"))).select("page_id", "markdown")
+
+
+@query(r"""WITH o AS (SELECT o_custkey AS c, string_agg('| [' || o_orderkey || '](o' || o_orderkey || '.pdf) | ' || strftime(o_orderdate, '%Y') || ' | ' || o_orderpriority || ' |', chr(10) ORDER BY o_orderkey) AS rows FROM orders GROUP BY 1)
+ SELECT c AS page_id, '# Customer ' || c || chr(10) || chr(10) || '| key | year | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| [0](o0.pdf) | 1990 | none |' || chr(10) || '| [00](o00.pdf) | 1991 | none |' || chr(10) || rows || chr(10) AS markdown FROM o""")
+def record_tables(load, spark) -> DataFrame:
+    """Tables of records, classified, planned and written as such."""
+    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), F.col("o_orderpriority").alias("p")))).alias("rows"))
+    line = F.transform("rows", lambda x: F.concat(F.lit("<tr><td><a href=o"), x["o_orderkey"], F.lit(".pdf>"), x["o_orderkey"], F.lit("</a><td>"), x["y"], F.lit("<td>"), x["p"]))
+    fixed = "</h1><table><tr><th>key<th>year<th>priority<tr><td><a href=o0.pdf>0</a><td>1990<td>none<tr><td><a href=o00.pdf>00</a><td>1991<td>none"
+    html = F.concat(F.lit("<h1>Customer "), "o_custkey", F.lit(fixed), F.array_join(line, ""), F.lit("</table>"))
+    return C.convert_pages(o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))).select("page_id", "markdown")

@@ -32,7 +32,7 @@ def md_table_cells(load, spark) -> DataFrame:
 @query("""WITH n AS (SELECT r_regionkey::BIGINT AS doc, count(*) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
  SELECT doc, 'headings' AS axis, 2 AS n FROM n UNION ALL SELECT doc, 'links', c FROM n UNION ALL SELECT doc, 'images', 1 FROM n UNION ALL SELECT doc, 'directives', 1 FROM n UNION ALL SELECT doc, 'cells', 2 * c FROM n""")
 def md_facts(load, spark) -> DataFrame:
-    return D.facts(D.read_blocks(region_docs(load), "doc", "md"), "doc").groupBy("doc", "axis").agg(F.count("*").alias("n"))
+    return D.facts(region_docs(load), "doc", "md").groupBy("doc", "axis").agg(F.count("*").alias("n"))
 
 
 @query("""WITH n AS (SELECT r_regionkey::BIGINT AS doc, count(*) AS c, sum((n_nationkey % 2 = 0)::INT) AS e FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
@@ -40,7 +40,7 @@ def md_facts(load, spark) -> DataFrame:
  SELECT doc, axis, x::BIGINT AS expected, y::BIGINT AS actual, m::BIGINT AS matched, round(m / x, 6) AS recall, round(CASE WHEN y = 0 THEN 0 ELSE m / y END, 6) AS "precision", round(CASE WHEN m = 0 THEN 0 ELSE 2 * m / (x + y) END, 6) AS f1 FROM a""")
 def axis_scores(load, spark) -> DataFrame:
     pairs = region_docs(load).join(region_docs(load, True).withColumnRenamed("md", "made"), "doc")
-    s = D.axis_scores(pairs, "doc", "md", "made").where("axis <> 'text'")
+    s = D.axis_scores(pairs, "doc", "md", "made").where("axis <> 'text'").drop("missing")
     return s.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
 
 
@@ -92,7 +92,7 @@ def bad_docs(load) -> DataFrame:
 @query("SELECT p_partkey AS doc, k.code FROM part JOIN (VALUES " + ", ".join(f"({i}, '{c}')" for i, (_, codes) in enumerate(BAD) for c in codes) + f") k(i, code) ON p_partkey % {len(BAD)} = k.i")
 def validator_findings(load, spark) -> DataFrame:
     """Documents with known defects: exactly their codes are found."""
-    return D.validate(D.read_blocks(bad_docs(load), "doc", "md"), "doc").select("doc", "code")
+    return D.validate(bad_docs(load), "doc", "md").select("doc", "code")
 
 
 @query("""WITH k AS (SELECT p_partkey AS doc, p_partkey % 4 AS k FROM part) SELECT doc, 'fence-unbalanced' AS code, CASE k WHEN 1 THEN 6 ELSE 4 END AS line FROM k WHERE k IN (1, 2) UNION ALL SELECT doc, 'server-markup-leaked', 0 FROM k WHERE k = 3 UNION ALL SELECT doc, 'line-too-long', 3 FROM k WHERE k = 3""")
@@ -200,12 +200,12 @@ def row_bands(load, spark) -> DataFrame:
     return L.row_bands(boxes(load), "page")
 
 
-@query(f"WITH {BOXES} SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY floor(y / 100), x, id) - 1 AS rank FROM x")
+@query(f"WITH {BOXES} SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY floor(y / 100), x, y, id) - 1 AS rank FROM x")
 def reading_ranks(load, spark) -> DataFrame:
     return L.reading_ranks(boxes(load).withColumn("band", F.floor(F.col("y") / 100)), "page").select("page", "id", "rank")
 
 
-@query(f"WITH {BOXES} SELECT id, greatest(0, 50 - x, x + w - 850) AS overflow, CASE WHEN abs(x - 50) <= 4 AND abs(850 - x - w) <= 4 THEN NULL WHEN abs((x - 50) - (850 - x - w)) <= 4 THEN 'center' WHEN abs(850 - x - w) <= 4 THEN 'right' ELSE 'left' END AS align FROM x")
+@query(f"WITH {BOXES} SELECT id, CASE WHEN greatest(50 - x, x + w - 850) > 1 THEN greatest(50 - x, x + w - 850) ELSE 0 END AS overflow, CASE WHEN abs(x - 50) <= 4 AND abs(850 - x - w) <= 4 THEN NULL WHEN abs((x - 50) - (850 - x - w)) <= 4 THEN 'center' WHEN abs(850 - x - w) <= 4 THEN 'right' ELSE 'left' END AS align FROM x")
 def box_geometry(load, spark) -> DataFrame:
     c = (F.col("x"), F.col("w"), F.lit(50.0), F.lit(800.0))
     return boxes(load).select("id", L.overflow(*c).alias("overflow"), L.box_alignment(*c).alias("align"))
@@ -234,9 +234,12 @@ def heading_recovery(load, spark) -> DataFrame:
     return L.headings(b, "doc")
 
 
-@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, 1 + (turn * 5 + conv_id) % 6 AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE turn IS NOT NULL),
- w AS (SELECT conv_id, turn, depth, i, 1::BIGINT AS level FROM c WHERE i = 1 UNION ALL SELECT c.conv_id, c.turn, c.depth, c.i, least(greatest(2, c.depth), w.level + 1) FROM w JOIN c ON c.conv_id = w.conv_id AND c.i = w.i + 1)
- SELECT conv_id, turn, depth::BIGINT AS depth, level FROM w""")
+@query("""WITH RECURSIVE d AS (SELECT conv_id, turn, 1 + (turn * 5 + conv_id) % 6 AS depth, row_number() OVER w AS i, min(CASE WHEN 1 + (turn * 5 + conv_id) % 6 = 1 THEN turn END) OVER (PARTITION BY conv_id) AS t1, min(turn) OVER (PARTITION BY conv_id) AS t0 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ c AS (SELECT conv_id, turn, depth, i, CASE WHEN turn = coalesce(t1, t0) THEN 1 ELSE greatest(2, depth) END AS d FROM d),
+ w AS (SELECT conv_id, turn, depth, 0::BIGINT AS i, 0::BIGINT AS level, 1::BIGINT AS before, [0, 0, 0, 0, 0, 0]::BIGINT[] AS l FROM c WHERE i = 1
+  UNION ALL SELECT c.conv_id, c.turn, c.depth, c.i, x.level, x.level, list_transform(range(1, 7), lambda k: CASE WHEN k = c.d AND w.l[k] = 0 AND c.d > w.before + 1 THEN w.before + 1 WHEN w.l[c.d] = 0 AND c.d <= w.before + 1 AND k > c.d THEN 0 ELSE w.l[k] END)
+  FROM w JOIN c ON c.conv_id = w.conv_id AND c.i = w.i + 1, LATERAL (SELECT CASE WHEN w.l[c.d] > 0 THEN w.l[c.d] WHEN c.d > w.before + 1 THEN w.before + 1 ELSE c.d END AS level) x)
+ SELECT conv_id, turn, depth::BIGINT AS depth, level FROM w WHERE i > 0""")
 def heading_level_lift(load, spark) -> DataFrame:
     h = load("conversations").select("conv_id", F.col("turn").alias("ord"), (1 + (F.col("turn") * 5 + F.col("conv_id")) % 6).cast("int").alias("depth"))
     return L.enforce_single_title(h, "conv_id").select("conv_id", F.col("ord").alias("turn"), "depth", "level")

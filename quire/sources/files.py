@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, stem, content): the .htm and .html files below a directory, or one file.  Content is read lazily, as bytes."""
+    """(path, name, stem, content): the .htm and .html files below a directory, or one file.  Content is read lazily, as bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{htm,html,HTM,HTML}").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select(name.alias("name"), F.regexp_replace(name, r"(?i)\.html?$", "").alias("stem"), "content")
+    return files.select("path", name.alias("name"), F.regexp_replace(name, r"(?i)\.html?$", "").alias("stem"), "content")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:

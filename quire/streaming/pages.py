@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.plans import convert as C
 
+GATE = [x.split()[0] for x in C.GATE.split(", ")]
+
 
 def page_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """Tables of pages (page_id, url, html) as they are added to a folder."""
@@ -20,10 +22,7 @@ def convert_stream(pages: DataFrame, output: str, checkpoint: str, available_now
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        made = C.convert_pages(df).persist()
-        out = made.select("page_id", "markdown").join(C.verify(made), "page_id")
-        out.write.mode("overwrite").parquet(f"{output}/batch={number}")
-        made.unpersist()
+        C.convert_pages(df).select("page_id", "markdown", *GATE).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")).start()
