@@ -15,7 +15,7 @@ WEIGHTS = {"text": 0.3, "headings": 0.1, "links": 0.15, "images": 0.1, "directiv
 AXES = ("text", "headings", "links", "images", "directives", "cells")
 SILENT = ("anchor",)  # directives that don't count while the expected document has none
 SHINGLE = 5
-_JOIN = re.compile(r"(?<=[^\W\d_])[-‐‑–—]\s*(?=[^\W\d_])")
+_JOIN = re.compile(r"([^\W\d_])[-‐‑–—]\s*([^\W\d_])")
 _OTHER = re.compile(r"[^\w\s]|_")
 _TO = r"\(([^\s)]+)(?:\s+\"[^\"]*\")?\)"
 IMAGE = re.compile(r"!\[([^\]]*)\]" + _TO)
@@ -24,7 +24,7 @@ LINK = re.compile(r"(?<!!)\[((?:\[[^\]]*\]|[^\[\]])*)\]" + _TO)
 
 def normalized(text: str) -> str:
     """Lower case, no soft hyphens, words joined at hyphens, letters and digits only, single spaces."""
-    return " ".join(_OTHER.sub(" ", _JOIN.sub("", text.lower().replace("­", ""))).split())
+    return " ".join(_OTHER.sub(" ", _JOIN.sub(r"\1\2", text.lower().replace("­", ""))).split())
 
 
 def shingles(text: str, size: int = SHINGLE) -> list[str]:

@@ -514,6 +514,21 @@ def block_host(node: H.Node) -> H.Node:
     return best
 
 
+def own_line(node: H.Node) -> bool:
+    """Whether nothing else stands on a node's line: blocks, breaks or edges are on both of its sides."""
+    at = node
+    while at.tag not in H.BLOCK and at.parent is not None:
+        siblings = [c for c in at.parent.children if c is at or c.kind == "element" or c.kind == "text" and c.value.strip()]
+        i = next(i for i, c in enumerate(siblings) if c is at)
+        sides = [c for c in (siblings[i - 1] if i else None, siblings[i + 1] if i + 1 < len(siblings) else None) if c is not None]
+        if any(c.kind == "text" or c.tag != "br" and c.tag not in H.BLOCK for c in sides):
+            return False
+        if len(sides) == 2 or at.parent.tag in H.BLOCK:
+            return True
+        at = at.parent
+    return True
+
+
 def follows_image(node: H.Node) -> bool:
     """Whether the last thing before a node, in its own or a near ancestor's siblings, is a picture without words."""
     at = node
@@ -568,7 +583,7 @@ def recover_headings(root: H.Node, sections: bool = True, title_least: float = 1
         elif n.kind == "element" and n.tag in _CANDIDATES and not _HEADING.fullmatch(n.tag):
             text = H.text_of(n)
             if text and len(text) <= title_max and tight(n, text) and not any(_HEADING.fullmatch(up.tag) for up in above(n)):
-                if sum(len(H.text_of(x)) for x in [n, *H.walk(n)] if x.tag == "a") < len(text):
+                if sum(len(H.text_of(x)) for x in [n, *H.walk(n)] if x.tag == "a") < len(text) and own_line(n):
                     found.append((n, text))
     if not found:
         return []
@@ -577,7 +592,7 @@ def recover_headings(root: H.Node, sections: bool = True, title_least: float = 1
     out: list[Record] = []
     explicit = any(_HEADING.fullmatch(n.tag) and H.text_of(n) for n in elements(root))
     top = ranked[0][0]
-    if top < title_least:
+    if top < title_least and not explicit:
         return []
     if not explicit:
         host = block_host(ranked[0][2])

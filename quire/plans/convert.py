@@ -87,7 +87,8 @@ def scan(pages: DataFrame, id_col: str = "page_id", html: str = "html", threshol
     """The corpus profile: fingerprint_freq, stable_chrome, lexicon."""
     total = pages.agg(F.countDistinct(id_col)).first()[0]
     frequency = P.fingerprint_frequency(P.fingerprints(pages, id_col, html))
-    texts = B.rows_of(pages, id_col, html, "page_id bigint, text string", lambda i, t: [{"page_id": i, "text": _words(t)}], "page_id")
+    kind = "string" if dict(pages.dtypes)[id_col] == "string" else "bigint"
+    texts = B.rows_of(pages, id_col, html, f"page_id {kind}, text string", lambda i, t: [{"page_id": i, "text": _words(t)}], "page_id", kind)
     return {"fingerprint_freq": frequency.withColumn("frequency", F.col("pages") / F.lit(max(1, total))), "stable_chrome": P.stable_chrome(frequency, total, threshold), "lexicon": O.lexicon(texts)}
 
 

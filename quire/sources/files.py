@@ -67,8 +67,16 @@ def save_profile(profile: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+PROFILE = ("fingerprint_freq", "stable_chrome", "lexicon")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_profile(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("fingerprint_freq", "stable_chrome", "lexicon")}
+    return {name: spark.read.parquet(f"{path}/{name}") for name in (*PROFILE, *(["encodings"] if _exists(spark, f"{path}/encodings") else []))}
 
 
 def write_json(table: DataFrame, path: str) -> None:
