@@ -8,6 +8,7 @@ greedy longest-match pieces of a word takes one pass over its characters, with n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,15 +127,13 @@ class Counter:
         known, count, buffer = self.known, self.automaton.count, data.tobytes()
         if len(known) > _MEMO:
             known.clear()
-        size = np.zeros(len(example), np.int64)
-        for i, (a, b) in enumerate(zip(starts[example].tolist(), ends[example].tolist())):
-            word = buffer[a:b]
-            n = known.get(word)
-            if n is None:
-                n = count(MARK + word.decode("utf-8", "replace"))
-                if b - a <= _MEMO_BYTES:
-                    known[word] = n
-            size[i] = n
+        words = [buffer[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
+        size = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(size < 0).tolist():
+            word = words[i]
+            size[i] = n = count(MARK + word.decode("utf-8", "replace"))
+            if len(word) <= _MEMO_BYTES:
+                known[word] = n
         total = np.concatenate([[0], np.cumsum(size[kind])])
         return total[first[1:]] - total[first[:-1]]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,11 @@ class Tokenizer:
 
         self.bpe = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.classes = _classes()
-        self.known: dict[bytes, list[int]] = {}  # the ids of pieces met, by their bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # the place of each piece met in first and size, by its bytes
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _pieces(self, points: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Where pieces begin; cut marks the code points that begin a text."""
@@ -93,29 +97,33 @@ class Tokenizer:
         starts = self._pieces(points, cut[:n])
         a, b = byte_at[starts], byte_at[np.append(starts[1:], n)]
         example, kind = W.kinds_of(data, a, b)
-        lists = self._ids(data.tobytes(), a[example].tolist(), b[example].tolist())
-        sizes = np.array(list(map(len, lists)), np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        first, size = np.concatenate([[0], np.cumsum(sizes)])[kind], sizes[kind]
+        slot = self._slots(data.tobytes(), a[example].tolist(), b[example].tolist())[kind]
+        first, size = self.first[slot], self.size[slot]
         to = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
+        ids = self.ids[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
         return ids, to[np.searchsorted(starts, text_at)]
 
-    def _ids(self, data: bytes, starts: list[int], ends: list[int]) -> list[list[int]]:
-        known, core, ranks = self.known, self.bpe._core_bpe, self.bpe._mergeable_ranks
-        if len(known) > _MEMO:
-            known.clear()
-        lists = []
-        for a, b in zip(starts, ends):
-            piece = data[a:b]
-            found = known.get(piece)
-            if found is None:
+    def _slots(self, data: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+        """The place of each piece data[start:end] in first and size."""
+        if len(self.size) > _MEMO:
+            self._forget()
+        pieces = [data[a:b] for a, b in zip(starts, ends)]
+        slots = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            core, ranks, lists = self.bpe._core_bpe, self.bpe._mergeable_ranks, []
+            for i, at in enumerate(new.tolist(), len(self.size)):
+                piece = pieces[at]
                 rank = ranks.get(piece)
-                found = [rank] if rank is not None else core.encode_single_piece(piece)
-                if b - a <= _MEMO_BYTES:
-                    known[piece] = found
-            lists.append(found)
-        return lists
+                lists.append([rank] if rank is not None else core.encode_single_piece(piece))
+                if len(piece) <= _MEMO_BYTES:
+                    self.known[piece] = i
+            size = np.array(list(map(len, lists)), np.int64)
+            slots[new] = len(self.size) + np.arange(len(new))
+            self.first = np.concatenate([self.first, len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))])
+        return slots
 
 
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
