@@ -309,9 +309,9 @@ def lint(text: str | None, max_line: int = 2200) -> Iterator[tuple[str, int]]:
     for i, line in enumerate(lines, 1):
         if len(line) > max_line:
             yield "line-too-long", i
-        if re.fullmatch(rf":::\s*{M.NAME}\s*", line):
+        if M.opened_by(line) is not None:
             depth += 1
-        elif re.fullmatch(r":::\s*", line):
+        elif M.closes(line):
             if depth == 0:
                 yield "fence-unbalanced", i
             depth = max(0, depth - 1)

@@ -11,20 +11,20 @@ from __future__ import annotations
 import re
 from html import unescape
 
-VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = frozenset("script style xmp iframe noembed noframes".split())
-RCDATA = frozenset("title textarea".split())
-HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
-FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+VOID = frozenset(("area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "xmp", "iframe", "noembed", "noframes"))
+RCDATA = frozenset(("title", "textarea"))
+HEAD = frozenset(("base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"))
+FORMATTING = frozenset(("a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"))
 CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt summary listing".split()
+    ("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt", "summary", "listing")
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
-TABLE_CONTEXT = frozenset("table thead tbody tfoot tr".split())
-SCOPE = frozenset("html table td th caption template object applet marquee".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TABLE_PARTS = frozenset(("caption", "colgroup", "col", "thead", "tbody", "tfoot", "tr", "td", "th"))
+TABLE_CONTEXT = frozenset(("table", "thead", "tbody", "tfoot", "tr"))
+SCOPE = frozenset(("html", "table", "td", "th", "caption", "template", "object", "applet", "marquee"))
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split()
+    ("address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
 )
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"

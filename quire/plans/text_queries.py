@@ -98,7 +98,7 @@ def seam_shingles(load, spark) -> DataFrame:
     return rounded(O.conservation(docs, "doc_id", "text", "rest", "head"), "recall")
 
 
-LEX = r"lex AS (SELECT word, contains(word, '-') AS hyphenated, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '\p{L}+-[ \t]*\r?\n\s*\p{L}+', ' ', 'g')), '\p{L}+(?:[-]\p{L}+)*')) AS word FROM documents) GROUP BY ALL)"
+LEX = r"lex AS (SELECT word, contains(word, '-') AS hyphenated, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(text, '\p{L}+-[ \t]*\r?\n\s*\p{L}+', ' ', 'g')), '\p{L}+(?:-\p{L}+)*')) AS word FROM documents) GROUP BY ALL)"
 
 
 @query(f"WITH {LEX} SELECT * FROM lex")
@@ -202,7 +202,7 @@ def fold_targets(load, spark) -> DataFrame:
     return load("pages").select("page_id", T.fold_target("url").alias("folded"), T.fold_target(F.concat(F.lit("/#/X/"), "page_id")).alias("route"), T.fold_target(F.lit(" ./pages/Music/A.mp3")).alias("resource"))
 
 
-TRANSLIT = "zh kh ts ch sh shch yu ya".split()
+TRANSLIT = ("zh", "kh", "ts", "ch", "sh", "shch", "yu", "ya")
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-{2,}', '-', 'g'), '-') || '-zhshchyaba' AS slug, '/#/' || 'x-' || p_partkey AS link FROM part")

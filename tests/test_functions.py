@@ -200,7 +200,7 @@ def test_scores_and_rules():
 
 
 def test_reader():
-    blocks, warnings = M.read("# T\n\n" + "::: columns" + 2 * "\n" + "::: column\n\na\n:::" + 2 * "\n" + "::: column\n\n- x\n  - y\n:::\n:::\n\n| k | v |\n|--|--|\n| 1 \\| 2 |\n\n::anchor{#z}\n\n> q\n\n1. one\n\n---\n")
+    blocks, warnings = M.read("# T\n\n" + "::: columns" + "\n\n" + "::: column\n\na\n:::" + "\n\n" + "::: column\n\n- x\n  - y\n:::\n:::\n\n| k | v |\n|--|--|\n| 1 \\| 2 |\n\n::anchor{#z}\n\n> q\n\n1. one\n\n---\n")
     assert not warnings
     assert [(b["kind"], b["name"], b["depth"]) for b in blocks] == [
         ("heading", "", 1), ("directive", "columns", 0), ("directive", "column", 1), ("paragraph", "", 0), ("directive", "column", 1), ("list-item", "bullet", 0), ("list-item", "bullet", 1),
@@ -212,6 +212,14 @@ def test_reader():
     assert M.read(None) == ([], [])
 
 
+def test_lines_of_the_format():
+    assert [M.opened_by(x) for x in ("::: nav", ":::nav\t", "::: ", "::: 1a", ":: nav", "::: a b", " ::: nav")] == ["nav", "nav", None, None, None, None, None]
+    assert [M.closes(x) for x in (":::", ":::  ", "::: x", "::::")] == [True, True, False, False]
+    assert [M.leaf_of(x) for x in ("::anchor{#a}", "::a-b{x=1 y}  ", "::a{b}c", "::{a}", ":::a{b}")] == [("anchor", "#a"), ("a-b", "x=1 y"), None, None, None]
+    assert [M.property_of(x) for x in ("src: a: b", "size:", "a b: c", ": x", "1: y")] == [("src", "a: b"), ("size", ""), None, None, None]
+    assert [M.heading_of(x) for x in ("# a", "###### b ##", "####### c", "#d", "## C#", "# ")] == [(1, "a"), (6, "b"), None, None, (2, "C#"), (1, "")]
+
+
 @given(st.text(alphabet="#:|-> \nab1.*[]()", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_no_document_differs_from_itself(text):
