@@ -332,24 +332,42 @@ def drop_spacers(root: H.Node) -> list[Record]:
     return _drop(root, lambda n: n.tag == "img" and is_spacer(n), "spacer")
 
 
+def holding(root: H.Node, test: Callable[[H.Node], bool]) -> set[int]:
+    """id of every node that is, or holds, one for which test is true; each node is visited once."""
+    found: set[int] = set()
+    for node in H.walk(root):
+        if id(node) not in found and test(node):
+            found.add(id(node))
+            for up in above(node):
+                if id(up) in found:
+                    break
+                found.add(id(up))
+    return found
+
+
 def drop_invisible(root: H.Node, invisible: frozenset[int]) -> list[Record]:
     """Containers that were measured as invisible and hold nothing."""
-    holds = lambda n: H.text_of(n) or any(x.tag == "img" for x in H.walk(n))
-    return _drop(root, lambda n: n.pre in invisible and n.tag not in H.VOID and n.tag not in ("html", "body") and not holds(n), "invisible") if invisible else []
+    if not invisible:
+        return []
+    held = holding(root, lambda n: n.tag == "img" or n.kind == "text" and n.value.strip(_EDGE) != "")
+    return _drop(root, lambda n: n.pre in invisible and n.tag not in H.VOID and n.tag not in ("html", "body") and id(n) not in held, "invisible")
 
 
 def drop_empty(root: H.Node) -> list[Record]:
     """p and div without text, images and links."""
-    media = lambda n: any(x.tag == "img" or x.tag == "a" and x.attrs for x in H.walk(n))
-    return _drop(root, lambda n: n.tag in ("p", "div") and not H.text_of(n).strip(_EDGE) and not media(n), "empty")
+    held = holding(root, lambda n: n.kind == "text" and n.value.strip(_EDGE) != "" or n.tag == "img" or n.tag == "a" and bool(n.attrs))
+    return _drop(root, lambda n: n.tag in ("p", "div") and id(n) not in held, "empty")
 
 
 def _drop(root: H.Node, test: Callable[[H.Node], bool], why: str) -> list[Record]:
-    out = []
-    for node in elements(root):
-        if within(root, node) and test(node):
+    out, stack = [], list(reversed(root.children))
+    while stack:
+        node = stack.pop()
+        if node.kind == "element" and test(node):
             out.append(Record("normalize", node.pre, node.tag, "remove", why))
             detach(node)
+        else:
+            stack.extend(reversed(node.children))
     return out
 
 
