@@ -12,6 +12,7 @@ import sys
 from dataclasses import dataclass, field, replace  # noqa: F401  (replace is for callers)
 
 from quire.functions import decode as D, grids as G, html_tree as H, markdown as M, rewrite as R
+from quire.functions.build import downgraded
 from quire.functions.profiles import LinkProfile, TargetProfile
 
 STRONG, EMPHASIS, DELETED = frozenset(("b", "strong")), frozenset(("i", "em", "cite", "var", "dfn")), frozenset(("s", "strike", "del"))
@@ -218,7 +219,7 @@ def lower(node: H.Node, page: Page) -> list[Block]:
     if tag == "dl":
         items = [Block("paragraph", (f"**{t}**" if c.tag == "dt" else t)) for c in node.children if c.tag in ("dt", "dd") and (t := inline(c.children, page).strip())]
         return out + items
-    frame = R.frame_evidence(node, page.length) if tag in ("div", "p", "td") and page.options.target.frames and not page.bounded else None
+    frame = R.frame_evidence(node, page.length) if tag in ("div", "p", "td") and not page.bounded else None
     if frame:
         page.bounded += 1
         inner = blocks_of(node.children, page)
@@ -513,7 +514,7 @@ def layout(grid: G.Grid, page: Page) -> list[Block] | None:
 def decomposed(grid: G.Grid, page: Page) -> list[Block]:
     """Cells in reading order; a rule where empty rows, two and more of them, part the others."""
     page.note(grid.table, "MERGED_INTO", "decomposed")
-    frame = R.frame_evidence(grid.table, page.length) if page.options.target.frames and not page.bounded else None
+    frame = R.frame_evidence(grid.table, page.length) if not page.bounded else None
     page.bounded += frame is not None
     rows = grid.rows()
     inner = sorted(r for r in range(grid.n_rows) if rows.get(r) and all(c.is_empty for c in rows[r]) and 0 < r < grid.n_rows - 1 - grid.trailing)
@@ -523,7 +524,7 @@ def decomposed(grid: G.Grid, page: Page) -> list[Block]:
             out.append(Block("rule"))
         for c in rows.get(r, ()):
             if not c.is_empty:
-                own = R.frame_evidence(c.node, page.length) if frame is None and page.options.target.frames and not page.bounded else None
+                own = R.frame_evidence(c.node, page.length) if frame is None and not page.bounded else None
                 page.bounded += own is not None
                 blocks = blocks_of(c.node.children, page) if "data-heading" not in (c.node.attrs or {}) else lower(c.node, page)
                 page.bounded -= own is not None
@@ -540,7 +541,7 @@ def decomposed(grid: G.Grid, page: Page) -> list[Block]:
 def passes(blocks: list[Block], page: Page | None = None) -> list[Block]:
     page = page or Page()
     out = sections_after_rules(labels_before_lists(dates(continued(blocks)), page), page)
-    return captions(aligned(subordinated(quotations(bulleted(out)))))
+    return highlighted(captions(aligned(subordinated(quotations(bulleted(out))))))
 
 
 def bare(text: str) -> str:
@@ -548,6 +549,18 @@ def bare(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)[*~`]|==", "", text)).strip()
 
 
+def highlighted(blocks: list[Block], least: int = 64) -> list[Block]:
+    """A long quotation inside a paragraph that holds a whole sentence is marked."""
+    def mark(m: re.Match) -> str:
+        inner = m[0][1:-1]
+        return f"=={m[0]}==" if len(inner) > least and re.search(r"[.!?…]", inner) and "](" not in inner and "*" not in inner and "==" not in inner else m[0]
+
+    for b in blocks:
+        if b.kind == "paragraph" and not re.fullmatch(r"[«“][^«»“”]*[»”][.,]?", b.text.strip()):
+            b.text = re.sub(r"[«“][^«»“”\n]*[»”]", mark, b.text)
+    return blocks
+
+
 def continued(blocks: list[Block]) -> list[Block]:
     """A paragraph that goes on with the next number joins the list before it."""
     out: list[Block] = []
@@ -797,7 +810,8 @@ def convert(html: str | None, options: Options = Options(), known: R.Lookup | No
     grids = G.grids(body)
     page.seq = {id(g.table): g.seq for g in grids}
     page.paired = sum(G.picture_paired(g) == 1 for g in grids)
-    blocks = single_title(blocks_of(body.children, page), title)
+    blocks, lost = downgraded(single_title(blocks_of(body.children, page), title), options.target)
+    page.ledger += [("document", "MERGED_INTO", f"{what}: {how}") for what, how in lost]
     page.accounted += _numbers(blocks)
     tables = [{"seq": seq, "class": kind, "confidence": sure, "tier": tier, "plan": plan} for seq, kind, sure, tier, plan in page.records]
     return {"markdown": serialize(blocks), "source_text": source, "accounted": " ".join(filter(None, page.accounted)), "ledger": page.ledger, "links": links, "images": images, "tables": tables, "lost_tables": page.lost_tables}

@@ -24,7 +24,7 @@ TRACKERS = re.compile(r"//[^/]*(?:counter|tracker|top100|hotlog|mc\.yandex|googl
 UNSAFE = re.compile(r"[\s\x00-\x1f]*(?:javascript|vbscript|file|data:text/html)\s*[:;,]", re.I)
 #: Removals that take no words of the page's author along.
 SILENT = frozenset(("script", "noscript", "template", "style", "head", "#comment"))
-_EDGE = " \t\r\n\f\v   ﻿"
+_EDGE = " \t\r\n\f\v\u00a0\u2002\u2003\u2009\u200b\ufeff"
 
 
 @dataclass

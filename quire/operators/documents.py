@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions import batches as B, checks as K, markdown as M, text as T
 
@@ -85,54 +85,168 @@ def lint(docs: DataFrame, id_col: str, text: str, max_line: int = 2200) -> DataF
 
 
 def align(a: list, b: list, similarity, gap: float = 0.325) -> list[tuple[int | None, int | None]]:
-    """Global alignment of least cost; ties go to substitution, then deletion, then insertion."""
+    """Global alignment of least cost; ties go to substitution, then deletion, then insertion.
+
+    What two sides share at their start and end is paired off first, and each similarity is computed once.
+    """
     n, m = len(a), len(b)
-    cost = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not (i or j):
-                continue
-            cost[i][j] = min(
-                cost[i - 1][j - 1] + 1 - similarity(a[i - 1], b[j - 1]) if i and j else 1e18, cost[i - 1][j] + gap if i else 1e18, cost[i][j - 1] + gap if j else 1e18
-            )
-    path, i, j = [], n, m
+    head = 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    x, y = a[head : n - tail], b[head : m - tail]
+    cost = [[j * gap for j in range(len(y) + 1)]]
+    back = [[2] * (len(y) + 1)]
+    for i, p in enumerate(x):
+        above, row, moves = cost[-1], [(i + 1) * gap], [1]
+        for j, q in enumerate(y):
+            options = (above[j] + 1 - similarity(p, q), above[j + 1] + gap, row[j] + gap)
+            least = min(options)
+            row.append(least)
+            moves.append(next(k for k, c in enumerate(options) if c <= least + 1e-9))
+        cost.append(row)
+        back.append(moves)
+    path: list[tuple[int | None, int | None]] = [(n - 1 - k, m - 1 - k) for k in range(tail)]
+    i, j = len(x), len(y)
     while i or j:
-        if i and j and abs(cost[i][j] - (cost[i - 1][j - 1] + 1 - similarity(a[i - 1], b[j - 1]))) < 1e-9:
-            i, j = i - 1, j - 1
-            path.append((i, j))
-        elif i and abs(cost[i][j] - (cost[i - 1][j] + gap)) < 1e-9:
-            i -= 1
-            path.append((i, None))
-        else:
-            j -= 1
-            path.append((None, j))
-    return path[::-1]
-
-
-def words_of(text: str) -> list[str]:
-    import re
-
-    return re.findall(r"\w+", re.sub(r"(\w)[-‐‑–—]\s*(\w)", r"\1\2", text.lower().replace("­", "")))
+        move = back[i][j] if i and j else 1 if i else 2
+        i, j = i - (move < 2), j - (move != 1)
+        path.append((head + i if move < 2 else None, head + j if move != 1 else None))
+    return path[::-1] if not head else [*((k, k) for k in range(head)), *path[::-1]]
 
 
 def similar(a: dict, b: dict) -> float:
-    """0 for blocks of different kinds, else how alike their texts are; directives also need their name."""
+    """0 for blocks of different kinds, else how alike their texts are, or their targets if these are more so; directives also need their name."""
     if a["kind"] != b["kind"] or (a["kind"] == "directive" and a["name"] != b["name"]):
         return 0.0
-    if a["kind"] in ("rule",):
+    if a["kind"] == "rule":
         return 1.0
     if a["kind"] == "directive":
         keys = set(a["props"]) | set(b["props"])
         return 1.0 if not keys else sum(a["props"].get(k) == b["props"].get(k) for k in keys) / len(keys)
-    wa, wb = words_of(a["text"]), words_of(b["text"])
-    if not wa and not wb:
-        return 1.0
+    ta, tb = _tokens(a), _tokens(b)
+    return max(_dice(ta[0], ta[1], tb[0], tb[1]), 0.9 if ta[2] and ta[2] == tb[2] else 0.0)
+
+
+def _tokens(block: dict) -> tuple[list[str], set, tuple[str, ...]]:
+    """Words, pairs of words and link targets of a block, kept with it."""
+    if "tokens" not in block:
+        text = block["text"]
+        words = K.normalized(K.plain(text)).split()
+        block["tokens"] = words, set(zip(words, words[1:])), tuple(sorted(K.target(m[2]) for p in (K.LINK, K.IMAGE) for m in p.finditer(text)))
+    return block["tokens"]
+
+
+def _dice(wa: list[str], pa: set, wb: list[str], pb: set) -> float:
     if not wa or not wb:
-        return 0.0
+        return float(not wa and not wb)
     if len(wa) < 2 or len(wb) < 2:
         return len(set(wa) & set(wb)) / len(set(wa) | set(wb))
-    pa_, pb = set(zip(wa, wa[1:])), set(zip(wb, wb[1:]))
-    return 2 * len(pa_ & pb) / (len(pa_) + len(pb))
+    return 2 * len(pa & pb) / (len(pa) + len(pb))
+
+
+def homes(blocks: list[dict]) -> dict[str, str]:
+    """Where each text of a document stands: folded text -> place; the strongest place wins."""
+    found: dict[str, str] = {}
+
+    def put(text: str, place: str) -> None:
+        key = K.normalized(K.plain(text))
+        if key and (key not in found or PLACES.index(place) < PLACES.index(found[key])):
+            found[key] = place
+
+    names = {b["path"]: b["name"] for b in blocks if b["kind"] == "directive"}
+    for b in blocks:
+        inside = names.get(b["parent"], "")
+        kind, text = b["kind"], b["text"]
+        if kind == "directive":
+            put(b["props"].get("caption", ""), "caption-echo")
+            continue
+        if kind == "table-row":
+            for cell in K.cells_of(b):
+                put(cell, "in-table")
+            continue
+        place = {"heading": "in-heading", "list-item": "in-nav" if inside == "nav" else "in-list", "quote": "in-quote"}.get(kind, "in-align" if inside == "align" else "in-paragraph")
+        put(text, place)
+        if "\\\n" in text:
+            for line in text.split("\\\n"):
+                put(line, "in-break-run")
+    return found
+
+
+PLACES = ("in-paragraph", "in-break-run", "in-heading", "in-list", "in-table", "in-quote", "caption-echo", "in-nav", "in-align")
+
+
+def home_of(text: str, places: dict[str, str]) -> str:
+    """Where another document has a text: one of PLACES, absorbed by a longer text (three words and more), or unattested."""
+    key = K.normalized(K.plain(text))
+    if key in places:
+        return places[key]
+    if len(key.split()) >= 3 and any(f" {key} " in f" {host} " for host in places):
+        return "absorbed"
+    return "unattested"
+
+
+def text_homes(pairs: DataFrame, id_col: str, produced: str, reference: str) -> DataFrame:
+    """(id, path, text, home): the texts of the reference that the produced document hasn't as such, and where it has them."""
+
+    def of(i: int, p: str | None, r: str | None):
+        places, theirs = homes(M.read(p)[0]), M.read(r)[0]
+        for b in theirs:
+            if b["kind"] in ("paragraph", "heading", "list-item", "quote"):
+                home = home_of(b["text"], places)
+                own = homes([b]).get(K.normalized(K.plain(b["text"])))
+                if own and home != own:
+                    yield {id_col: i, "path": b["path"], "text": b["text"], "home": home}
+
+    return B.rows_of(pairs, id_col, [produced, reference], f"{id_col} bigint, path string, text string, home string", of)
+
+
+def self_echo(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, path, caption): captions whose words a document repeats in a paragraph."""
+
+    def of(i: int, t: str | None):
+        blocks = M.read(t)[0]
+        said = {K.normalized(K.plain(b["text"])) for b in blocks if b["kind"] == "paragraph"}
+        return ({id_col: i, "path": b["path"], "caption": b["props"]["caption"]} for b in blocks if b["kind"] == "directive" and K.normalized(b["props"].get("caption", "")) in said - {""})
+
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, path string, caption string", of)
+
+
+ALLOWED = {
+    "align": {"position"}, "anchor": {"id"}, "columns": set(), "document": {"src", "title", "mode"}, "frame": {"frame", "title"}, "image": {"src", "position", "size", "alt", "caption", "link", "frame"}, "images": {"columns", "frame"},
+    "nav": {"title", "active"}, "column": set(), "lead": set(), "signature": set(),
+}
+
+
+def off_profile(docs: DataFrame, id_col: str, text: str, columns_property: bool = False) -> DataFrame:
+    """(id, path, name, property): properties that the target doesn't know."""
+    more = {"columns", "divider"} if columns_property else set()
+
+    def of(i: int, t: str | None):
+        for b in M.read(t)[0]:
+            if b["kind"] == "directive" and b["name"] in ALLOWED:
+                for key in sorted(set(b["props"]) - ALLOWED[b["name"]] - (more if b["name"] == "columns" else set())):
+                    yield {id_col: i, "path": b["path"], "name": b["name"], "property": key}
+
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, path string, name string, property string", of)
+
+
+def rendered(docs: DataFrame, id_col: str, text: str, title: str | None = None, base: str = "/pages") -> DataFrame:
+    """(id, html): every document as a page."""
+    from quire.functions.render import render
+
+    columns = [text, title] if title else [text]
+    return B.rows_of(docs, id_col, columns, f"{id_col} bigint, html string", lambda i, t, *more: [{id_col: i, "html": render(t, more[0] or "" if more else "", base)}])
+
+
+def render_ledger(ledger: DataFrame, most: int = 30) -> DataFrame:
+    """(place, line): the most urgent classes of a defect ledger, one line of fixed width each."""
+    top = ledger.orderBy(F.desc("rank"), F.desc("instances"), "class").limit(most)
+    line = F.concat(F.rpad("class", 32, " "), F.rpad("severity", 10, " "), *[F.lpad(F.col(c).cast("string"), 9, " ") for c in ("instances", "documents", "defects", "rank")])
+    place = F.row_number().over(Window.orderBy(F.desc("rank"), F.desc("instances"), "class"))
+    return top.select(place.alias("place"), line.alias("line"))
 
 
 def diff(produced: str | None, reference: str | None) -> list[dict]:

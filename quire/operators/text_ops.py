@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.functions import text as T
+from quire.functions import batches as B, checks as K, text as T
 
 BROADCAST_ROWS = 200_000
 
@@ -129,25 +131,49 @@ def exploded(docs: DataFrame, keys: list[str], items: Column) -> DataFrame:
     return docs.select(*keys, F.explode(items).alias("item"))
 
 
-def conservation(pairs: DataFrame, id_col: str, source: str, output: str, accounted: str | None = None, minimum: float = 0.995, size: int = 5) -> DataFrame:
+# -- bags of one document: it is a row, and so are its bags; nothing of them needs a shuffle
+
+
+def row_bag_diff(docs: DataFrame, id_col: str, source: str, output: str) -> DataFrame:
+    """(id, item, missing, extra): what doesn't balance between the words (normalized) of two texts of each row, with multiplicity."""
+
+    def of(i, s: str | None, o: str | None):
+        a, b = Counter(K.normalized(s or "").split()), Counter(K.normalized(o or "").split())
+        return ({id_col: i, "item": x, "missing": max(0, a[x] - b[x]), "extra": max(0, b[x] - a[x])} for x in a | b if a[x] != b[x])
+
+    return B.rows_of(docs, id_col, [source, output], f"{id_col} bigint, item string, missing bigint, extra bigint", of)
+
+
+def row_shingle_f1(docs: DataFrame, id_col: str, expected: str, actual: str, size: int = 5) -> DataFrame:
+    """(id, expected, actual, matched, recall, precision, f1) of the shingles of two texts of each row; a pair of empty bags has no row."""
+    schema = f"{id_col} bigint, expected bigint, actual bigint, matched bigint, recall double, precision double, f1 double"
+
+    def of(i, e: str | None, a: str | None):
+        found = K.f1(Counter(K.shingles(e or "", size)), Counter(K.shingles(a or "", size)))
+        return [{id_col: i, **{k: v for k, v in found.items() if k != "missing"}}] if found["expected"] or found["actual"] else []
+
+    return B.rows_of(docs, id_col, [expected, actual], schema, of)
+
+
+def row_shingles(docs: DataFrame, id_col: str, text: str, size: int = 5) -> DataFrame:
+    """(id, n_shingles, n_distinct, most): how many shingles each text has, and how often the most frequent; an empty text has no row."""
+
+    def of(i, t: str | None):
+        bag = Counter(K.shingles(t or "", size))
+        return [{id_col: i, "n_shingles": bag.total(), "n_distinct": len(bag), "most": max(bag.values())}] if bag else []
+
+    return B.rows_of(docs, id_col, text, f"{id_col} bigint, n_shingles bigint, n_distinct bigint, most bigint", of)
+
+
+def conservation(pairs: DataFrame, id_col: str, source: str, output: str, accounted: str | None = None, minimum: float = 0.995) -> DataFrame:
     """(id, total, lost, excused, recall, ok) of each pair of source and output texts.
 
     Source shingles that the output lacks are lost, unless they are shingles of the accounted (removed) text or a
     seam: a shingle that holds a word of it.  A source without shingles has recall 1.
     """
-    base = pairs.select(
-        F.col(id_col),
-        T.shingles(source, size).alias("s"),
-        T.shingles(output, size).alias("o"),
-        (T.words_of(T.normalize_for_compare(accounted)) if accounted else F.array().cast("array<string>")).alias("acc"),
-    )
-    want = base.select(id_col, "acc", F.explode("s").alias("item")).groupBy(id_col, "acc", "item").agg(F.count("*").alias("a"))
-    have = base.select(id_col, F.explode("o").alias("item")).groupBy(id_col, "item").agg(F.count("*").alias("b"))
-    lost = want.join(have, [id_col, "item"], "left").fillna(0, ["b"]).withColumn("gone", F.greatest(F.col("a") - F.col("b"), F.lit(0)))
-    seam = F.arrays_overlap(F.split("item", " "), "acc")
-    sums = lost.groupBy(id_col).agg(
-        F.sum("a").alias("total"), F.sum("gone").alias("lost"), F.sum(F.when(seam, F.col("gone")).otherwise(0)).alias("excused")
-    )
-    result = pairs.select(id_col).join(sums, id_col, "left").fillna(0, ["total", "lost", "excused"])
-    recall = F.when(F.col("total") == 0, 1.0).otherwise(1 - (F.col("lost") - F.col("excused")) / F.col("total"))
-    return result.withColumn("recall", recall).withColumn("ok", F.col("recall") >= minimum)
+
+    def of(i, s: str | None, o: str | None, removed: str | None = None):
+        total, lost, excused, recall = K.conserved(s or "", o or "", removed or "")
+        return [{id_col: i, "total": total, "lost": lost, "excused": excused, "recall": recall, "ok": recall >= minimum}]
+
+    return B.rows_of(pairs, id_col, [source, output, *([accounted] if accounted else [])], f"{id_col} bigint, total bigint, lost bigint, excused bigint, recall double, ok boolean", of)

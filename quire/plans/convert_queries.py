@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions import batches as B, checks as K, html_tree as H, rewrite as R
 from quire.operators import documents as D, text_ops as O
 from quire.plans import convert as C
-from quire.plans.page_queries import VISIBLE
+from quire.plans.page_queries import VISIBLE, menu_pages
 from quire.plans.registry import query
 
 
@@ -63,14 +63,6 @@ def converted_structure(load, spark) -> DataFrame:
 # -- the two phases
 
 
-def menu_pages(load) -> DataFrame:
-    """A page for each customer with orders, around one menu."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p>order "), x, F.lit(" of this customer, which was written down at length"))), "")
-    html = F.concat(F.lit("<title>Customer "), "o_custkey", F.lit("</title><body><div class=menu><ul><li>home<li>about us</ul></div><div>"), body, F.lit("</div>"))
-    return o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))
-
-
 @query("""SELECT o_custkey AS page_id, '# Customer ' || o_custkey || chr(10) || chr(10) || string_agg('order ' || o_orderkey || ' of this customer, which was written down at length', chr(10) || chr(10) ORDER BY o_orderkey) || chr(10) AS markdown FROM orders GROUP BY o_custkey""")
 def corpus_conversion(load, spark) -> DataFrame:
     """Scan, then conversion with what was found: the menu that all pages share is in no document."""

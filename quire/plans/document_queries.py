@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quire.functions import text as T
 from quire.operators import decisions as B, documents as D, layout as L
 from quire.plans.registry import query
-from quire.plans.text_queries import norm
+from quire.plans.text_queries import norm, sh
 
 
 def region_docs(load, changed: bool = False) -> DataFrame:
@@ -57,10 +57,64 @@ def table_shape_agreement(load, spark) -> DataFrame:
     return D.overall_scores(pairs, "doc", "md", "made").select("doc", F.round("shape", 6).alias("shape"))
 
 
-@query()
+def order_lists(load) -> DataFrame:
+    """For each customer with orders a document that lists them with their links (md), and one that lacks every third (made)."""
+    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    text = lambda keys: F.concat(F.lit("# Customer "), "o_custkey", F.lit("\n\nAll of the orders that are known are listed here\n\n"), F.array_join(F.transform(keys, lambda x: F.concat(F.lit("- [order "), x, F.lit("](/o/"), x, F.lit(")"))), "\n"), F.lit("\n"))
+    return o.select(F.col("o_custkey").alias("doc"), text("k").alias("md"), text(F.filter("k", lambda x: x % 3 != 0)).alias("made"))
+
+
+LISTS = """o AS (SELECT o_custkey AS doc, list_sort(list(o_orderkey)) AS k, list_filter(list_sort(list(o_orderkey)), lambda x: x % 3 <> 0) AS m FROM orders GROUP BY 1),
+ t AS (SELECT doc, k, m, string_split('customer ' || doc || ' all of the orders that are known are listed here' || array_to_string(list_transform(k, lambda x: ' order ' || x), ''), ' ') AS w, string_split('customer ' || doc || ' all of the orders that are known are listed here' || array_to_string(list_transform(m, lambda x: ' order ' || x), ''), ' ') AS v FROM o)"""
+
+
+@query(f"""WITH {LISTS}, a AS (SELECT doc, item, count(*) AS a FROM (SELECT doc, unnest({sh('w')}) AS item FROM t) GROUP BY ALL), b AS (SELECT doc, item, count(*) AS b FROM (SELECT doc, unnest({sh('v')}) AS item FROM t) GROUP BY ALL),
+ x AS (SELECT doc, sum(a) AS e, sum(b) AS n, sum(least(a, b)) AS m FROM (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b ON a.doc = b.doc AND a.item = b.item) GROUP BY doc)
+ SELECT x.doc, 1.0 AS shape, round(0.3 * 2 * x.m / (x.e + x.n) + 0.15 * (CASE WHEN len(t.m) = 0 THEN 0 ELSE 2 * len(t.m) / (len(t.k) + len(t.m)) END) + 0.55, 6) AS overall FROM x JOIN t ON x.doc = t.doc""")
 def overall_score(load, spark) -> DataFrame:
-    pairs = region_docs(load).join(region_docs(load, True).withColumnRenamed("md", "made"), "doc")
-    return D.overall_scores(pairs, "doc", "md", "made")
+    """Documents scored against those that lack a third of their list."""
+    return D.overall_scores(order_lists(load), "doc", "md", "made").select("doc", "shape", F.round("overall", 6).alias("overall"))
+
+
+@query(f"WITH {LISTS} SELECT doc, 'missing.list-item' AS class, 'critical' AS severity, len(k) - len(m) AS n FROM t WHERE len(k) > len(m)")
+def missing_items(load, spark) -> DataFrame:
+    """What the shorter documents lack, to the item: the alignment pairs all others."""
+    return D.diff_documents(order_lists(load), "doc", "made", "md").groupBy("doc", "class", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LISTS}, s AS (SELECT count(*) AS documents FROM t) SELECT documents, 1.0 AS mean, 1.0 AS least FROM s")
+def corpus_score(load, spark) -> DataFrame:
+    """The mean over a corpus of documents scored against themselves."""
+    s = D.corpus_score(D.overall_scores(order_lists(load).withColumn("same", F.col("md")), "doc", "md", "same"))
+    return s.select("documents", F.round("mean", 6).alias("mean"), F.round("least", 6).alias("least"))
+
+
+@query("""SELECT p_partkey AS doc, '<h1 data-path="/0" data-line="1" data-kind="heading">' || p_name || '</h1>' || chr(10) || '<p data-path="/1" data-line="3" data-kind="paragraph">made by <strong>' || p_brand || '</strong>, <a href="/#/' || p_partkey || '">a &amp; b</a></p>' || chr(10)
+ || '<ul data-path="/2" data-line="5" data-kind="list">' || chr(10) || '<li data-path="/2" data-line="5" data-kind="item">' || p_type || '</li>' || chr(10) || '<li data-path="/3" data-line="6" data-kind="item">size ' || p_size || '</li>' || chr(10) || '</ul>' || chr(10)
+ || '<div class="align" data-path="/4" data-line="8" data-kind="align" data-position="right">' || chr(10) || '<p data-path="/4/0" data-line="11" data-kind="paragraph">signed</p>' || chr(10) || '</div>' AS article FROM part""")
+def rendered_documents(load, spark) -> DataFrame:
+    """Documents as HTML, with the path and line of each block."""
+    md = F.concat(F.lit("# "), "p_name", F.lit("\n\nmade by **"), "p_brand", F.lit("**, [a & b](/#/"), "p_partkey", F.lit(")\n\n- "), "p_type", F.lit("\n- size "), "p_size", F.lit("\n\n::: align\nposition: right\n\nsigned\n:::\n"))
+    html = D.rendered(load("part").select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md")
+    return html.select("doc", F.regexp_extract("html", r'(?s)<article class="document-page">\n(.*)\n</article>', 1).alias("article"))
+
+
+@query("""SELECT p_partkey AS doc, CASE p_partkey % 6 WHEN 0 THEN 'in-heading' WHEN 1 THEN 'in-list' WHEN 2 THEN 'in-table' WHEN 3 THEN 'caption-echo' WHEN 4 THEN 'absorbed' ELSE 'unattested' END AS home FROM part""")
+def text_homes(load, spark) -> DataFrame:
+    """Where the produced document has a paragraph of its reference."""
+    k, t = F.col("p_partkey") % 6, F.concat(F.lit("about the "), "p_name")
+    made = F.when(k == 0, F.concat(F.lit("# "), t)).when(k == 1, F.concat(F.lit("- "), t)).when(k == 2, F.concat(F.lit("| "), t, F.lit(" | b |\n| - | - |\n"))).when(k == 3, F.concat(F.lit("::: image\nsrc: a.png\ncaption: "), t, F.lit("\n:::"))).when(k == 4, F.concat(F.lit("all "), t, F.lit(" and more"))).otherwise("nothing of it")
+    return D.text_homes(load("part").select(F.col("p_partkey").alias("doc"), made.alias("made"), t.alias("md")), "doc", "made", "md").select("doc", "home")
+
+
+@query("""SELECT p_partkey AS doc, 'self-echo' AS class, p_name AS value FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'off-profile', 'colour' FROM part WHERE p_partkey % 3 = 0""")
+def echoes_and_strays(load, spark) -> DataFrame:
+    """Captions that are said again, and properties that no target knows."""
+    k = F.col("p_partkey")
+    md = F.concat(F.lit("# t\n\n::: image\nsrc: a.png\nposition: left\nsize: small\ncaption: "), "p_name", F.when(k % 3 == 0, "\ncolour: red").otherwise(""), F.lit("\n:::\n\n"), F.when(k % 2 == 0, F.col("p_name")).otherwise("other words"), F.lit("\n"))
+    docs = load("part").select(k.alias("doc"), md.alias("md"))
+    echo = D.self_echo(docs, "doc", "md").select("doc", F.lit("self-echo").alias("class"), F.col("caption").alias("value"))
+    return echo.unionByName(D.off_profile(docs, "doc", "md").select("doc", F.lit("off-profile").alias("class"), F.col("property").alias("value")))
 
 
 BAD = [
@@ -102,11 +156,13 @@ def fence_balance(load, spark) -> DataFrame:
     return D.lint(load("part").select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md").select("doc", "code", "line")
 
 
-@query("SELECT doc_id, 'deadbeef' <> '' AS stable FROM documents LIMIT 0")
+@query("SELECT doc_id, (doc_id % 2)::BIGINT AS findings FROM documents")
 def diff_identity(load, spark) -> DataFrame:
-    """No document differs from itself."""
+    """No document differs from itself; one with a heading added differs by that."""
     d = load("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("t"))
-    return D.diff_documents(d.withColumn("u", F.col("t")), "doc_id", "t", "u").select("doc_id", F.lit(True).alias("stable"))
+    u = d.withColumn("u", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("# an added heading of its own\n\n"), "t")).otherwise(F.col("t")))
+    found = D.diff_documents(u, "doc_id", "u", "t").groupBy("doc_id").agg(F.count("*").alias("findings"))
+    return d.select("doc_id").join(found, "doc_id", "left").fillna(0)
 
 
 @query("""WITH r AS (SELECT r_regionkey::BIGINT AS doc, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -117,16 +173,19 @@ def diff_findings(load, spark) -> DataFrame:
     return D.diff_documents(pairs, "doc", "made", "md").groupBy("doc", "class", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT p_partkey AS doc, k.class, k.produced, k.reference FROM part JOIN (VALUES (0, 'text', 'one two three four', 'one two three five'), (1, 'order.moved', 'alpha beta gamma delta', 'alpha beta gamma delta'), (2, 'heading.depth', 'A title', 'A title'), (3, 'missing.paragraph', NULL, 'lost words of it')) k(i, class, produced, reference) ON p_partkey % 4 = k.i""")
 def nw_alignment(load, spark) -> DataFrame:
-    pairs = region_docs(load).join(region_docs(load, True).withColumnRenamed("md", "made"), "doc")
-    return D.diff_documents(pairs, "doc", "made", "md")
+    """Pairs of documents that differ in one way each: an edited text, a moved paragraph, a heading's depth, a lost paragraph."""
+    k = F.col("p_partkey") % 4
+    made = F.when(k == 0, "# t\n\none two three four\n\nlast").when(k == 1, "alpha beta gamma delta\n\none of them\n\nand another one").when(k == 2, "# A title\n\nx").otherwise("# t\n\nx")
+    md = F.when(k == 0, "# t\n\none two three five\n\nlast").when(k == 1, "one of them\n\nand another one\n\nalpha beta gamma delta").when(k == 2, "## A title\n\nx").otherwise("# t\n\nlost words of it\n\nx")
+    return D.diff_documents(load("part").select(F.col("p_partkey").alias("doc"), made.alias("made"), md.alias("md")), "doc", "made", "md").select("doc", "class", "produced", "reference")
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'converter-defect' WHEN 1 THEN 'reference-inconsistency' WHEN 2 THEN 'acceptable-alternative' ELSE 'converter-defect' END AS verdict FROM documents WHERE regexp_matches(text, '\\p{L}')""")
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN {norm('text')} = '' THEN 'reference-inconsistency' ELSE 'converter-defect' END WHEN 1 THEN 'reference-inconsistency' WHEN 2 THEN 'acceptable-alternative' ELSE 'converter-defect' END AS verdict FROM documents""")
 def triage_verdicts(load, spark) -> DataFrame:
     k = F.col("doc_id") % 4
-    d = load("documents").where(F.col("text").rlike(r"\p{L}"))
+    d = load("documents")
     f = d.select(
         "doc_id",
         F.when(k < 2, "missing.paragraph").when(k == 2, "text").otherwise("extra.paragraph").alias("class"),
@@ -157,9 +216,20 @@ def ledger_by_document(load, spark) -> DataFrame:
     return D.ledger_by_document(event_findings(load), load("customer").select(F.col("c_custkey").alias("doc")))
 
 
-@query(f"WITH {FINDINGS} SELECT class, doc, verdict FROM f WHERE starts_with(class, 'p') AND doc < 50 AND verdict = 'ambiguous'")
+@query(f"WITH {FINDINGS} SELECT class, doc, verdict FROM f WHERE starts_with(class, 'p') AND doc IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND verdict = 'ambiguous'")
 def finding_filters(load, spark) -> DataFrame:
-    return event_findings(load).where(F.col("class").startswith("p") & (F.col("doc") < 50) & (F.col("verdict") == "ambiguous")).select("class", "doc", "verdict")
+    """By class prefix, verdict, and the documents of a list."""
+    listed = load("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc"))
+    found = event_findings(load).where(F.col("class").startswith("p") & (F.col("verdict") == "ambiguous"))
+    return found.join(listed, "doc", "left_semi").select("class", "doc", "verdict")
+
+
+@query(f"""WITH {FINDINGS}, g AS (SELECT class, max(CASE severity WHEN 'critical' THEN 5 WHEN 'major' THEN 3 ELSE 1 END) AS w, count(*) AS i, count(DISTINCT doc) AS d, count(*) FILTER (verdict = 'converter-defect') AS x FROM f GROUP BY class),
+ r AS (SELECT *, x * w * d AS rank, row_number() OVER (ORDER BY x * w * d DESC, i DESC, class) AS place FROM g)
+ SELECT place::INT AS place, rpad(class, 32, ' ') || rpad(CASE w WHEN 5 THEN 'critical' WHEN 3 THEN 'major' ELSE 'minor' END, 10, ' ') || lpad(i::VARCHAR, 9, ' ') || lpad(d::VARCHAR, 9, ' ') || lpad(x::VARCHAR, 9, ' ') || lpad(rank::BIGINT::VARCHAR, 9, ' ') AS line FROM r WHERE place <= 30""")
+def ledger_lines(load, spark) -> DataFrame:
+    """The thirty most urgent classes, as lines."""
+    return D.render_ledger(D.defect_ledger(event_findings(load)))
 
 
 ALIGNED = "b AS (SELECT user_id AS page, (event_id % 400)::BIGINT AS text_len, ['left', 'right', 'center', 'justify'][1 + (event_id * 7 + user_id) % 4] AS align FROM events)"
@@ -194,11 +264,32 @@ def boxes(load) -> DataFrame:
     return load("events").select(F.col("user_id").alias("page"), e.alias("id"), (e * 37 % 900).cast("double").alias("x"), (e * 53 % 2000).cast("double").alias("y"), (20 + e % 60).cast("double").alias("w"), (10 + e % 17).cast("double").alias("h"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS i FROM x),
+ w AS (SELECT page, id, x, y, i, 0 AS band, y AS ay, h AS ah FROM o WHERE i = 1
+  UNION ALL SELECT o.page, o.id, o.x, o.y, o.i, CASE WHEN least(o.y + o.h, w.ay + w.ah) - greatest(o.y, w.ay) > 0.5 * least(o.h, w.ah) THEN w.band ELSE w.band + 1 END,
+   CASE WHEN least(o.y + o.h, w.ay + w.ah) - greatest(o.y, w.ay) > 0.5 * least(o.h, w.ah) THEN w.ay ELSE o.y END, CASE WHEN least(o.y + o.h, w.ay + w.ah) - greatest(o.y, w.ay) > 0.5 * least(o.h, w.ah) THEN w.ah ELSE o.h END FROM w JOIN o ON o.page = w.page AND o.i = w.i + 1)
+ SELECT page, id, band, (row_number() OVER (PARTITION BY page ORDER BY band, x, y, id) - 1)::INT AS rank FROM w""")
 def row_bands(load, spark) -> DataFrame:
     return L.row_bands(boxes(load), "page")
 
 
+@query(f"""WITH RECURSIVE {BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY x, id) AS i FROM x),
+ w AS (SELECT page, id, i, 0 AS lane, x AS ax, w AS aw FROM o WHERE i = 1 UNION ALL SELECT o.page, o.id, o.i, CASE WHEN least(o.x + o.w, w.ax + w.aw) - greatest(o.x, w.ax) > 0.5 * least(o.w, w.aw) THEN w.lane ELSE w.lane + 1 END,
+  CASE WHEN least(o.x + o.w, w.ax + w.aw) - greatest(o.x, w.ax) > 0.5 * least(o.w, w.aw) THEN w.ax ELSE o.x END, CASE WHEN least(o.x + o.w, w.ax + w.aw) - greatest(o.x, w.ax) > 0.5 * least(o.w, w.aw) THEN w.aw ELSE o.w END FROM w JOIN o ON o.page = w.page AND o.i = w.i + 1)
+ SELECT page, id, lane FROM w""")
+def box_lanes(load, spark) -> DataFrame:
+    return L.lanes(boxes(load), "page")
+
+
+@query(f"""WITH {BOXES}, c AS (SELECT page, id, x, y, w, h, CASE WHEN id % 3 = 0 THEN 'right' END AS a, CASE WHEN id % 2 = 0 THEN 'right' END AS b FROM x), s AS (SELECT *, CASE WHEN abs(x) <= 4 AND abs(1000 - x - w) <= 4 THEN 'left' WHEN abs(x - (1000 - x - w)) <= 4 THEN 'center' WHEN abs(1000 - x - w) <= 4 THEN 'right' ELSE 'left' END AS shown FROM c)
+ SELECT page, id AS block, 'layout.align.mismatch' AS class, coalesce(a, shown) AS produced, coalesce(b, shown) AS reference FROM s WHERE coalesce(a, shown) <> coalesce(b, shown)""")
+def layout_findings(load, spark) -> DataFrame:
+    """Two renderings of the same boxes that declare other alignments."""
+    b = boxes(load).withColumnsRenamed({"id": "block"}).withColumns({"cx": F.lit(0.0), "cw": F.lit(1000.0)})
+    side = lambda n: b.withColumn("text_align", F.when(F.col("block") % n == 0, "right"))
+    return L.compare_layouts(side(3), side(2), "page")
+
+
 @query(f"WITH {BOXES} SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY floor(y / 100), x, y, id) - 1 AS rank FROM x")
 def reading_ranks(load, spark) -> DataFrame:
     return L.reading_ranks(boxes(load).withColumn("band", F.floor(F.col("y") / 100)), "page").select("page", "id", "rank")
@@ -326,12 +417,12 @@ def plan_cost(load, spark) -> DataFrame:
     return B.plan_cost(calls(load), prices).withColumn("cost", F.round("cost", 6))
 
 
-@query("SELECT doc_id, sha256(text) AS source_sha256 FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id, sha256(text) AS source_sha256 FROM documents WHERE lang <> 'en'")
 def job_identity(load, spark) -> DataFrame:
-    """What a resumed run has left to do when a third of the documents is done."""
+    """What a resumed run has left to do when the English documents are done."""
     d = load("documents")
-    jobs = B.job_identity(d.select("doc_id", "text"), "text", "1", "default")
-    done = jobs.where("doc_id % 3 = 0").select("source_sha256", "engine_version", "profile_id", "doc_id")
+    jobs = B.job_identity(d.select("doc_id", "lang", "text"), "text", "1", "default")
+    done = jobs.where("lang = 'en'").select("source_sha256", "engine_version", "profile_id", "doc_id")
     # keyed by content and id here, since copies share their content
     left = jobs.join(done.select("source_sha256", "doc_id"), ["source_sha256", "doc_id"], "left_anti")
     return left.select("doc_id", "source_sha256")
@@ -359,11 +450,14 @@ def ledger_totality(load, spark) -> DataFrame:
     return B.totality(declared, ledger, ["node"])
 
 
-@query("SELECT conv_id, 1 AS n FROM conversations LIMIT 0")
-def bulleted_runs_absent(load, spark) -> DataFrame:
-    """Plain prose has no bulleted runs."""
-    b = load("conversations").select("conv_id", F.col("turn").alias("ord"), "text")
-    return L.bulleted_runs(b, "conv_id").select("conv_id", "n")
+@query("""WITH b AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE turn % 4 WHEN 0 THEN '•' WHEN 1 THEN '•' WHEN 2 THEN '–' END AS mark FROM conversations),
+ m AS (SELECT *, coalesce((mark IS DISTINCT FROM lag(mark) OVER (PARTITION BY conv_id ORDER BY i))::INT, 1) AS o FROM b), r AS (SELECT *, sum(o) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM m)
+ SELECT conv_id, mark, count(*) AS n FROM r WHERE mark IS NOT NULL GROUP BY conv_id, run, mark HAVING count(*) >= 2""")
+def bulleted_runs(load, spark) -> DataFrame:
+    """Turns that begin with a bullet, a dash or neither: those with one mark in a row are a list."""
+    k = F.col("turn") % 4
+    text = F.concat(F.when(k < 2, "• ").when(k == 2, "– ").otherwise("no "), F.lit("x"))
+    return L.bulleted_runs(load("conversations").select("conv_id", F.col("turn").alias("ord"), text.alias("text")), "conv_id").select("conv_id", "mark", "n")
 
 
 @query(f"SELECT item_id, {norm('text')} AS t FROM benchmark")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quire.functions import decode as D
+from quire.functions import batches as B, decode as D
 from quire.functions.text import collapse
 from quire.operators import pages as P
 from quire.plans.registry import query
@@ -57,24 +57,35 @@ def subtree_metrics(load, spark) -> DataFrame:
     return P.nested_sums(nodes, "nav").select("page_id", F.lit("nav").alias("tag"), "links")
 
 
-@query(f"SELECT max(pages) AS pages FROM (SELECT n, count(*) AS pages FROM ({MENU}) GROUP BY n)")
+@query(f"SELECT n AS items, count(*) AS pages FROM ({MENU}) GROUP BY n")
 def chrome_frequency(load, spark) -> DataFrame:
-    """Pages that share the most frequent shape of a navigation element."""
-    prints = P.fingerprints(load("pages"), tags=("nav",))
-    return P.fingerprint_frequency(prints).select("pages").orderBy(F.desc("pages")).limit(1)
+    """How many pages share each shape; that of a menu is the number of its items, and it is the most frequent shape of its pages."""
+    prints = P.fingerprints(load("pages"))
+    n = P.menus(P.parse_pages(load("pages")), 0).select("page_id", "items")
+    return P.fingerprint_frequency(prints.join(n, "page_id"), ["items"]).groupBy("items").agg(F.max("pages").alias("pages"))
 
 
-@query(f"SELECT host, max(pages) AS pages FROM (SELECT host, n, count(*) AS pages FROM ({MENU}) GROUP BY host, n) GROUP BY host")
+@query(f"SELECT host, n AS items, count(*) AS pages FROM ({MENU}) GROUP BY host, n")
 def chrome_frequency_by_host(load, spark) -> DataFrame:
     pages = load("pages").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))
-    prints = P.fingerprints(pages, tags=("nav",)).join(pages.select("page_id", "host"), "page_id")
-    return P.fingerprint_frequency(prints, ["host"]).groupBy("host").agg(F.max("pages").alias("pages"))
+    n = P.menus(P.parse_pages(load("pages")), 0).select("page_id", "items")
+    prints = P.fingerprints(pages).join(pages.select("page_id", "host"), "page_id").join(n, "page_id")
+    return P.fingerprint_frequency(prints, ["host", "items"]).groupBy("host", "items").agg(F.max("pages").alias("pages"))
 
 
-@query()
+@query("SELECT count(DISTINCT o_custkey) AS pages, 1 AS signatures, 1.0 AS frequency FROM orders")
 def stable_chrome(load, spark) -> DataFrame:
-    pages = load("pages")
-    return P.stable_chrome(P.fingerprint_frequency(P.fingerprints(pages)), pages.count())
+    """Of pages around one menu, the menu alone is stable."""
+    pages = menu_pages(load)
+    return P.stable_chrome(P.fingerprint_frequency(P.fingerprints(pages)), pages.count()).select("pages", "signatures", "frequency")
+
+
+def menu_pages(load) -> DataFrame:
+    """A page for each customer with orders, around one menu; the bodies differ."""
+    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p>order "), x, F.lit(" of this customer, which was written down at length"))), "")
+    html = F.concat(F.lit("<title>Customer "), "o_custkey", F.lit("</title><body><div class=menu><ul><li>home<li>about us</ul></div><div><div>"), body, F.lit("</div></div>"))
+    return o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))
 
 
 @query(
@@ -82,11 +93,8 @@ def stable_chrome(load, spark) -> DataFrame:
 )
 def boilerplate_removal(load, spark) -> DataFrame:
     """Pages built from customers around one menu, whose bodies differ: the menu is chrome, the bodies are not."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
-    body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p>order "), x, F.lit(" of this customer, which was written down at length"))), "")
-    html = F.concat(F.lit("<body><div class=menu><ul><li>home<li>about us</ul></div><div><div>"), body, F.lit("</div></div>"))
-    pages = o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))
-    prints = P.fingerprints(pages).cache()
+    pages = menu_pages(load)
+    prints = P.fingerprints(pages)
     chrome = P.stable_chrome(P.fingerprint_frequency(prints), pages.count())
     return P.boilerplate(prints, chrome).groupBy("page_id").agg(F.count("*").alias("n_removed"), F.sum("text_len").alias("text_len"))
 
@@ -106,6 +114,17 @@ def encode_roundtrip(load, spark) -> DataFrame:
     return decoded.select("doc_id", "codec", "source", F.md5("text").alias("text_hash"))
 
 
+_RUSSIAN = "Выдающийся гитарист родился в городе, где прошло его детство, и стал известен как исполнитель старинной музыки. "
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'windows-1251' WHEN 1 THEN 'koi8-r' ELSE 'ibm866' END AS codec, 'score' AS source, md5('{_RUSSIAN}' || regexp_replace(text, '[^ -~]', ' ', 'g')) AS text_hash FROM documents""")
+def charset_detection(load, spark) -> DataFrame:
+    """Whole texts after a Russian sentence, in three charsets that nothing declares."""
+    text = F.concat(F.lit(_RUSSIAN), F.regexp_replace("text", "[^ -~]", " "))
+    coded = B.rows_of(load("documents").select("doc_id", text.alias("t")), "doc_id", "t", "doc_id bigint, content binary", lambda i, t: [{"doc_id": i, "content": t.encode(D.PYTHON[("windows-1251", "koi8-r", "ibm866")[i % 3]])}])
+    return D.decode_pages(coded).select("doc_id", "codec", "source", F.md5("text").alias("text_hash"))
+
+
 @query(r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'windows-1251' WHEN 1 THEN 'koi8-r' WHEN 2 THEN 'utf-8' WHEN 3 THEN 'windows-1252' ELSE 'x-own' END AS label, CASE doc_id % 3 WHEN 0 THEN 'windows-1251' WHEN 1 THEN 'utf-8' END AS declared FROM documents""")
 def charset_labels(load, spark) -> DataFrame:
     k = F.col("doc_id") % 5

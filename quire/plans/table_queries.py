@@ -61,12 +61,15 @@ KINDS = """o AS (SELECT o_custkey AS t, o_orderkey::VARCHAR AS k, strftime(o_ord
 
 @query(
     f"""WITH {KINDS} SELECT b.t AS table_id, rows, cols, cell_count, round(avg_text_len, 6) AS avg_text_len, max_text_len, round(link_density, 6) AS link_density, round(coalesce(neighbour_similarity, 0), 6) AS neighbour_similarity,
- abs(round(column_entropy, 6)) AS column_entropy, round(reg, 6) AS grid_regularity, b.t % 3 = 0 AS has_header_row FROM b JOIN e ON b.t = e.t"""
+ abs(round(column_entropy, 6)) AS column_entropy, round(reg, 6) AS grid_regularity, b.t % 3 = 0 AS has_header_row,
+ 4 * (b.t % 3 = 0)::INT AS header_cells, 0 AS nested_tables, 0 AS rowspan_count, 0 AS colspan_count, 0.0 AS empty_ratio, 0.0 AS image_density, 0.0 AS picture_paired, false AS has_border, cell_count AS content_cells, 0 AS prosey_cells,
+ round(CASE WHEN b.t % 7 = 0 AND cols = 4 THEN (1.0 / rows) * (1 - 1.0 / rows) / 16 ELSE 0 END, 6) AS width_variance, nl = n0 AND n0 >= 3 AS link_column, 0.0 AS corpus_frequency
+ FROM b JOIN e ON b.t = e.t JOIN (SELECT t, sum((col = 0 AND links = 1)::INT) AS nl, sum((col = 0)::INT) AS n0 FROM c GROUP BY t) l ON l.t = b.t"""
 )
 def table_features(load, spark) -> DataFrame:
     f = G.table_features(orders_tables(load))
-    rounded = [F.abs(F.round(c, 6)).alias(c) for c in ("avg_text_len", "link_density", "neighbour_similarity", "column_entropy", "grid_regularity")]
-    return f.select("table_id", "rows", "cols", "cell_count", "max_text_len", "has_header_row", *rounded)
+    kinds = dict(f.dtypes)
+    return f.select("table_id", *[F.abs(F.round(c, 6)).alias(c) if kinds[c] == "double" else c for c in f.columns if c not in ("table_id", "seq")])
 
 
 @query(
@@ -87,18 +90,18 @@ def wide_tables(load) -> DataFrame:
     s = load("supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("rows"))
     line = F.transform("rows", lambda x, i: F.concat(F.lit("<tr><td colspan=7>"), x["s_name"], F.lit("</td><td>"), x["s_suppkey"], F.lit("</td><td><a href=x>"), i, F.lit("</a></td></tr>")))
     extra = "<tr><td>p<td>q<td colspan=5>r<td>s<td>t</tr>"
-    return s.where(F.size("rows") >= 2).select(F.col("s_nationkey").cast("bigint").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(line, ""), F.lit(extra + "</table>")).alias("html"))
+    return s.select(F.col("s_nationkey").cast("bigint").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(line, ""), F.lit(extra + "</table>")).alias("html"))
 
 
-@query("SELECT t AS table_id, b.band, b.s AS start, b.e AS \"end\" FROM (SELECT s_nationkey AS t FROM supplier GROUP BY 1 HAVING count(*) >= 2), (VALUES (0, 0, 7), (1, 7, 8), (2, 8, 9)) b(band, s, e)")
+@query("SELECT t AS table_id, b.band, b.s AS start, b.e AS \"end\" FROM (SELECT DISTINCT s_nationkey AS t FROM supplier), (VALUES (0, 0, 7), (1, 7, 8), (2, 8, 9)) b(band, s, e)")
 def column_bands(load, spark) -> DataFrame:
     return G.column_bands(wide_tables(load)).drop("seq")
 
 
 @query(
     """WITH s AS (SELECT s_nationkey AS table_id, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS "row", count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
- SELECT table_id, "row", 0 AS band, s_name AS text, 1 AS n_sources FROM s WHERE n >= 2 UNION ALL SELECT table_id, "row", 1, s_suppkey::VARCHAR, 1 FROM s WHERE n >= 2 UNION ALL SELECT table_id, "row", 2, "row"::VARCHAR, 1 FROM s WHERE n >= 2
- UNION ALL SELECT DISTINCT table_id, n, b.band, b.t, b.k FROM s, (VALUES (0, 'p q r', 3), (1, 's', 1), (2, 't', 1)) b(band, t, k) WHERE n >= 2"""
+ SELECT table_id, "row", 0 AS band, s_name AS text, 1 AS n_sources FROM s UNION ALL SELECT table_id, "row", 1, s_suppkey::VARCHAR, 1 FROM s UNION ALL SELECT table_id, "row", 2, "row"::VARCHAR, 1 FROM s
+ UNION ALL SELECT DISTINCT table_id, n, b.band, b.t, b.k FROM s, (VALUES (0, 'p q r', 3), (1, 's', 1), (2, 't', 1)) b(band, t, k)"""
 )
 def planned_matrix(load, spark) -> DataFrame:
     return G.planned_cells(wide_tables(load)).select("table_id", "row", "band", "text", "n_sources")

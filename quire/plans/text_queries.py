@@ -40,8 +40,7 @@ def normalize_compare(load, spark) -> DataFrame:
     "SELECT doc_id, sum(n)::BIGINT AS n_shingles, count(*) AS n_distinct, max(n) AS most FROM c GROUP BY doc_id"
 )
 def shingle_counts(load, spark) -> DataFrame:
-    items = O.exploded(load("documents"), ["doc_id"], T.shingles("text"))
-    return O.bag_counts(items, ["doc_id"]).groupBy("doc_id").agg(F.sum("n").alias("n_shingles"), F.count("*").alias("n_distinct"), F.max("n").alias("most"))
+    return O.row_shingles(load("documents"), "doc_id", "text")
 
 
 F1_SQL = """SELECT {k}, expected::BIGINT AS expected, actual::BIGINT AS actual, matched::BIGINT AS matched,
@@ -62,11 +61,20 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 )
 def doc_shingle_f1(load, spark) -> DataFrame:
     """Five-word shingles of each document against an edited copy."""
-    docs = load("documents").select("doc_id", T.shingles("text").alias("e"), T.shingles_of(T.words_of(edited())).alias("a"))
-    scores = O.multiset_f1(O.exploded(docs, ["doc_id"], F.col("e")), O.exploded(docs, ["doc_id"], F.col("a")), ["doc_id"])
+    scores = O.row_shingle_f1(load("documents").select("doc_id", "text", edited().alias("other")), "doc_id", "text", "other")
     return rounded(scores, "recall", "precision", "f1")
 
 
+@query(
+    "WITH l AS (SELECT l_orderkey AS k, l_partkey % 40 AS item, count(*) FILTER (l_linenumber % 2 = 0) AS a, count(*) FILTER (l_linenumber % 3 <> 0) AS b FROM lineitem GROUP BY ALL),"
+    " f AS (SELECT k, sum(a) AS expected, sum(b) AS actual, sum(least(a, b)) AS matched FROM l GROUP BY k HAVING sum(a) + sum(b) > 0) " + F1_SQL.format(k="k AS l_orderkey")
+)
+def multiset_f1_by_key(load, spark) -> DataFrame:
+    """Bags whose items are rows: those of an order that are even, against those that aren't multiples of three."""
+    l = load("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 40).cast("string").alias("item"))
+    return rounded(O.multiset_f1(l.where("l_linenumber % 2 = 0"), l.where("l_linenumber % 3 <> 0"), ["l_orderkey"]), "recall", "precision", "f1")
+
+
 @query(
     f"WITH {BASE}, a AS (SELECT doc_id, item, count(*) AS a FROM (SELECT doc_id, unnest(w) AS item FROM two) GROUP BY ALL),"
     " b AS (SELECT doc_id, item, count(*) AS b FROM (SELECT doc_id, unnest(list_concat(v, ['added', 'added'])) AS item FROM two) GROUP BY ALL)"
@@ -74,10 +82,8 @@ def doc_shingle_f1(load, spark) -> DataFrame:
     " FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item = b.item WHERE coalesce(a, 0) <> coalesce(b, 0)"
 )
 def bag_diff_words(load, spark) -> DataFrame:
-    docs = load("documents").select("doc_id", T.words_of(T.normalize_for_compare("text")).alias("w"), T.words_of(edited()).alias("v"))
-    source = O.exploded(docs, ["doc_id"], F.col("w"))
-    output = O.exploded(docs, ["doc_id"], F.concat("v", F.array(F.lit("added"), F.lit("added"))))
-    return O.bag_diff(source, output, ["doc_id"])
+    docs = load("documents").select("doc_id", "text", F.concat(edited(), F.lit(" added added")).alias("other"))
+    return O.row_bag_diff(docs, "doc_id", "text", "other")
 
 
 @query(
@@ -112,34 +118,33 @@ def lexicon_stats(load, spark) -> DataFrame:
 
 
 def broken(load) -> DataFrame:
-    """One word of each document, broken by a hyphen that depends on the document."""
-    w = F.regexp_extract("text", r"(\p{L}{6,})", 1)
-    half = F.floor(F.length("w") / 2).cast("int")
-    docs = load("documents").select("doc_id", w.alias("w")).where("w <> ''")
-    kind = F.col("doc_id") % 4
+    """Every long word of every document, broken by a hyphen that depends on the document and the word's place."""
+    docs = load("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\p{L}{6,})"), 1)).alias("pos", "w"))
+    k = (F.col("doc_id") + F.col("pos")) % 4
+    left = F.expr("substring(w, 1, int(floor(length(w) / 2)))")
     return docs.select(
-        "doc_id",
-        F.expr("substring(w, 1, int(floor(length(w) / 2)))").alias("left"),
+        "doc_id", "pos",
+        F.when(k == 3, F.concat(F.lit("q"), left)).otherwise(left).alias("left"),
         F.expr("substring(w, int(floor(length(w) / 2)) + 1)").alias("right"),
-        F.when(kind == 1, "­").otherwise("-").alias("hyphen"),
-        (kind != 2).alias("at_line_edge"),
-        (F.col("doc_id") % 11 == 0).alias("in_identifier"),
-        (F.col("doc_id") % 13 == 0).alias("in_compound"),
-    ).withColumn("left", F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("q"), "left")).otherwise(F.col("left")))
+        F.when(k == 1, "­").otherwise("-").alias("hyphen"),
+        (k != 2).alias("at_line_edge"),
+        ((F.col("doc_id") + F.col("pos")) % 11 == 0).alias("in_identifier"),
+        ((F.col("doc_id") + F.col("pos")) % 13 == 0).alias("in_compound"),
+    )
 
 
 @query(
-    rf"""WITH {LEX}, w AS (SELECT doc_id, regexp_extract(text, '(\p{{L}}{{6,}})', 1) AS w FROM documents),
- c AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'q' ELSE '' END || substr(w, 1, length(w) // 2) AS l, substr(w, length(w) // 2 + 1) AS r, doc_id % 4 AS k FROM w WHERE w <> ''),
+    rf"""WITH {LEX}, x AS (SELECT doc_id, regexp_extract_all(text, '\p{{L}}{{6,}}') AS ws FROM documents), w AS (SELECT doc_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS w FROM x),
+ c AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 4 = 3 THEN 'q' ELSE '' END || substr(w, 1, length(w) // 2) AS l, substr(w, length(w) // 2 + 1) AS r, (doc_id + pos) % 4 AS k FROM w),
  j AS (SELECT c.*, coalesce(p.n, 0) AS nj, coalesce(h.n, 0) AS nh FROM c LEFT JOIN lex p ON p.word = lower(l || r) AND NOT p.hyphenated LEFT JOIN lex h ON h.word = lower(l || '-' || r) AND h.hyphenated),
  t AS (SELECT *, regexp_matches(l, '^\p{{Lu}}\p{{Ll}}+$') AND regexp_matches(r, '^\p{{Lu}}\p{{Ll}}+$') AS titles FROM j),
- d AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN doc_id % 13 = 0 OR titles THEN 3 WHEN nj >= 1 THEN 4 WHEN nh >= 2 THEN 5 ELSE 7 END AS rule FROM t)
- SELECT doc_id, l || r AS joined, rule, CASE rule WHEN 1 THEN 'JOIN' WHEN 4 THEN 'JOIN' WHEN 7 THEN 'REVIEW' ELSE 'PRESERVE' END AS verdict,
+ d AS (SELECT *, CASE WHEN (doc_id + pos) % 11 = 0 THEN 0 WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN (doc_id + pos) % 13 = 0 OR titles THEN 3 WHEN nj >= 1 THEN 4 WHEN nh >= 2 THEN 5 ELSE 7 END AS rule FROM t)
+ SELECT doc_id, pos, l || r AS joined, rule, CASE rule WHEN 1 THEN 'JOIN' WHEN 4 THEN 'JOIN' WHEN 7 THEN 'REVIEW' ELSE 'PRESERVE' END AS verdict,
  round(CASE rule WHEN 0 THEN 0.99 WHEN 1 THEN 1 WHEN 2 THEN 0.98 WHEN 3 THEN 0.92 WHEN 4 THEN least(0.99, 0.85 + nj / 100) WHEN 5 THEN least(0.98, 0.85 + nh / 100) ELSE 0.5 END, 6) AS confidence FROM d"""
 )
 def hyphen_decisions(load, spark) -> DataFrame:
     decided = O.hyphen_decisions(broken(load), O.lexicon(load("documents")))
-    return rounded(decided.select("doc_id", "joined", "rule", "verdict", "confidence"), "confidence")
+    return rounded(decided.select("doc_id", "pos", "joined", "rule", "verdict", "confidence"), "confidence")
 
 
 @query(r"SELECT doc_id, text AS restored, length(text) AS n FROM documents")
@@ -150,17 +155,14 @@ def soft_hyphen_removed(load, spark) -> DataFrame:
 
 
 @query(
-    r"""WITH m AS (SELECT doc_id, regexp_replace(text, '[^\p{L}\n ]', '', 'g') AS t FROM documents),
- b AS (SELECT doc_id, unnest(regexp_extract_all(t, '\p{L}{8}')) AS w FROM m)
- SELECT doc_id, substr(w, 1, 4) AS "left", substr(w, 5) AS "right", count(*) AS n FROM b GROUP BY ALL"""
+    r"""WITH w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([a-z]{4})([a-z]{4})', '\1-' || chr(10) || '\2', 'g'), '(\p{L})', '\1\1', 'g') AS t FROM documents),
+ m AS (SELECT doc_id, regexp_extract_all(t, '\p{L}[-\x{AD}‐][ \t]*\r?\n?[ \t]*\p{L}') AS x FROM w)
+ SELECT doc_id, len(x) AS n, len(list_filter(x, lambda y: contains(y, chr(10)))) AS at_edge FROM m WHERE len(x) > 0"""
 )
 def hyphen_candidates(load, spark) -> DataFrame:
-    """Candidates found in text where every run of eight letters was wrapped and set apart."""
-    t = F.regexp_replace("text", r"[^\p{L}\n ]", "")
-    wrapped = F.regexp_replace(F.regexp_replace(t, r"(\p{L}{4})(\p{L}{4})", "<$1-\n$2>"), r"[^<>]*<([^>]*)>[^<]*", "$1 . ")
-    docs = load("documents").select("doc_id", wrapped.alias("text"))
-    found = O.hyphen_candidates(docs, "doc_id").where("at_line_edge")
-    return found.groupBy("doc_id", "left", "right").agg(F.count("*").alias("n"))
+    """Candidates of whole texts, their own hyphens and those that break every run of eight small letters (letters are doubled in SQL, which can't look ahead)."""
+    docs = load("documents").select("doc_id", F.regexp_replace("text", "([a-z]{4})([a-z]{4})", "$1-\n$2").alias("text"))
+    return O.hyphen_candidates(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("at_line_edge").cast("int")).alias("at_edge"))
 
 
 PROFILE = L.LinkProfile(internal_hosts=("ththre.example.com", "therha.example.com", "m.ththth.example.net"), content_roots=("images", "music"), keep_extension_under=("keep/",))
@@ -220,7 +222,7 @@ def asset_paths(load, spark) -> DataFrame:
     return load("nation").select("n_nationkey", L.site_relative(plain, PROFILE).alias("asset"), L.resource_path(plain, PROFILE).alias("resource"))
 
 
-PAIR = """p AS (SELECT doc_id, doc_id % 12 AS k, 'Say "' || trim(regexp_replace(regexp_replace(text, '[^\\p{L} ]|ß', ' ', 'g'), '\\s+', ' ', 'g')) || '" - it... well-made' AS r FROM documents WHERE regexp_matches(text, '\\p{L}'))"""
+PAIR = """p AS (SELECT doc_id, doc_id % 12 AS k, 'Say "' || trim(regexp_replace(regexp_replace(text, '[^\\p{L} ]|ß', ' ', 'g'), '\\s+', ' ', 'g')) || '" - it... well-made' AS r FROM documents)"""
 
 
 @query(
@@ -246,7 +248,7 @@ def text_diff_class(load, spark) -> DataFrame:
         .when(k == 10, F.lit("0 1 2 3 4 5 6 7 8 9"))
         .otherwise(F.regexp_replace(F.regexp_replace("r", "well-made", "wellmade"), "Say", "Sa-y"))
     )
-    docs = load("documents").where(F.col("text").rlike(r"\p{L}")).select("doc_id", r.alias("r"))
+    docs = load("documents").select("doc_id", r.alias("r"))
     return docs.select("doc_id", T.classify_text(produced, F.col("r")).alias("difference")).withColumn("severity", T.severity_of("difference"))
 
 
