@@ -63,7 +63,7 @@ class Page:
     depth: int = 0  # tables around what is being lowered
     bounded: int = 0  # columns and frames around it
     paired: int = 0  # tables all of whose rows pair a picture with words
-    seq: dict = field(default_factory=dict)  # table -> place in the page
+    grids: dict = field(default_factory=dict)  # id of a table -> its grid
     lost_tables: int = 0
     records: list = field(default_factory=list)  # (table, class, confidence, tier, plan)
 
@@ -370,20 +370,20 @@ def _up(node: H.Node):
 
 def table(node: H.Node, page: Page) -> list[Block]:
     """A menu, a figure with its caption, a record matrix, columns, a frame, or cells in reading order: what the grid shows."""
-    grid = G.place(node)
+    grid = page.grids.get(id(node)) or G.place(node)
     captions = [Block("paragraph", t) for c in node.children if c.tag == "caption" and (t := inline(c.children, page).strip())]
     loose = [Block("paragraph", M.escape(c.value.strip())) for c in node.children if c.kind == "text" and c.value.strip()]
     page.depth += 1
     out = menu_of_grid(grid, page) or figure_of_grid(grid, page)
     if out is None:
         kind, sure, tier = G.classify(G.features(grid), page.paired - (G.picture_paired(grid) == 1))
-        kind = dict(page.options.classes).get(page.seq.get(id(node), -1), kind)
+        kind = dict(page.options.classes).get(grid.seq, kind)
         plan = None
         if kind in ("DATA", "HYBRID"):
             out, plan = data_region(grid, page, kind)
         if out is None:
             out = layout(grid, page) or decomposed(grid, page)
-        page.records.append((page.seq.get(id(node), -1), kind, sure, tier, plan))
+        page.records.append((grid.seq, kind, sure, tier, plan))
     page.depth -= 1
     return captions + out + loose
 
@@ -808,7 +808,7 @@ def convert(html: str | None, options: Options = Options(), known: R.Lookup | No
     links = [href for n in H.walk(body) if n.tag == "a" and (href := href_of(n, page)) and shown(n) and not _only_decoration(n)]
     images = [target(n.attrs["src"].strip()) for n in H.walk(body) if n.tag == "img" and not decorative(n) and not (icon(n) and n.parent is not None and (n.parent.tag == "a" or H.text_of(n.parent)))]
     grids = G.grids(body)
-    page.seq = {id(g.table): g.seq for g in grids}
+    page.grids = {id(g.table): g for g in grids}
     page.paired = sum(G.picture_paired(g) == 1 for g in grids)
     blocks, lost = downgraded(single_title(blocks_of(body.children, page), title), options.target)
     page.ledger += [("document", "MERGED_INTO", f"{what}: {how}") for what, how in lost]

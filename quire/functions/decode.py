@@ -27,6 +27,10 @@ _BIGRAMS = frozenset("ст но то на ен ов ни ра во ко ос р
 _MOJIBAKE = re.compile("[ÃÐÑ][\u0080-\u00bf]|вЂ|[РС][ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї°±µ¶·№]")
 
 
+_PAIRS, _NATIVE = re.compile("(?=([а-яё]{2}))"), re.compile("[а-яё]")
+_CONTROL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]")
+
+
 def codec_label(c: Column | str) -> Column:
     """A charset label in its normal form."""
     c = F.col(c) if isinstance(c, str) else c
@@ -64,12 +68,9 @@ def plausibility(text: str) -> float:
     if not text:
         return 0.0
     lower = text.lower()
-    native = lambda c: "а" <= c <= "я" or c == "ё"
-    letters = sum(c.isalpha() for c in lower)
-    pairs = [a + b for a, b in zip(lower, lower[1:]) if native(a) and native(b)]
-    common = sum(p in _BIGRAMS for p in pairs) / len(pairs) if pairs else 0.0
-    control = sum(ord(c) < 32 and c not in "\t\n\r" or 0x7F <= ord(c) < 0xA0 for c in text)
-    return 100 * common + 20 * sum(map(native, lower)) / max(1, letters) - 50 * text.count("�") - 25 * control - 10 * len(_MOJIBAKE.findall(text))
+    pairs = _PAIRS.findall(lower)
+    common = sum(map(_BIGRAMS.__contains__, pairs)) / len(pairs) if pairs else 0.0
+    return 100 * common + 20 * len(_NATIVE.findall(lower)) / max(1, sum(map(str.isalpha, lower))) - 50 * text.count("�") - 25 * len(_CONTROL.findall(text)) - 10 * len(_MOJIBAKE.findall(text))
 
 
 def garbled(text: str, share: float = 0.01) -> bool:

@@ -10,6 +10,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from quire.functions import html_tree as H
 
@@ -38,7 +39,7 @@ class Cell:
     slots: list[tuple[int, int]]
     node: H.Node
 
-    @property
+    @cached_property
     def kind(self) -> str:
         if self.is_empty:
             return "empty"
@@ -87,7 +88,8 @@ class Grid:
         return max(0, self.n_rows - max(last, 0) - 1) if self.cells else 0
 
     def live(self) -> list[Cell]:
-        return [c for c in self.cells if c.row < self.n_rows - self.trailing]
+        end = self.n_rows - self.trailing
+        return [c for c in self.cells if c.row < end]
 
 
 def own_rows(table: H.Node) -> list[H.Node]:
@@ -124,19 +126,24 @@ def _span(node: H.Node, name: str, zero: int) -> int:
 
 
 def _cell(i: int, node: H.Node, r: int, c: int, down: int, across: int, slots: list[tuple[int, int]]) -> Cell:
+    inner = node.children
+    if all(n.kind == "text" for n in inner):  # most cells
+        text = H.text_of(node)
+        return Cell(i, r, c, down, across, node.tag == "th", text, not text, 0, 0, True, node.tag == "th", slots, node)
     text = H.text_of(node)
     links = images = bold = paragraphs = 0
     blocks = False
     for n in H.walk(node):
-        if n.tag == "a" and "href" in n.attrs:
+        tag = n.tag
+        if tag == "a" and "href" in n.attrs:
             links += 1
-        elif n.tag == "img":
+        elif tag == "img":
             images += 1
-        elif n.tag in ("b", "strong"):
+        elif tag in ("b", "strong"):
             bold += len(H.text_of(n))
-        elif n.tag == "p":
+        elif tag == "p":
             paragraphs += bool(H.text_of(n))
-        blocks = blocks or n.tag in _BLOCKS
+        blocks = blocks or tag in _BLOCKS
     return Cell(i, r, c, down, across, node.tag == "th", text, not text and not images, links, images, paragraphs <= 1 and not blocks, node.tag == "th" or bool(text) and bold >= 0.9 * len(text), slots, node)
 
 

@@ -433,6 +433,18 @@ def double_decoded(root: H.Node) -> list[int]:
 
 # -- outline
 
+_texts: dict[int, str] | None = None  # of the nodes of a tree while only its attributes change
+
+
+def text_of(node: H.Node) -> str:
+    if _texts is None:
+        return H.text_of(node)
+    text = _texts.get(id(node))
+    if text is None:
+        text = _texts[id(node)] = H.text_of(node)
+    return text
+
+
 LEGACY_PX = {1: 10, 2: 13, 3: 16, 4: 18, 5: 24, 6: 32, 7: 48}
 _CANDIDATES = frozenset(("p", "div", "td", "th", "span", "font", "b", "strong", "center", "li", "a", "h1", "h2", "h3", "h4", "h5", "h6"))
 _EMPHASIS = frozenset(("b", "strong", "i", "em", "u", "s", "nobr", "big", "small", "sup", "sub"))
@@ -449,10 +461,12 @@ def css_px(value: str) -> float | None:
 
 def declared_px(node: H.Node) -> float | None:
     """The font size that an element asks for: by style, or by a size of 1 to 7 or relative to 3."""
-    a = node.attrs or {}
+    a = node.attrs
+    if not a:
+        return None
     style = a.get("style", "")
     for pattern in (r"font-size\s*:\s*([^;]+)", r"(?:^|;)\s*font\s*:[^;]*?(\d[\d.]*(?:px|pt|em|%))"):
-        found = re.search(pattern, style, re.I)
+        found = re.search(pattern, style, re.I) if style else None
         if found and (px := css_px(found[1])) is not None:
             return px
     size = a.get("data-size") or (a.get("size", "") if node.tag in ("font", "basefont") else "")
@@ -464,13 +478,13 @@ def declared_px(node: H.Node) -> float | None:
 
 def font_px(node: H.Node) -> float:
     """The size of an element's text: declared by it, by the one element inside that holds all of its text, or by an ancestor; 16 otherwise."""
-    text = H.text_of(node)
+    text = text_of(node)
     inner = node
     while True:
         px = declared_px(inner)
         if px is not None:
             return px
-        held = [c for c in inner.children if c.kind == "element" and H.text_of(c) == text]
+        held = [c for c in inner.children if c.kind == "element" and text_of(c) == text]
         if len(held) != 1:
             break
         inner = held[0]
@@ -478,10 +492,10 @@ def font_px(node: H.Node) -> float:
 
 
 def is_bold(node: H.Node) -> bool:
-    text = H.text_of(node)
+    text = text_of(node)
     if node.tag in ("b", "strong", "th") or re.search(r"font-weight\s*:\s*(?:bold|[6-9]00)", (node.attrs or {}).get("style", ""), re.I):
         return True
-    if any(n.tag in ("b", "strong") and H.text_of(n) == text for n in H.walk(node)):
+    if any(n.tag in ("b", "strong") and text_of(n) == text for n in H.walk(node)):
         return True
     return any(up.tag in ("b", "strong") for up, _ in zip(above(node), range(4)))
 
@@ -489,7 +503,10 @@ def is_bold(node: H.Node) -> bool:
 def alignment(node: H.Node, hops: int = 4) -> str | None:
     """The alignment that an element or one of its near ancestors asks for."""
     for n, _ in zip([node, *above(node)], range(hops + 1)):
-        a = n.attrs or {}
+        a = n.attrs
+        if not a and n.tag not in ("center", "td", "th", "table", "body"):
+            continue
+        a = a or {}
         found = re.search(r"text-align\s*:\s*([\w-]+)", a.get("style", ""), re.I)
         value = (found[1] if found else a.get("align") or a.get("data-align") or ("center" if n.tag == "center" else "")).lower().strip()
         side = fold_align(value)
@@ -506,7 +523,7 @@ def fold_align(value: str) -> str | None:
 
 
 def prominence(node: H.Node) -> float:
-    text = H.text_of(node)
+    text = text_of(node)
     shouted = len(text) <= 60 and any(c.isalpha() for c in text) and text.upper() == text and text.lower() != text
     return font_px(node) / 16 * (1.15 if is_bold(node) else 1) * (1.05 if alignment(node) == "center" else 1) * (1.1 if shouted else 1)
 
@@ -518,14 +535,14 @@ def label_like(text: str) -> bool:
 
 def tight(node: H.Node, text: str) -> bool:
     """Whether no element inside but emphasis holds all of the text."""
-    return all(c.kind != "element" or c.tag in _EMPHASIS or len(H.text_of(c)) < len(text) for c in node.children)
+    return all(c.kind != "element" or c.tag in _EMPHASIS or len(text_of(c)) < len(text) for c in node.children)
 
 
 def block_host(node: H.Node) -> H.Node:
     """The outermost block that holds nothing but a node's text."""
-    text, best = H.text_of(node), node
+    text, best = text_of(node), node
     for up in above(node):
-        if up.tag not in _LIFT or H.text_of(up) != text:
+        if up.tag not in _LIFT or text_of(up) != text:
             break
         if up.tag in H.BLOCK:
             best = up
@@ -554,10 +571,10 @@ def follows_image(node: H.Node) -> bool:
         up = at.parent
         if up is None:
             return False
-        before = [c for c in up.children[: next(i for i, c in enumerate(up.children) if c is at)] if c.kind == "element" and (H.text_of(c) or c.tag == "img" or any(x.tag == "img" for x in H.walk(c))) or c.kind == "text" and c.value.strip()]
+        before = [c for c in up.children[: next(i for i, c in enumerate(up.children) if c is at)] if c.kind == "element" and (text_of(c) or c.tag == "img" or any(x.tag == "img" for x in H.walk(c))) or c.kind == "text" and c.value.strip()]
         if before:
             last = before[-1]
-            return last.kind == "element" and not H.text_of(last)
+            return last.kind == "element" and not text_of(last)
         at = up
     return False
 
@@ -568,7 +585,7 @@ def content_follows(node: H.Node, least: int = 40) -> bool:
     for up in above(node):
         i = next(i for i, c in enumerate(up.children) if c is at)
         for c in up.children[i + 1 :]:
-            if c.kind == "text" and len(c.value.strip()) > least or c.kind == "element" and (c.tag == "img" or len(H.text_of(c)) > least or any(x.tag == "img" for x in H.walk(c))):
+            if c.kind == "text" and len(c.value.strip()) > least or c.kind == "element" and (c.tag == "img" or len(text_of(c)) > least or any(x.tag == "img" for x in H.walk(c))):
                 return True
         at = up
     return False
@@ -576,7 +593,7 @@ def content_follows(node: H.Node, least: int = 40) -> bool:
 
 def body_baseline(root: H.Node, least: int = 200) -> float:
     """The upper median of the prominence of blocks that hold much text; 1 where there are none."""
-    found = sorted(prominence(n) for n in elements(root) if n.tag in ("p", "div", "td") and len(t := H.text_of(n)) >= least and tight(n, t))
+    found = sorted(prominence(n) for n in elements(root) if n.tag in ("p", "div", "td") and len(t := text_of(n)) >= least and tight(n, t))
     return found[len(found) // 2] if found else 1.0
 
 
@@ -586,7 +603,17 @@ def signature(node: H.Node) -> str:
     return f"{node.tag}.{cls}" if cls else f"{node.tag} {'bold' if is_bold(node) else 'plain'} {round(font_px(node))} {alignment(node) or ''}"
 
 
-def recover_headings(root: H.Node, sections: bool = True, title_least: float = 1.25, section_least: float = 1.12, title_max: int = 120, section_max: int = 70) -> list[Record]:
+def recover_headings(root: H.Node, sections: bool = True, **limits) -> list[Record]:
+    """As _recover_headings; texts are read once."""
+    global _texts
+    _texts = {}
+    try:
+        return _recover_headings(root, sections, **limits)
+    finally:
+        _texts = None
+
+
+def _recover_headings(root: H.Node, sections: bool = True, title_least: float = 1.25, section_least: float = 1.12, title_max: int = 120, section_max: int = 70) -> list[Record]:
     """Marks (attribute data-heading) of what is set like a title and like section labels; h1 to h6 count as marked.
 
     The title is the most prominent short block; sections stand out from the body but less than it.  Stacks of equal labels,
@@ -599,16 +626,16 @@ def recover_headings(root: H.Node, sections: bool = True, title_least: float = 1
         if n.kind == "text":
             total += len(n.value.strip())
         elif n.kind == "element" and n.tag in _CANDIDATES and not _HEADING.fullmatch(n.tag):
-            text = H.text_of(n)
+            text = text_of(n)
             if text and len(text) <= title_max and tight(n, text) and not any(_HEADING.fullmatch(up.tag) for up in above(n)):
-                if sum(len(H.text_of(x)) for x in [n, *H.walk(n)] if x.tag == "a") < len(text) and own_line(n):
+                if sum(len(text_of(x)) for x in [n, *H.walk(n)] if x.tag == "a") < len(text) and own_line(n):
                     found.append((n, text))
     if not found:
         return []
     base = body_baseline(root)
     ranked = sorted(((prominence(n) / base, i, n, t) for i, (n, t) in enumerate(found)), key=lambda x: (-x[0], x[1]))
     out: list[Record] = []
-    explicit = any(_HEADING.fullmatch(n.tag) and H.text_of(n) for n in elements(root))
+    explicit = any(_HEADING.fullmatch(n.tag) and text_of(n) for n in elements(root))
     top = ranked[0][0]
     if top < title_least and not explicit:
         return []
@@ -632,7 +659,7 @@ def recover_headings(root: H.Node, sections: bool = True, title_least: float = 1
         if inside or follows_image(node) or not content_follows(node):
             continue
         host.attrs["data-heading"] = "2"
-        out.append(Record("headings", host.pre, host.tag, "heading", "section", H.text_of(host)))
+        out.append(Record("headings", host.pre, host.tag, "heading", "section", text_of(host)))
     return [*out, *centered_sections(root, offsets), *bullet_sections(root, offsets), *complete_templates(root)]
 
 
@@ -643,7 +670,7 @@ def _open(node: H.Node) -> bool:
 
 def centered_sections(root: H.Node, offsets: dict[int, int], least: int = 3, gap: int = 150) -> list[Record]:
     """Short centred blocks of one template, three and more, with prose between them; not where the prose is centred too."""
-    blocks = [(n, t) for n in elements(root) if n.tag in ("p", "div", "td") and (t := H.text_of(n)) and tight(n, t)]
+    blocks = [(n, t) for n in elements(root) if n.tag in ("p", "div", "td") and (t := text_of(n)) and tight(n, t)]
     long = [n for n, t in blocks if len(t) >= 200]
     if sum(alignment(n) == "center" for n in long) > 0.5 * len(long):
         return []
@@ -658,7 +685,7 @@ def centered_sections(root: H.Node, offsets: dict[int, int], least: int = 3, gap
             for n in nodes:
                 if content_follows(n):
                     n.attrs["data-heading"] = "2"
-                    out.append(Record("headings", n.pre, n.tag, "heading", "centred section", H.text_of(n)))
+                    out.append(Record("headings", n.pre, n.tag, "heading", "centred section", text_of(n)))
     return out
 
 
@@ -669,18 +696,18 @@ def bullet_sections(root: H.Node, offsets: dict[int, int], least: int = 3, body:
     """Three and more labels that begin with the same bullet, each over a body of text."""
     groups: dict[str, list[H.Node]] = {}
     for n in elements(root):
-        text = H.text_of(n)
+        text = text_of(n)
         if n.tag in ("p", "div", "td") and 2 < len(text) <= 70 and text[0] in _BULLETS and tight(n, text) and label_like(text[1:].strip()) and _open(n):
             groups.setdefault(text[0], []).append(n)
     total = sum(len(n.value.strip()) for n in H.walk(root) if n.kind == "text")
     out = []
     for nodes in groups.values():
         starts = [offsets.get(id(n), 0) for n in nodes]
-        bodies = [b - a - len(H.text_of(n)) for n, a, b in zip(nodes, starts, [*starts[1:], total])]
+        bodies = [b - a - len(text_of(n)) for n, a, b in zip(nodes, starts, [*starts[1:], total])]
         if len(nodes) >= least and min(bodies) >= body:
             for n in nodes:
                 n.attrs["data-heading"] = "3"
-                out.append(Record("headings", n.pre, n.tag, "heading", "bulleted section", strip_glyphs(H.text_of(n))))
+                out.append(Record("headings", n.pre, n.tag, "heading", "bulleted section", strip_glyphs(text_of(n))))
     return out
 
 
@@ -700,7 +727,7 @@ def complete_templates(root: H.Node, least: int = 2) -> list[Record]:
     for n in elements(root):
         cls = (n.attrs or {}).get("class", "").strip()
         known = depth.get(f"{n.tag}.{cls}") if cls else None
-        text = H.text_of(n)
+        text = text_of(n)
         if known and len(known) >= least and text and len(text) <= 70 and label_like(text) and _open(n) and content_follows(n):
             n.attrs["data-heading"] = str(min(known))
             out.append(Record("headings", n.pre, n.tag, "heading", "template", text))
@@ -712,7 +739,7 @@ def prose_align(root: H.Node, least: int = 120, samples: int = 2) -> str | None:
     weight: Counter = Counter()
     n = 0
     for node in elements(root):
-        text = H.text_of(node)
+        text = text_of(node)
         if node.tag in ("p", "div", "td", "blockquote") and len(text) >= least and tight(node, text):
             side = alignment(node) or "left"
             weight[side] += len(text)

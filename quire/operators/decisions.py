@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quire.operators.text_ops import small
-
 TERMINALS = ("EMITTED", "MERGED_INTO", "MOVED_TO", "REMOVED", "REVIEW")
 
 
@@ -22,7 +20,7 @@ def remaining(jobs: DataFrame, done: DataFrame) -> DataFrame:
 def decide(items: DataFrame, cache: DataFrame, minimum: float = 0.75) -> DataFrame:
     """items (key, deterministic) with decision and source: what is certain, else what the cache (key, value, confidence) has, else review."""
     known = cache.select("key", "value", "confidence")
-    joined = items.join(small(known), "key", "left")
+    joined = items.join(known, "key", "left")
     hit = F.col("value").isNotNull() & (F.col("confidence") >= minimum)
     decision = F.when(F.col("deterministic").isNotNull(), F.col("deterministic")).when(hit, F.col("value")).otherwise("review")
     source = F.when(F.col("deterministic").isNotNull(), "deterministic").when(hit, "cache").otherwise("review")
@@ -40,7 +38,7 @@ def plan_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, calls, input_tokens, output_tokens, cost) at prices (model, input_price, output_price) a million tokens."""
     per = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     cost = (F.col("input_tokens") * F.coalesce("input_price", F.lit(0.0)) + F.col("output_tokens") * F.coalesce("output_price", F.lit(0.0))) / 1e6
-    return per.join(F.broadcast(prices), "model", "left").select("model", "calls", "input_tokens", "output_tokens", cost.alias("cost"))
+    return per.join(prices, "model", "left").select("model", "calls", "input_tokens", "output_tokens", cost.alias("cost"))
 
 
 def resolver_stats(decisions: DataFrame) -> DataFrame:

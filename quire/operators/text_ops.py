@@ -8,14 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import batches as B, checks as K, text as T
 
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 # -- lexicon
 
 

@@ -9,6 +9,7 @@ from quire.operators import documents as D, text_ops as O
 from quire.plans import convert as C
 from quire.plans.page_queries import VISIBLE, menu_pages
 from quire.plans.registry import query
+from quire.sources import tables
 
 
 @query()
@@ -92,7 +93,7 @@ def forms(load, forms: list[str], name: Column) -> DataFrame:
     html = F.lit("")
     for i, form in enumerate(forms):
         html = F.when(F.col("p_partkey") % len(forms) == i, F.replace(F.lit(form), F.lit("{}"), name)).otherwise(html)
-    return load("part").select(F.col("p_partkey").alias("page_id"), "p_name", html.alias("html"))
+    return tables.spread(load("part")).select(F.col("p_partkey").alias("page_id"), "p_name", html.alias("html"))
 
 
 LONG = "and it goes on for long enough to be the body of a page, which has more words than a label, and so it isn't one. " * 3
@@ -173,7 +174,7 @@ def words_joined(load, spark) -> DataFrame:
 @query("""WITH o AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1) SELECT c AS page_id, d.depth, CASE d.depth WHEN 1 THEN 1 ELSE n END AS n FROM o, (VALUES (1), (2)) d(depth)""")
 def outline_of_pages(load, spark) -> DataFrame:
     """Pages without heading elements: the title and the section labels are found by how they are set."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    o = tables.spread(load("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
     sections = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p><font size=4><b>Section of order "), x, F.lit(f"</b></font></p><p>{LONG}</p>"))), "")
     html = F.concat(F.lit("<body><p><font size=6>Customer "), "o_custkey", F.lit("</font></p>"), sections)
     blocks = D.read_blocks(C.convert_pages(o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))), "page_id", "markdown")
@@ -230,7 +231,7 @@ def structures(load, spark) -> DataFrame:
  SELECT c AS page_id, '# Customer ' || c || chr(10) || chr(10) || '| key | year | priority |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| [0](o0.pdf) | 1990 | none |' || chr(10) || '| [00](o00.pdf) | 1991 | none |' || chr(10) || rows || chr(10) AS markdown FROM o""")
 def record_tables(load, spark) -> DataFrame:
     """Tables of records, classified, planned and written as such."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), F.col("o_orderpriority").alias("p")))).alias("rows"))
+    o = tables.spread(load("orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), F.col("o_orderpriority").alias("p")))).alias("rows"))
     line = F.transform("rows", lambda x: F.concat(F.lit("<tr><td><a href=o"), x["o_orderkey"], F.lit(".pdf>"), x["o_orderkey"], F.lit("</a><td>"), x["y"], F.lit("<td>"), x["p"]))
     fixed = "</h1><table><tr><th>key<th>year<th>priority<tr><td><a href=o0.pdf>0</a><td>1990<td>none<tr><td><a href=o00.pdf>00</a><td>1991<td>none"
     html = F.concat(F.lit("<h1>Customer "), "o_custkey", F.lit(fixed), F.array_join(line, ""), F.lit("</table>"))

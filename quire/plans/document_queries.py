@@ -8,6 +8,7 @@ from quire.functions import text as T
 from quire.operators import decisions as B, documents as D, layout as L
 from quire.plans.registry import query
 from quire.plans.text_queries import norm, sh
+from quire.sources import tables
 
 
 def region_docs(load, changed: bool = False) -> DataFrame:
@@ -59,7 +60,7 @@ def table_shape_agreement(load, spark) -> DataFrame:
 
 def order_lists(load) -> DataFrame:
     """For each customer with orders a document that lists them with their links (md), and one that lacks every third (made)."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    o = tables.spread(load("orders").select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
     text = lambda keys: F.concat(F.lit("# Customer "), "o_custkey", F.lit("\n\nAll of the orders that are known are listed here\n\n"), F.array_join(F.transform(keys, lambda x: F.concat(F.lit("- [order "), x, F.lit("](/o/"), x, F.lit(")"))), "\n"), F.lit("\n"))
     return o.select(F.col("o_custkey").alias("doc"), text("k").alias("md"), text(F.filter("k", lambda x: x % 3 != 0)).alias("made"))
 
@@ -95,7 +96,7 @@ def corpus_score(load, spark) -> DataFrame:
 def rendered_documents(load, spark) -> DataFrame:
     """Documents as HTML, with the path and line of each block."""
     md = F.concat(F.lit("# "), "p_name", F.lit("\n\nmade by **"), "p_brand", F.lit("**, [a & b](/#/"), "p_partkey", F.lit(")\n\n- "), "p_type", F.lit("\n- size "), "p_size", F.lit("\n\n::: align\nposition: right\n\nsigned\n:::\n"))
-    html = D.rendered(load("part").select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md")
+    html = D.rendered(tables.spread(load("part")).select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md")
     return html.select("doc", F.regexp_extract("html", r'(?s)<article class="document-page">\n(.*)\n</article>', 1).alias("article"))
 
 
@@ -139,7 +140,7 @@ def bad_docs(load) -> DataFrame:
     md = F.lit("")
     for i, (text, _) in enumerate(BAD):
         md = F.when(k == i, F.lit("# title\n\n" + text)).otherwise(md)
-    return load("part").select(F.col("p_partkey").alias("doc"), md.alias("md"))
+    return tables.spread(load("part")).select(F.col("p_partkey").alias("doc"), md.alias("md"))
 
 
 @query("SELECT p_partkey AS doc, k.code FROM part JOIN (VALUES " + ", ".join(f"({i}, '{c}')" for i, (_, codes) in enumerate(BAD) for c in codes) + f") k(i, code) ON p_partkey % {len(BAD)} = k.i")
@@ -153,7 +154,7 @@ def fence_balance(load, spark) -> DataFrame:
     k = F.col("p_partkey") % 4
     ok = "::: align\nposition: left\n:::\n"
     md = F.when(k == 0, ok + ok).when(k == 1, ok + "::: frame\nx\n").when(k == 2, ok + ":::\n" + ok).otherwise(F.concat(F.lit("<?php x ?>\n\n"), F.repeat(F.lit("y"), 2300)))
-    return D.lint(load("part").select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md").select("doc", "code", "line")
+    return D.lint(tables.spread(load("part")).select(F.col("p_partkey").alias("doc"), md.alias("md")), "doc", "md").select("doc", "code", "line")
 
 
 @query("SELECT doc_id, (doc_id % 2)::BIGINT AS findings FROM documents")

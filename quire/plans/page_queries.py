@@ -8,6 +8,7 @@ from quire.functions import batches as B, decode as D
 from quire.functions.text import collapse
 from quire.operators import pages as P
 from quire.plans.registry import query
+from quire.sources import tables
 
 #: SQL that takes the visible text of a page: hidden elements and comments out, tags to spaces where they break, entities decoded.
 VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*</head>|<script>.*?</script>|<!--.*?-->', '', 'g'), '</?(?:nav|ul|li|div|article|h1|p|br|footer|html|body)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', ''''), '\s+', ' ', 'g'))"""
@@ -82,7 +83,7 @@ def stable_chrome(load, spark) -> DataFrame:
 
 def menu_pages(load) -> DataFrame:
     """A page for each customer with orders, around one menu; the bodies differ."""
-    o = load("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
+    o = tables.spread(load("orders").select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("k"))
     body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<p>order "), x, F.lit(" of this customer, which was written down at length"))), "")
     html = F.concat(F.lit("<title>Customer "), "o_custkey", F.lit("</title><body><div class=menu><ul><li>home<li>about us</ul></div><div><div>"), body, F.lit("</div></div>"))
     return o.select(F.col("o_custkey").alias("page_id"), html.alias("html"))

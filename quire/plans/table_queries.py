@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.operators import tables as G
 from quire.plans.registry import query
+from quire.sources import tables
 
 
 def regions(load) -> DataFrame:
@@ -19,7 +20,7 @@ def regions(load) -> DataFrame:
 
 def orders_tables(load, header: bool = True) -> DataFrame:
     """A table for each customer with orders: key, date, priority, price; every seventh lacks the price in its last row."""
-    o = load("orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), "o_orderpriority", F.floor("o_totalprice").cast("string").alias("p"))
+    o = tables.spread(load("orders").select("o_custkey", "o_orderkey", F.date_format("o_orderdate", "yyyy").alias("y"), "o_orderpriority", F.floor("o_totalprice").cast("string").alias("p")), "o_custkey")
     per = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "y", "o_orderpriority", "p"))).alias("rows"))
     hole = lambda i: (F.col("o_custkey") % 7 == 0) & (i == F.size("rows") - 1)
     line = F.transform(
@@ -119,7 +120,7 @@ def table_plans(load, spark) -> DataFrame:
     html = F.lit("")
     for i, form in enumerate(forms):
         html = F.when(k == i, F.replace(F.lit(form), F.lit("{}"), name)).otherwise(html)
-    return G.plan_tables(load("part").select(F.col("p_partkey").alias("table_id"), html.alias("html"))).drop("seq")
+    return G.plan_tables(tables.spread(load("part")).select(F.col("p_partkey").alias("table_id"), html.alias("html"))).drop("seq")
 
 
 @query(
@@ -130,7 +131,7 @@ def table_plans(load, spark) -> DataFrame:
  SELECT table_id, band, CASE WHEN a >= 3 AND n >= 0.6 * a THEN t ELSE '' END AS label FROM r WHERE k = 1 UNION ALL SELECT DISTINCT table_id, 2, '🔗' FROM l"""
 )
 def synth_header(load, spark) -> DataFrame:
-    l = load("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus", "l_returnflag"))).alias("rows"))
+    l = tables.spread(load("lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus", "l_returnflag"))).alias("rows"))
     line = F.transform("rows", lambda x, i: F.concat(F.lit("<tr><td>"), x["l_linestatus"], F.lit("<td>"), x["l_returnflag"], F.lit("<td><a href=x>"), i, F.lit("</a>")))
     t = l.select(F.col("l_orderkey").alias("table_id"), F.concat(F.lit("<table>"), F.array_join(line, ""), F.lit("</table>")).alias("html"))
     return G.synthesized_header(t).drop("seq")
@@ -140,7 +141,7 @@ def synth_header(load, spark) -> DataFrame:
     """WITH o AS (SELECT o_custkey AS table_id, count(*) AS n FROM orders GROUP BY 1) SELECT table_id, (table_id % 4)::INT AS n_trailing FROM o"""
 )
 def trailing_empty_rows(load, spark) -> DataFrame:
-    per = load("orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k"))
+    per = tables.spread(load("orders").select("o_custkey", "o_orderkey"), "o_custkey").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("k"))
     body = F.array_join(F.transform("k", lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("<td>&nbsp;"))), "")
     t = per.select(F.col("o_custkey").alias("table_id"), F.concat(F.lit("<table>"), body, F.repeat(F.lit("<tr><td>&nbsp;<td>"), (F.col("o_custkey") % 4).cast("int")), F.lit("</table>")).alias("html"))
     return G.trailing_empty(t).select("table_id", "n_trailing")

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 TEXTS = ("documents", "pages", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores; as it is, without a shuffle, where it has them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over at least as many partitions as there are cores; as it is, without a shuffle, where it has them.
+
+    With keys it is dealt by them, into a number of partitions that adaptive execution keeps: for a grouping by them
+    that makes little data for much work, which would else be put into one task.  The grouping needs no shuffle of its own.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if keys:
+        return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

@@ -3,10 +3,13 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quire.functions import checks as K, compile as C, decode as D, grids as G, html_tree as H, markdown as M, rewrite as R, text as T
+from quire.functions import build as Bu, checks as K, compile as C, decode as D, grids as G, hooks as Ho, html_tree as H, markdown as M, render as Re, rewrite as R, text as T
+from quire.functions.profiles import PROFILES
 from quire.operators import documents as Docs, layout as L
 from quire.sources import runs
 
+PLAIN = PROFILES["plain"]
+
 
 def shape(node):
     inner = ",".join(shape(c) for c in node.children)
@@ -268,3 +271,80 @@ def test_config(tmp_path):
     assert origin["min_recall"] == "environment" and origin["max_calls"] == "default"
     with pytest.raises(ValueError):
         runs.load_config(env={}, nonsense=1)
+
+
+def test_builders_keep_the_rules():
+    good = [
+        Bu.anchor("a"), Bu.align("right", [C.Block("paragraph", "x")]), Bu.image("a.png", caption="c"), Bu.images(2, [Bu.grouped_image("a.png"), Bu.grouped_image("b.png")]), Bu.document("a.pdf", "A"), Bu.frame("red", [C.Block("paragraph", "x")]),
+        Bu.columns([Bu.column([C.Block("paragraph", "x")]), Bu.column([C.Block("paragraph", "y")])]), Bu.nav([(0, "[a](b)"), (0, "c")], active="c"), Bu.signature([C.Block("paragraph", "x")]), Bu.lead([C.Block("paragraph", "x")]),
+    ]
+    text = C.serialize([C.Block("heading", "t", 1), *good])
+    assert [c for c, severity, _ in K.validate(text) if severity == "error"] == []
+    one = [C.Block("paragraph", "x")]
+    for bad in (
+        lambda: Bu.anchor("a b"), lambda: Bu.align("up", one), lambda: Bu.align("left", []), lambda: Bu.align("left", [Bu.nav([(0, "a")])]), lambda: Bu.image(""), lambda: Bu.image("a", size="huge"), lambda: Bu.image("a", frame="pink"), lambda: Bu.grouped_image("a", size="small"),
+        lambda: Bu.images(2, [Bu.grouped_image("a")]), lambda: Bu.images(5, [Bu.grouped_image("a")] * 2), lambda: Bu.images(2, [Bu.image("a")] * 2), lambda: Bu.document("a", ""), lambda: Bu.columns([Bu.column(one)]), lambda: Bu.nav([]), lambda: Bu.nav([(0, "a")], active="b"),
+        lambda: Bu.frame("red", [Bu.frame("red", one)]), lambda: Bu.frame("red", one, PLAIN), lambda: Bu.signature(one, PLAIN), lambda: Bu.signature([C.Block("rule")]), lambda: Bu.lead([Bu.anchor("a")]), lambda: Bu.column([Bu.nav([(0, "a")])]),
+    ):
+        with pytest.raises(Bu.BuildError):
+            bad()
+
+
+def test_downgrades_say_what_is_lost():
+    one = [C.Block("paragraph", "x")]
+    made, lost = Bu.downgraded([Bu.frame("red", one), Bu.frame("gold", [Bu.image("a.png")]), Bu.signature(one)], PLAIN)
+    assert [b.kind for b in made] == ["quote", "image", "paragraph"] and [what for what, _ in lost] == ["frame", "frame", "signature"]
+    framed = "<h1>t</h1><div style='border: 3px solid red'>a notice that is set apart</div><p>" + "words around it " * 20
+    plain = C.convert(framed, C.Options(target=PLAIN))
+    assert "> a notice" in plain["markdown"] and ":::" not in plain["markdown"] and any("frame" in note for _, _, note in plain["ledger"])
+
+
+def test_rendering():
+    page = Re.render("# T & t\n\na **b** *c* ~~d~~ ==e== `f` \\* [g](h.pdf) ![i](j.png)\\\nk\n\n1. one\n2. two\n\n| a | b |\n| - | - |\n| 1 | 2 |\n\n::: images\ncolumns: 3\n\n::: image\nsrc: x.png\nlink: /#/y\ncaption: z\n:::\n:::\n\n::anchor{#q}\n\n---\n\n> said\n", "title")
+    for part in ("<strong>b</strong> <em>c</em> <s>d</s> <mark>e</mark> <code>f</code> * ", '<a href="/pages/h.pdf">g</a> <img src="/pages/j.png" alt="i"><br>k', "<ol ", "<td>2</td>", '--tracks:3"', '<a href="/#/y"><img src="/pages/x.png" alt=""></a><figcaption>z</figcaption>', '<a id="q"', "<hr ", "T &amp; t</h1>"):
+        assert part in page, part
+    assert Re.render(None).count("<article") == 1 and 'href="a.html"' in Re.launcher(["a"])
+    again = C.convert(page)["markdown"]
+    assert "# T & t" in again and "| 1 | 2 |" in again.replace("| a | b |", "| a | b |")
+
+
+def test_hooks_take_only_good_answers():
+    asked = []
+
+    def resolver(answer):
+        def run(hook, payload):
+            asked.append(payload)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        return run
+
+    ask = lambda n, answer, **more: Ho.settle(Ho.TABLE_CLASS, {"n": n}, resolver=resolver(answer), **more)
+    cache, budget = {}, Ho.Budget(3, 1000, 1000)
+    good = {"value": "DATA", "confidence": 0.9, "input_tokens": 5, "output_tokens": 5}
+    assert Ho.settle(Ho.TABLE_CLASS, {}, certain="LAYOUT") == ("LAYOUT", "deterministic")
+    assert ask(1, good, cache=cache, budget=budget) == ("DATA", "model") and ask(1, good, cache=cache, budget=budget) == ("DATA", "cache")
+    assert (budget.calls, budget.input, budget.output) == (1, 5, 5) and len(asked) == 1
+    assert ask(2, {"value": "DATA", "confidence": 0.5}, cache=cache) == ("review", "not sure") and ask(3, {"value": "odd", "confidence": 1}, cache=cache) == ("review", "invalid")
+    assert ask(4, RuntimeError(), cache=cache, budget=budget) == ("review", "failed") and budget.calls == 1
+    assert ask(4, good, cache=cache) == ("review", "failed before")  # a run doesn't repeat what failed
+    assert ask(5, good, cache=cache, budget=Ho.Budget(0, 9, 9)) == ("review", "over budget") and Ho.settle(Ho.TABLE_CLASS, {}) == ("review", "no resolver")
+    assert Ho.permitted("join-hyphenated-word") and not Ho.permitted("rewrite")
+    assert Ho.table_question(place("<table><tr><td>a<td>b</table>"))["cells"] == [["a", "b"]]
+
+
+def test_command_line(tmp_path, capsys):
+    from quire import cli
+
+    page = tmp_path / "p.htm"
+    page.write_bytes("<title>Имя</title><h1>Имя</h1><p>слово".encode("cp1251"))
+    out = str(tmp_path / "p.md")
+    assert cli.main(["convert", str(page), "--out", out]) == 0 and open(out, encoding="utf-8").read() == "# Имя\n\nслово\n"
+    assert cli.main(["inspect", str(page)]) == 0 and '"state": "complete"' in capsys.readouterr().out
+    assert cli.main(["validate", out]) == 0
+    bad = tmp_path / "bad.md"
+    bad.write_text("::: frame\nframe: pink\n")
+    assert cli.main(["validate", str(bad)]) == 1 and "frame-palette" in capsys.readouterr().out
+    assert cli.main(["render", out, "--out", str(tmp_path / "html")]) == 0 and (tmp_path / "html" / "index.html").exists()
+    assert cli.main(["config"]) == 0 and "min_recall = 0.995  (default)" in capsys.readouterr().out
