@@ -430,6 +430,8 @@ def data_region(grid: G.Grid, page: Page, kind: str) -> tuple[list[Block] | None
             page.note(grid.table, "REVIEW", f"data table taken apart: {plan.failure or 'inside columns'}")
         return None, plan.failure or "inside columns"
     bands = plan.occupied()
+    if not plan.header and len(bands) < 3 and not any(x["links"] for x in plan.matrix.values()):
+        return None, "two lanes"  # nothing says that these are records
     rows = sorted({r for r, _ in plan.matrix})
     cell = lambda r, b: " ".join(filter(None, (re.sub(r"\s*\\\n\s*", " ", inline(c.node.children, page)).strip() for c in sorted(plan.matrix[r, b]["cells"], key=lambda c: c.col)))) if (r, b) in plan.matrix else ""
     matrix = [[cell(r, b) for b in bands] for r in rows]

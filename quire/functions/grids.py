@@ -17,7 +17,7 @@ from quire.functions import html_tree as H
 MAX_SPAN = 1000  # as browsers do
 _ROW_HOLDERS = frozenset(("thead", "tbody", "tfoot", "form", "div", "center"))
 _CELL_HOLDERS = frozenset(("form", "div", "center"))
-_BLOCKS = frozenset(("table", "ul", "ol", "dl", "blockquote", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6"))
+_BLOCKS = frozenset(("table", "dl", "blockquote", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6"))
 CLASSES = ("SHELL", "LAYOUT", "DATA", "HYBRID", "CATALOG", "UNKNOWN")
 MARGIN = 0.15
 
@@ -143,7 +143,7 @@ def _cell(i: int, node: H.Node, r: int, c: int, down: int, across: int, slots: l
             bold += len(H.text_of(n))
         elif tag == "p":
             paragraphs += bool(H.text_of(n))
-        blocks = blocks or tag in _BLOCKS
+        blocks = blocks or tag in _BLOCKS or tag in ("ul", "ol") and sum(c.tag == "li" for c in n.children) > 1
     return Cell(i, r, c, down, across, node.tag == "th", text, not text and not images, links, images, paragraphs <= 1 and not blocks, node.tag == "th" or bool(text) and bold >= 0.9 * len(text), slots, node)
 
 
