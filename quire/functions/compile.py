@@ -424,6 +424,10 @@ def data_region(grid: G.Grid, page: Page, kind: str) -> tuple[list[Block] | None
     title = G.leading_caption(grid)
     below = 1 if title is not None else 0
     plan = G.plan(grid, below=below)
+    if plan.failure == "too-small" and not page.bounded and (record := single_record(grid)):
+        head = ["🔗" if c.links == 1 and len(c.text) < 40 else "" for c in record]
+        page.note(grid.table, "EMITTED", "table")
+        return [Block("table", items=[head, [re.sub(r"\s*\\\n\s*", " ", inline(c.node.children, page)).strip() for c in record]])], "table"
     if plan.failure is not None or page.bounded:
         if kind == "DATA":
             page.lost_tables += plan.failure not in (None, "too-small", "no-body", "media-lane", "media-catalog")
@@ -443,6 +447,15 @@ def data_region(grid: G.Grid, page: Page, kind: str) -> tuple[list[Block] | None
     return above + [Block("table", items=[head, *matrix])], "table"
 
 
+def single_record(grid: G.Grid) -> list[G.Cell]:
+    """The cells of a table of one row that names something and leads to it: a text without links, and cells of one short link each beside it."""
+    filled = [c for c in grid.live() if not c.is_empty]
+    lone = [c for c in filled if c.links == 1 and len(c.text) < 40 and not c.images]
+    if len({c.row for c in filled}) != 1 or not 2 <= len(filled) <= 8 or not lone or filled[0].links or any(c.images or not c.inlineable or len(c.text) > 180 for c in filled):
+        return []
+    return filled
+
+
 def rails(grid: G.Grid) -> set[int]:
     """The flanks of a page in three columns whose centre holds the most text, each at most half of it."""
     if grid.n_cols != 3:
