@@ -46,7 +46,7 @@ def label(text: str) -> str:
 
 def target(text: str) -> str:
     """Spellings of one destination become equal."""
-    v = text.strip(" ").lower()
+    v = re.sub(r"\\(.)", r"\1", text.strip(" ").lower())
     if v.startswith("/#/"):
         return v[1:]
     if v.startswith("//") or re.match(r"[a-z][a-z\d+.-]*:", v):

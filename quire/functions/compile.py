@@ -149,7 +149,8 @@ def decorative(node: H.Node) -> bool:
     if not src or re.search(r"(?i)(?:^|/)(?:spacer|blank|pixel|line|bullet|dot|bg)\d*\.(?:gif|png|jpe?g)$", src):
         return True
     known = [s for s in size if s is not None]
-    return bool(known) and (min(known) <= 3 or len(known) == 2 and known[0] * known[1] <= 196)
+    badge = 400 if not a.get("alt", "").strip() else 196  # a sign without a name may be larger
+    return bool(known) and (min(known) <= 3 or len(known) == 2 and known[0] * known[1] <= badge)
 
 
 def icon(node: H.Node) -> str | None:
@@ -159,6 +160,11 @@ def icon(node: H.Node) -> str | None:
     return ICONS.get(stem[1].lower()) if stem and size and max(size) <= 32 else None
 
 
+def src_of(node: H.Node, page: Page) -> str:
+    """Where a picture is, seen from the document."""
+    return target(R.site_relative(node.attrs["src"].strip(), page.options.links))
+
+
 def image_inline(node: H.Node, page: Page) -> str:
     if (glyph := icon(node)) and node.parent is not None and (node.parent.tag == "a" or H.text_of(node.parent)):
         page.note(node, "MERGED_INTO", "icon")
@@ -166,7 +172,7 @@ def image_inline(node: H.Node, page: Page) -> str:
     if decorative(node):
         page.note(node, "REMOVED", "decorative")
         return ""
-    return f"![{M.escape(_SPACE.sub(' ', (node.attrs or {}).get('alt', '').strip()))}]({target(node.attrs['src'].strip())})"
+    return f"![{M.escape(_SPACE.sub(' ', (node.attrs or {}).get('alt', '').strip()))}]({src_of(node, page)})"
 
 
 # -- blocks
@@ -259,6 +265,9 @@ def phrasing(run: list[H.Node], page: Page) -> list[Block]:
     words = "".join(H.text_of(n) for n in run if n.kind == "text" or n.kind == "element" and n.tag not in DROPPED)
     if pictures and not words.strip():
         return gallery([b for n in run for b in figure(n, page)])
+    made = menu_of_run(run, page)
+    if made:
+        return made
     out: list[Block] = []
     for n in run:
         out += anchors(n, page) if n.kind == "element" and n.tag == "a" else []
@@ -305,7 +314,7 @@ def figure(node: H.Node, page: Page) -> list[Block]:
             continue
         a = img.attrs
         width = int(m[0]) if (m := re.match(r"\d+", a.get("width", ""))) else None
-        props = {"src": a["src"].strip(), "position": {"left": "left", "right": "right"}.get(a.get("align", "").lower(), "center"), "size": "medium" if width is None else "large" if width >= 380 else "medium" if width >= 190 else "small"}
+        props = {"src": src_of(img, page), "position": {"left": "left", "right": "right"}.get(a.get("align", "").lower(), "center"), "size": "medium" if width is None else "large" if width >= 380 else "medium" if width >= 190 else "small"}
         alt = a.get("alt", "").strip()
         if alt and len(alt) <= CAPTION and not re.search(r"(?i)\.(?:bmp|gif|jpg|jpeg|png)$", alt):
             props["caption"] = _SPACE.sub(" ", alt)
@@ -318,6 +327,32 @@ def figure(node: H.Node, page: Page) -> list[Block]:
     return out
 
 
+def menu_of_run(run: list[H.Node], page: Page) -> list[Block] | None:
+    """Three short items and more in a line, set apart by signs or spaces: links to distinct targets, and at most one that is no link, the place where one is."""
+    items: list[H.Node | str] = []
+    stack = list(reversed(run))
+    while stack:
+        node = stack.pop()
+        if node.kind == "text":
+            items += [x for x in (p.strip() for p in re.split(r"[|•·/\[\]\u00a0]|\s{2,}", node.value)) if x]
+        elif node.tag == "a" and href_of(node, page):
+            items.append(node)
+        elif node.tag in ("img", "a") or node.tag in DROPPED:
+            return None
+        else:
+            stack.extend(reversed(node.children))
+    links = [x for x in items if isinstance(x, H.Node)]
+    plain = [x for x in items if isinstance(x, str)]
+    if page.bounded or len(items) < 3 or len(links) < 2 or len(plain) > 1 or any(n.tag == "img" for a in links for n in H.walk(a)):
+        return None
+    labels = [x if isinstance(x, str) else H.text_of(x) for x in items]
+    if not all(0 < len(x) <= 40 for x in labels) or len(set(labels)) < len(labels) or len({href_of(a, page) for a in links}) < len(links) or any(x[-1] in ".,;:" for x in plain):
+        return None
+    active = {"active": plain[0]} if plain else {}
+    listed = [(0, M.escape(x) if isinstance(x, str) else link(x, page).strip()) for x in items]
+    return [Block("directive", name="nav", props=active, children=[Block("list", name="bullet", items=listed, depth=1)])]
+
+
 def gallery(images: list[Block]) -> list[Block]:
     """Two pictures and more in a row, of similar height, are one group of two to four columns."""
     heights = [b.props["height"] for b in images if "height" in b.props]
@@ -821,7 +856,7 @@ def convert(html: str | None, options: Options = Options(), known: R.Lookup | No
     page.length, page.align = len(source), R.prose_align(body)
     shown = lambda n: H.text_of(n) or any(x.tag == "img" for x in H.walk(n))
     links = [href for n in H.walk(body) if n.tag == "a" and (href := href_of(n, page)) and shown(n) and not _only_decoration(n)]
-    images = [target(n.attrs["src"].strip()) for n in H.walk(body) if n.tag == "img" and not decorative(n) and not (icon(n) and n.parent is not None and (n.parent.tag == "a" or H.text_of(n.parent)))]
+    images = [src_of(n, page) for n in H.walk(body) if n.tag == "img" and not decorative(n) and not (icon(n) and n.parent is not None and (n.parent.tag == "a" or H.text_of(n.parent)))]
     grids = G.grids(body)
     page.grids = {id(g.table): g for g in grids}
     page.paired = sum(G.picture_paired(g) == 1 for g in grids)
