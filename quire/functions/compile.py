@@ -7,6 +7,7 @@ content is Markdown text made on the way.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from dataclasses import dataclass, field, replace  # noqa: F401  (replace is for callers)
@@ -64,6 +65,7 @@ class Page:
     bounded: int = 0  # columns and frames around it
     paired: int = 0  # tables all of whose rows pair a picture with words
     grids: dict = field(default_factory=dict)  # id of a table -> its grid
+    frequency: dict = field(default_factory=dict)  # place of a table -> share of the corpus that has its shape
     lost_tables: int = 0
     records: list = field(default_factory=list)  # (table, class, confidence, tier, plan)
 
@@ -411,7 +413,7 @@ def table(node: H.Node, page: Page) -> list[Block]:
     page.depth += 1
     out = menu_of_grid(grid, page) or figure_of_grid(grid, page)
     if out is None:
-        kind, sure, tier = G.classify(G.features(grid), page.paired - (G.picture_paired(grid) == 1))
+        kind, sure, tier = G.classify(G.features(grid, page.frequency.get(grid.seq, 0.0)), page.paired - (G.picture_paired(grid) == 1))
         kind = dict(page.options.classes).get(grid.seq, kind)
         plan = None
         if kind in ("DATA", "HYBRID"):
@@ -828,25 +830,33 @@ def _fence(name: str, props: dict, body: str) -> str:
     return f"::: {name}{head}\n" + (f"\n{body}\n" if body else "") + ":::"
 
 
-def convert(html: str | None, options: Options = Options(), known: R.Lookup | None = None, fingerprint=None, invisible: frozenset[int] = frozenset()) -> dict:
+def convert(html: str | None, options: Options = Options(), known: R.Lookup | None = None, fingerprint=None, invisible: frozenset[int] = frozenset(), frequency: dict[str, float] | None = None, trace: list | None = None) -> dict:
     """A page as a document: markdown, and source_text, accounted (removed text), links and images of the source, for the gate; the ledger and the tables.
 
     known: what is known of words, to join broken ones.  fingerprint: shape of a subtree, with options.chrome.
-    invisible: nodes (pre) that a measurement found invisible.  Null counts as empty.
+    invisible: nodes (pre) that a measurement found invisible.  frequency: how much of the corpus has a shape, for tables.  trace: takes
+    (stage, what it left) for each stage.  Null counts as empty.
     """
     clean, found = D.islands(html or "")
+    keep = (lambda stage, content: trace.append((stage, content() if callable(content) else content))) if trace is not None else lambda stage, content: None
+    keep("00-source", html or "")
+    keep("01-quarantined", clean)
     root = H.numbered(H.build(clean)[0])
     deepest = max((sum(1 for _ in R.above(n)) for n in [_last(root)]), default=0)
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * deepest + 1000))
     title = next((H.text_of(n) for n in H.walk(root) if n.tag == "title"), None)
     records = [*R.sanitize(root), *R.drop_head(root)]
+    keep("02-sanitized", lambda: H.to_html(root))
     if options.chrome and fingerprint is not None:
         from quire.operators.pages import FINGERPRINT_TAGS
 
         records += R.remove_chrome(root, options.chrome, fingerprint, frozenset(FINGERPRINT_TAGS))
+    keep("03-without-chrome", lambda: H.to_html(root))
     records += R.dehyphenate(root, known or R.Lookup({}))
+    keep("04-words-joined", lambda: H.to_html(root))
     records += R.normalize(root, invisible)
     records += R.recover_headings(root, options.sections)
+    keep("05-normalized", lambda: H.to_html(root))
     page = Page(options)
     terminal = {"remove": "REMOVED", "unwrap": "MERGED_INTO", "review": "REVIEW", "heading": "EMITTED"}
     page.ledger = [(f"island:{x['start']}", "REMOVED", f"{x['kind']} markup") for x in found if x["kind"] != "xml" and not x["unterminated"]]
@@ -859,12 +869,17 @@ def convert(html: str | None, options: Options = Options(), known: R.Lookup | No
     images = [src_of(n, page) for n in H.walk(body) if n.tag == "img" and not decorative(n) and not (icon(n) and n.parent is not None and (n.parent.tag == "a" or H.text_of(n.parent)))]
     grids = G.grids(body)
     page.grids = {id(g.table): g for g in grids}
+    page.frequency = {g.seq: frequency.get(fingerprint(g.table), 0.0) for g in grids} if frequency and fingerprint is not None else {}
     page.paired = sum(G.picture_paired(g) == 1 for g in grids)
     blocks, lost = downgraded(single_title(blocks_of(body.children, page), title), options.target)
     page.ledger += [("document", "MERGED_INTO", f"{what}: {how}") for what, how in lost]
     page.accounted += _numbers(blocks)
     tables = [{"seq": seq, "class": kind, "confidence": sure, "tier": tier, "plan": plan} for seq, kind, sure, tier, plan in page.records]
-    return {"markdown": serialize(blocks), "source_text": source, "accounted": " ".join(filter(None, page.accounted)), "ledger": page.ledger, "links": links, "images": images, "tables": tables, "lost_tables": page.lost_tables}
+    markdown = serialize(blocks)
+    keep("06-tables", lambda: json.dumps(tables, ensure_ascii=False))
+    keep("07-document", markdown)
+    keep("08-ledger", lambda: json.dumps(page.ledger, ensure_ascii=False))
+    return {"markdown": markdown, "source_text": source, "accounted": " ".join(filter(None, page.accounted)), "ledger": page.ledger, "links": links, "images": images, "tables": tables, "lost_tables": page.lost_tables}
 
 
 def _numbers(blocks: list[Block]) -> list[str]:

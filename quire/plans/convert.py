@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -69,6 +70,12 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html",
             own = P.fingerprints(pages, id_col, html).select(F.col("page_id").alias(id_col), "fingerprint").distinct().join(chrome, "fingerprint")
             pages = pages.join(own.groupBy(id_col).agg(F.collect_set("fingerprint").alias("shapes")), id_col, "left")
             columns.append("shapes")
+    frequent: dict[str, float] = {}
+    if profile is not None and "fingerprint_freq" in profile:
+        # at most ten shapes for each element of a page have a tenth of the pages, so that there are few of them in any corpus
+        common = profile["fingerprint_freq"].where("frequency >= 0.1").select("fingerprint", "frequency")
+        if common.limit(MAX_CHROME + 1).count() <= MAX_CHROME:
+            frequent = {r.fingerprint: r.frequency for r in common.collect()}
     rules = options.target.rules()
     kind = "string" if dict(pages.dtypes)[id_col] == "string" else "bigint"
 
@@ -76,13 +83,26 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html",
         extra = dict(zip(columns[1:], more))
         chrome = frozenset(extra.get("shapes") or shapes)
         known = R.Lookup({w["word"]: w["n"] for w in extra.get("known") or ()})
-        made = C.convert(text, C.replace(options, chrome=chrome, classes=tuple((x["seq"], x["class"]) for x in extra.get(classes) or ())), known, P.fingerprint, frozenset(extra.get(invisible) or ()))
+        made = C.convert(text, C.replace(options, chrome=chrome, classes=tuple((x["seq"], x["class"]) for x in extra.get(classes) or ())), known, P.fingerprint, frozenset(extra.get(invisible) or ()), frequent)
         made["ledger"] = [{"node": n, "terminal": t, "note": w} for n, t, w in made["ledger"]]
         return [{id_col: i, **made, **K.verify(made, min_recall, max_line, rules)}]
 
     return B.rows_of(pages, id_col, columns, f"`{id_col}` {kind}, {CONVERTED}", of, kind=kind)
 
 
+def artifacts(pages: DataFrame, id_col: str = "page_id", html: str = "html", options: C.Options = C.Options()) -> DataFrame:
+    """(page_id, stage, content): what each stage of the conversion left of every page, from 00-source to 08-ledger and 09-gate."""
+
+    def of(i: int, text: str | None) -> Iterator[dict]:
+        trace: list[tuple[str, str]] = []
+        made = C.convert(text, options, trace=trace)
+        made["ledger"] = [{"node": n, "terminal": t, "note": w} for n, t, w in made["ledger"]]
+        trace.append(("09-gate", json.dumps(K.verify(made, profile=options.target.rules()))))
+        return ({"page_id": i, "stage": stage, "content": content} for stage, content in trace)
+
+    return B.rows_of(pages, id_col, html, "page_id bigint, stage string, content string", of, "page_id")
+
+
 def scan(pages: DataFrame, id_col: str = "page_id", html: str = "html", threshold: float = 0.7) -> dict[str, DataFrame]:
     """The corpus profile: fingerprint_freq, stable_chrome, lexicon."""
     total = pages.agg(F.countDistinct(id_col)).first()[0]

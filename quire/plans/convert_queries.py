@@ -61,6 +61,13 @@ def converted_structure(load, spark) -> DataFrame:
     return b.groupBy("page_id").agg(F.max(nav).alias("has_nav"), F.sum(inside.cast("int")).alias("items"), title.alias("title"))
 
 
+@query(r"""SELECT page_id, s.stage, CASE s.stage WHEN '00-source' THEN length(html) WHEN '01-quarantined' THEN length(html) ELSE 1 END::BIGINT AS size, s.stage < '02' AND contains(html, '<script') AS scripts FROM pages, (VALUES ('00-source'), ('01-quarantined'), ('02-sanitized'), ('03-without-chrome'), ('04-words-joined'), ('05-normalized'), ('06-tables'), ('07-document'), ('08-ledger'), ('09-gate')) s(stage)""")
+def conversion_artifacts(load, spark) -> DataFrame:
+    """What each stage leaves of every page: quarantining keeps the length, sanitizing takes the scripts."""
+    a = C.artifacts(load("pages"))
+    return a.select("page_id", "stage", F.when(F.col("stage") < "02", F.length("content")).otherwise(1).cast("bigint").alias("size"), F.col("content").contains("<script").alias("scripts"))
+
+
 # -- the two phases
 
 
