@@ -56,6 +56,9 @@ def test_texts(spark):
     assert one(spark, T.shingles(F.lit("a b"))) == ["a b"] and one(spark, T.shingles(F.lit(""))) == []
     assert one(spark, T.text_similarity(F.lit(""), F.lit(""))) == 1.0 and one(spark, T.text_similarity(F.lit("a b c"), F.lit("a b d"))) == 0.5
     assert one(spark, T.fnv1a32(F.lit("a"))) == "e40c292c"
+    some = ["", "a", "ab", None, "Ключ", "x" * 500, "😀b"]
+    df = spark.createDataFrame([(t,) for t in some], "t string").coalesce(1).select("t", T.fnv1a32("t").alias("h"))
+    assert [(r.t, r.h) for r in df.collect()] == [(t, None if t is None else T.fnv1a32_of(t)) for t in some]
 
 
 def test_conservation(spark):
