@@ -1,19 +1,20 @@
 """URL filters: pattern rules found by their rarest literal token (operator 3).
 
 Each rule is a regular expression.  Its literal tokens (maximal alphanumeric runs that every match must contain as
-whole tokens) are counted among the tokens of all URLs, and the rule is indexed by the rarest.  URL tokens join the
-index; only the rules fetched that way run their regular expression.  A rule that has no such token runs on all URLs.
+whole tokens; of the words of a group, one) are counted among the tokens of all URLs, and the rule is indexed by the rarest.  URL tokens
+join the index; only the rules fetched that way run their regular expression.  A rule that has no such token runs on all URLs.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from quire.llm import shared
 
 BROADCAST_RULES = 200_000
+MAX_WORDS = 64  # alternatives of a token; a part of a pattern with more isn't used to find the rule
 FREE_RULES = 1000  # rules without a token that a URL meets at a time
 
 #: (rule_id, action, pattern): a block list and its exceptions; RE2 and Java read these alike.
@@ -42,19 +43,23 @@ RULES: list[tuple[int, str, str]] = [
 ]
 
 
-def literal_tokens(pattern: str) -> list[str] | None:
-    """The alphanumeric runs that each match of a pattern contains as whole tokens, lower case.
+_WORDS = re.compile(r"\((?:\?:)?([A-Za-z0-9]+(?:\|[A-Za-z0-9]+)*)\)(?![*?+{])")
+_EDGES = re.compile(r"\((?:\?:)?(?:\\[^A-Za-z0-9]|[^A-Za-z0-9()\[\]{}*+?.\\|])(?:\|(?:\\[^A-Za-z0-9]|[^A-Za-z0-9()\[\]{}*+?.\\|]))*\)(?![*?+{])")
 
-    Read from the top level of the pattern only: groups, classes, alternatives and quantified characters
-    end a run, and a run counts only between literal non-alphanumeric characters or anchors, since
-    another neighbour could make the URL's token longer.  A pattern with a top-level | has none.  None stands for a
-    pattern that is malformed.
+
+def literal_tokens(pattern: str) -> list[list[str]] | None:
+    """Sets of alphanumeric runs, of each of which any match of a pattern contains one as a whole token, lower case.
+
+    Read from the top level of the pattern only: a run is one token, with an optional character two, and a group of plain
+    words is a token for each word; other groups, classes, alternatives and quantified characters end a run.  A run counts only
+    between literal non-alphanumeric characters, groups of these, or anchors, since another neighbour could make the URL's token
+    longer.  A pattern with a top-level | has none.  None stands for a pattern that is malformed.
     """
     try:
         re.compile(pattern)
     except re.error:
         return None
-    parts, depth, i, n = [], 0, 0, len(pattern)  # ("lit", c) | ("edge",) | ("any",)
+    parts, depth, i, n = [], 0, 0, len(pattern)  # ("lit", c) | ("opt", c) | ("words", [...]) | ("edge",) | ("any",)
     while i < n:
         c = pattern[i]
         if c == "\\":
@@ -65,12 +70,19 @@ def literal_tokens(pattern: str) -> list[str] | None:
             continue
         if c == "[":
             end = i + 1 + (pattern[i + 1 : i + 2] == "^")
-            end = pattern.index("]", end + 1)
+            end = pattern.find("]", end + 1)
+            if end < 0:
+                return None
             if depth == 0:
                 parts.append(("edge" if _no_alnum(pattern[i : end + 1]) else "any", ""))
             i = end + 1
             continue
         if c == "(":
+            words, edges = _WORDS.match(pattern, i), _EDGES.match(pattern, i)
+            if depth == 0 and (words or edges):
+                parts.append(("words", words[1].split("|")) if words else ("edge", ""))
+                i = (words or edges).end()
+                continue
             depth += 1
             if depth == 1:
                 parts.append(("any", ""))
@@ -84,7 +96,10 @@ def literal_tokens(pattern: str) -> list[str] | None:
                     i = pattern.find("}", i)
                     if i < 0:
                         return None
-                if parts and c != "+":
+                kind, last = parts[-1] if parts else ("any", "")
+                if c == "?" and kind == "lit" and last.isalnum():
+                    parts[-1] = ("opt", last)
+                elif parts and c != "+":
                     parts[-1] = ("any", "")
                 elif parts:
                     parts.append(("any", ""))
@@ -95,15 +110,20 @@ def literal_tokens(pattern: str) -> list[str] | None:
             else:
                 parts.append(("lit", c))
         i += 1
-    found, run, left = [], "", False
+    found, runs, left = [], [""], False
     for kind, c in [*parts, ("any", "")]:
-        if kind == "lit" and c.isalnum() and c.isascii():
-            run += c
+        if kind == "words":
+            runs = [r + w for r in runs for w in c]
+        elif kind in ("lit", "opt") and c.isalnum() and c.isascii():
+            runs = [r + c for r in runs] + (runs if kind == "opt" else [])
+        else:
+            ends = kind in ("edge", "lit")
+            if left and ends and all(runs) and len(runs) <= MAX_WORDS:
+                found.append(sorted({r.lower() for r in runs}))
+            runs, left = [""], ends
             continue
-        ends = kind == "edge" or (kind == "lit")
-        if run and left and ends:
-            found.append(run.lower())
-        run, left = "", ends
+        if len(runs) > MAX_WORDS:
+            runs = runs[: MAX_WORDS + 1]  # too many to be looked up: this part counts for none
     return found
 
 
@@ -132,17 +152,19 @@ def url_decisions(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", u
     """
     spark = pages.sparkSession
     listed = rules.select("rule_id", "action", "pattern").where("rule_id IS NOT NULL AND pattern IS NOT NULL")
-    tokens = F.udf(literal_tokens, "array<string>")  # runs once a rule
+    tokens = F.udf(literal_tokens, "array<array<string>>")  # runs once a rule
     listed = shared.written(listed.withColumn("tokens", tokens("pattern")), "rules").where("tokens IS NOT NULL")
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     distinct = urls.where("url IS NOT NULL").select("url").distinct()
     exploded = distinct.select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
     small = listed.count() <= BROADCAST_RULES
     send = F.broadcast if small else (lambda df: df)
-    wanted = listed.select("rule_id", F.explode("tokens").alias("token")).distinct()
+    sets = listed.select("rule_id", F.posexplode("tokens").alias("pos", "set"))
+    wanted = sets.select("rule_id", "pos", F.explode("set").alias("token"))
     counts = exploded.join(send(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("rule_id").orderBy(F.coalesce("n", F.lit(0)), F.length("token").desc(), "token")
-    index = wanted.join(counts, "token", "left").withColumn("at", F.row_number().over(rarest)).where("at = 1").select("rule_id", "token")
+    totals = wanted.join(counts, "token", "left").groupBy("rule_id", "pos").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.count("*").alias("size"))
+    rarest = totals.groupBy("rule_id").agg(F.min(F.struct("n", "size", "pos")).alias("x")).select("rule_id", "x.pos")
+    index = wanted.join(rarest, ["rule_id", "pos"]).select("rule_id", "token")
     keyed = listed.join(index, "rule_id").select("token", "rule_id", "action", "pattern")
     free = listed.where(F.size("tokens") == 0).select("rule_id", "action", "pattern")
     candidates = exploded.join(send(keyed), "token").select("url", "rule_id", "action", "pattern")
