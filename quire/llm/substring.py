@@ -67,10 +67,7 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[
 
 def packed_words(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """The folded words of a chunk with a space after each, and the offset of each word in it."""
-    folded = W._FOLD[found.data]
-    if len(folded) > 1:
-        d = found.data
-        folded[1:] += np.where((d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] <= 0x9E) & (d[1:] != 0x97), np.uint8(32), np.uint8(0))
+    folded = found.folded
     size = found.ends - found.starts + 1
     to = np.concatenate([[0], np.cumsum(size)])
     source = np.repeat(found.starts - to[:-1], size) + np.arange(to[-1])

@@ -1,13 +1,14 @@
 """Word scanning and rolling hashes over Arrow string columns, vectorised with numpy.
 
-A *word* is a maximal run of bytes that are ASCII letters, ASCII digits or part of a
-non-ASCII character; every other ASCII byte separates.  ASCII and Latin-1 letters are
-case-folded before hashing.  Offsets are byte offsets into the UTF-8 text.
+A *word* is a maximal run of letters, marks and digits; everything else separates.  In scripts that don't set words apart (Chinese
+characters, kana, Thai, Lao, Burmese, Khmer) each character is a word.  Case is folded before hashing where the small letter is written with
+as many bytes.  Offsets are byte offsets into the UTF-8 text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,57 @@ for _b in range(256):
     if _b >= 128 or chr(_b).isalnum():
         _FOLD[_b] = _b + 32 if 65 <= _b <= 90 else _b
 
+#: Scripts that don't set words apart.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+_OTHER, _WORD, _ALONE = 0, 1, 2
+
+
+def _class_of(point: int) -> int:
+    if unicodedata.category(chr(point))[0] not in "LMN":
+        return _OTHER
+    return _ALONE if any(a <= point <= b for a, b in _UNSPACED) else _WORD
+
+
+def _lower_of(point: int) -> int:
+    """The small letter, if it is one character that takes as many bytes in UTF-8."""
+    small = chr(point).lower()
+    size = lambda p: 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+    return ord(small) if len(small) == 1 and size(ord(small)) == size(point) else point
+
+
+_CLASS = np.array([_OTHER if 0xD800 <= p < 0xE000 else _class_of(p) for p in range(0x10000)], np.uint8)
+_LOWER = np.array([p if 0xD800 <= p < 0xE000 else _lower_of(p) for p in range(0x10000)], np.uint32)
+
+
+def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(data in small letters with zeros for what separates, places before and after characters that are words by themselves)."""
+    out = _FOLD[data]
+    cuts = [np.zeros(0, np.int64)]
+    for size, least, most in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = np.flatnonzero((data >= least) & (data < most))
+        at = at[at + size <= len(data)]
+        if not len(at):
+            continue
+        point = data[at].astype(np.uint32) & np.uint32((1 << 7 - size) - 1)
+        for k in range(1, size):
+            point = point << np.uint32(6) | data[at + k] & np.uint8(0x3F)
+        if size < 4:
+            kind, small = _CLASS[point], _LOWER[point]
+        else:
+            kinds, which = np.unique(point, return_inverse=True)
+            kind = np.array([_class_of(p) if p < 0x110000 else _OTHER for p in kinds.tolist()], np.uint8)[which]
+            small = np.array([_lower_of(p) if p < 0x110000 else p for p in kinds.tolist()], np.uint32)[which]
+        gone = at[kind == _OTHER]
+        for k in range(size):
+            out[gone + k] = 0
+        changed = np.flatnonzero((small != point) & (kind != _OTHER))
+        for k in range(size):
+            bits = small[changed] >> np.uint32(6 * (size - 1 - k))
+            out[at[changed] + k] = (bits & np.uint32(0x3F) | np.uint32(0x80)) if k else (bits | np.uint32((0xF00 >> size) & 0xFF))
+        alone = at[kind == _ALONE]
+        cuts += [alone, alone + size]
+    return out, np.concatenate(cuts)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every bit depends on every bit."""
@@ -120,6 +172,7 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray  # uint64
     first: np.ndarray  # index of each text's first word, and the number of words
+    folded: np.ndarray | None = None  # data in small letters
 
     @property
     def doc(self) -> np.ndarray:
@@ -134,12 +187,11 @@ class Words:
 def scan(texts: pa.Array) -> Words:
     data, offsets = raw(texts)
     n = len(data)
-    folded = _FOLD[data]
-    if n > 1:  # upper-case Latin-1 letters in UTF-8
-        folded[1:] += np.where((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97), np.uint8(32), np.uint8(0))
-    word = folded != 0
+    small, cuts = folded(data)
+    word = small != 0
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
+    cut[cuts] = True
     before = np.empty(n, bool)
     after = np.empty(n, bool)
     if n:
@@ -147,7 +199,7 @@ def scan(texts: pa.Array) -> Words:
         after[-1], after[:-1] = True, ~word[1:]
     starts = np.flatnonzero(word & (before | cut[:-1]))
     ends = np.flatnonzero(word & (after | cut[1:])) + 1
-    return Words(data, offsets, starts, ends, hashed(folded, starts, ends), np.searchsorted(starts, offsets))
+    return Words(data, offsets, starts, ends, hashed(small, starts, ends), np.searchsorted(starts, offsets), small)
 
 
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import heapq
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,23 @@ from hypothesis import given, settings, strategies as st
 from quire.functions import html_tree as H
 from quire.llm import decontamination, near, packing, pieces, repetition, roles, substring, templates, tokens, urls, words as W
 
-TEXT = st.text(alphabet="ab cÉé.\n", max_size=40)
+TEXT = st.text(alphabet="ab cÉé.\nЖжΣσ漢字カกä—“\u00a0İ😀𠀀，1２", max_size=40)
 
 
 def reference_words(text):
-    runs = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", text or "")
-    return [w.translate({c: c + 32 for c in [*range(65, 91), *(x for x in range(0xC0, 0xDF) if x != 0xD7)]}) for w in runs]
+    """Words by the definition, one character at a time."""
+    words, run = [], ""
+    for c in text or "":
+        small = c.lower() if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode()) else c
+        kind = unicodedata.category(c)[0] in "LMN"
+        alone = kind and any(a <= ord(c) <= b for a, b in W._UNSPACED)
+        if kind and not alone:
+            run += small
+            continue
+        words += [run] if run else []
+        words += [small] if alone else []
+        run = ""
+    return words + ([run] if run else [])
 
 
 @given(st.lists(st.one_of(st.none(), TEXT), max_size=6))
@@ -31,6 +43,7 @@ def test_words(texts):
         span = range(found.first[i], found.first[i + 1])
         mine = [data[found.starts[j] : found.ends[j]].decode() for j in span]
         assert [reference_words(w)[0] for w in mine] == reference_words(text)
+        assert [found.folded.tobytes()[found.starts[j] : found.ends[j]].decode() for j in span] == reference_words(text)
     seen = {}
     for j, h in enumerate(found.hashes.tolist()):
         word = reference_words(data[found.starts[j] : found.ends[j]].decode())[0]
@@ -358,14 +371,26 @@ def test_role_repair_is_cheapest_and_legal(size):
 
 
 def test_literal_tokens_are_whole_and_sure():
-    for _, _, pattern in urls.RULES:
-        for token in urls.literal_tokens(pattern):
-            assert token in pattern.lower()
-    assert urls.literal_tokens(r"/ads/banner[0-9]+") == ["ads"]
+    assert urls.literal_tokens(r"/ads/banner[0-9]+") == [["ads"]]
     assert urls.literal_tokens(r"ads") == []  # may be part of a longer token
-    assert urls.literal_tokens(r"^http://x\.com/a?b/") == ["http", "x", "com"]
+    assert urls.literal_tokens(r"^http://x\.com/a?b/") == [["http"], ["x"], ["com"], ["ab", "b"]]
     assert urls.literal_tokens(r"/one/|/two/") == []
-    assert urls.literal_tokens(r"/(one)/two/") == ["two"]
+    assert urls.literal_tokens(r"/(one)/two/") == [["one"], ["two"]]
+    assert urls.literal_tokens(r"/(log|sign)in(/|\?|$)") == [["login", "signin"]]
+    assert urls.literal_tokens(r"/(a|b)?/c/") == [["c"]] and urls.literal_tokens(r"/(a|b.)/") == [] and urls.literal_tokens(r"/x?/") == []
+    assert urls.literal_tokens(r"\.(jpg|png)(\?|$)") == [["jpg", "png"]] and urls.literal_tokens(r"//ads?\.") == [["ad", "ads"]]
+    assert urls.literal_tokens("/[a") is None and urls.literal_tokens("(") is None
+    assert [i for i, _, p in urls.RULES if not urls.literal_tokens(p)] == [18]
+
+
+@given(st.lists(st.sampled_from(["a", "b", "ab", "/", r"\.", "?", "(a|ab)", "(/|$)", "[0-9]", "(x|y.)", "+", "^", "$", "c?"]), max_size=7), st.text(alphabet="ab/.1cxy", max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_a_match_has_a_token_of_every_set(parts, url):
+    pattern = "".join(parts)
+    sets = urls.literal_tokens(pattern)
+    if sets and re.search(pattern, url):
+        held = set(re.split("[^a-z0-9]+", url.lower()))
+        assert all(held & set(s) for s in sets)
 
 
 def test_template_cut():
@@ -373,5 +398,12 @@ def test_template_cut():
     a, b = H.build(page.format(1))[0], H.build(page.format(2))[0]
     shared = set(templates.subtree_hashes(a).values()) & set(templates.subtree_hashes(b).values())
     assert templates.cut(a, shared) == 2 and H.text_of(a) == "own 1"
+    for html in (page.format(1), "<div>a<div>x</div>b</div>c<ul><li>d<li>d</ul>", "t <p>u\ufeffv<script>s</script><br>w", ""):
+        tree = H.build(html)[0]
+        hashes = sorted(set(templates.subtree_hashes(tree).values()))
+        for known in (frozenset(), frozenset(hashes[::2]), frozenset(hashes)):
+            whole = H.build(html)[0]
+            n = templates.cut(whole, known)
+            assert templates.without(*templates.flat(tree), known) == (H.text_of(whole, templates._HIDDEN), n)
     deep = H.build("<div>" * 5000 + "x")[0]
     assert len(templates.subtree_hashes(deep)) > 100 and templates.cut(deep, frozenset()) == 0

@@ -163,6 +163,18 @@ def spans_by_brute_force(cases, k):
     return {i: c for i, c in covered.items()}
 
 
+def test_scripts_without_spaces_and_other_cases(spark):
+    r = random.Random(31)
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200))
+    given = [(1, chinese), (2, chinese[:90] + "，" + chinese[91:]), (3, "ДЛИННЫЙ ТЕКСТ " * 3 + chinese[100:]), (4, "Привет, МИР: это — “новый” текст"), (5, "привет мир это новый текст")]
+    df = spark.createDataFrame(given, "doc_id bigint, text string")
+    assert rows(near.near_duplicates(df)) == [(2, 1), (5, 4)]
+    assert {r.doc_id for r in substring.repeated_spans(df).collect()} == {2, 3}
+    items = spark.createDataFrame([(7, chinese[120:140])], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontamination.contaminated(df, items).collect()) == [1, 2, 3]
+    assert {r.doc_id: r.n_words for r in repetition.repetition_scores(df).collect()}[1] == 200
+
+
 @pytest.mark.parametrize("k, m", [(50, 8), (7, 3), (1, 1)])
 def test_repeated_spans(docs, nothing, k, m):
     found = defaultdict(set)
