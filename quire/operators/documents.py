@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -249,6 +250,29 @@ def render_ledger(ledger: DataFrame, most: int = 30) -> DataFrame:
     return top.select(place.alias("place"), line.alias("line"))
 
 
+def compared(p: dict, r: dict) -> list[tuple[str, str]]:
+    """(class, severity) of what differs between two blocks of one kind that were paired."""
+    out = []
+    if p["kind"] == "list-item":
+        out += [("list.kind", "major")] if p["name"] != r["name"] else []
+        out += [("list.depth", "minor")] if p["depth"] != r["depth"] else []
+    if p["text"] == r["text"]:
+        return out
+    if p["kind"] == "table-row":
+        a, b = K.cells_of(p), K.cells_of(r)
+        return [*out, *([("table.columns", "major")] if len(a) != len(b) else [("table.cell", "minor")] * sum(x != y for x, y in zip(a, b)))]
+    if K.normalized(K.plain(p["text"])) != K.normalized(K.plain(r["text"])):
+        return [*out, ("text", "minor")]
+    count = lambda t, sign: len(re.findall(sign, t))
+    if _tokens(p)[2] != _tokens(r)[2]:
+        out.append(("inline.refs", "major"))
+    if count(p["text"], r"\\\n") != count(r["text"], r"\\\n"):
+        out.append(("lineation", "minor"))
+    if any(count(p["text"], sign) != count(r["text"], sign) for sign in (r"(?<!\\)\*", r"~~", "==")):
+        out.append(("inline.emphasis", "minor"))
+    return out or [("text", "minor")]
+
+
 def diff(produced: str | None, reference: str | None) -> list[dict]:
     """Findings of a pair of documents: blocks missing, extra, moved, or that differ."""
     a, b = M.read(produced)[0], M.read(reference)[0]
@@ -261,8 +285,8 @@ def diff(produced: str | None, reference: str | None) -> list[dict]:
                 found.append(("heading.depth", "major", p, r))
             if p["kind"] == "directive":
                 found += [(f"directive.{k}", "major", p, r) for k in sorted(set(p["props"]) | set(r["props"])) if p["props"].get(k) != r["props"].get(k)]
-            elif p["text"] != r["text"]:
-                found.append(("text", "minor", p, r))
+            else:
+                found += [(what, severity, p, r) for what, severity in compared(p, r)]
         else:
             if i is not None:
                 extra.append(a[i])

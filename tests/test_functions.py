@@ -238,6 +238,17 @@ def test_differences():
     assert Docs.align([1, 2, 3], [1, 3], lambda a, b: float(a == b)) == [(0, 0), (1, None), (2, 1)]
 
 
+@pytest.mark.parametrize(
+    "produced, reference, classes",
+    [
+        ("one two three", "one *two* three", ["inline.emphasis"]), ("see [a](b) now", "see [a](c) now", ["inline.refs"]), ("a line\\\nmore of it", "a line more of it", ["lineation"]), ("- x y\n", "1. x y\n", ["list.kind"]), ("- a\n  - b c\n", "- a\n- b c\n", ["list.depth"]),
+        ("| a | b |\n| - | - |\n| one two | 3 4 |", "| a | b |\n| - | - |\n| one two | 3 5 |", ["table.cell"]), ("| a b | c d |\n| - | - |", "| a b | c d | e |\n| - | - | - |", ["table.columns"]), ("one, two three", "one two three", ["text"]), ("one two three", "one two four", ["text"]),
+    ],
+)
+def test_what_differs_between_paired_blocks(produced, reference, classes):
+    assert [f["class"] for f in Docs.diff(produced, reference)] == classes
+
+
 def test_converting_pages():
     html = (
         "<title>Page</title><body><h1>Head &amp; more</h1><p>First <b>bold</b> and <a href='x.htm'>link</a>.<br><br>Second.</p><ul><li>one<li>two</ul>"
