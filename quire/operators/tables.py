@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import batches as B, grids as G, html_tree as H
 
+SHORT, MOST_SEEN = 2000, 5000  # characters of the pages that are kept with their rows, and how many of them
 KEY = "table_id bigint, seq int"
 CELLS = (
     f"{KEY}, nesting int, n_rows int, n_cols int, nested int, bordered boolean, cell int, row int, col int, row_span int, col_span int, is_header boolean, text string, is_empty boolean, "
@@ -27,10 +28,19 @@ FEATURES = (
 
 
 def _each(tables: DataFrame, id_col: str, html: str, schema: str, of: Callable[[list[G.Grid]], Iterable[dict]]) -> DataFrame:
-    """Rows that ``of`` makes of all grids of each page."""
+    """Rows that ``of`` makes of all grids of each page; a short page whose like was seen in the same task isn't read again."""
+    seen: dict[str, list[dict]] = {}
 
     def rows(i: int, text: str | None) -> Iterator[dict]:
-        for row in of(G.grids(H.build(text or "")[0])):
+        text = text or ""
+        made = seen.get(text)
+        if made is None:
+            made = list(of(G.grids(H.build(text)[0])))
+            if len(text) <= SHORT:
+                if len(seen) >= MOST_SEEN:
+                    seen.clear()
+                seen[text] = made
+        for row in made:
             yield {"table_id": i, **row}
 
     return B.rows_of(tables, id_col, html, schema, rows, "table_id")
