@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quire.sources import tables
+
 TERMINALS = ("EMITTED", "MERGED_INTO", "MOVED_TO", "REMOVED", "REVIEW")
 
 
@@ -48,10 +52,16 @@ def resolver_stats(decisions: DataFrame) -> DataFrame:
 
 
 def totality(declared: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, problem): declared nodes without a terminal state, and states of nodes that nobody declared; empty for a total pass."""
-    ended = ledger.where(F.col("terminal_kind").isin(*TERMINALS)).select(*keys).distinct()
-    known = declared.select(*keys).distinct()
-    return known.join(ended, keys, "left_anti").withColumn("problem", F.lit("no-terminal")).unionByName(ended.join(known, keys, "left_anti").withColumn("problem", F.lit("undeclared")))
+    """(keys, problem): declared nodes without a terminal state, and states of nodes that nobody declared; empty for a total pass.
+
+    Both sides are dealt by their keys and grouped once, where they meet; a key that holds a null has no match.
+    """
+    ended = ledger.where(F.col("terminal_kind").isin(*TERMINALS)).select(*keys, F.lit(False).alias("__known"))
+    both = tables.spread(declared.select(*keys, F.lit(True).alias("__known")).unionByName(ended), *keys)
+    per = both.groupBy(*keys).agg(F.bool_or("__known").alias("__known"), F.bool_or(~F.col("__known")).alias("__ended"))
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    found = F.array_compact(F.array(F.when(F.col("__known") & (~F.col("__ended") | null), "no-terminal"), F.when(F.col("__ended") & (~F.col("__known") | null), "undeclared")))
+    return per.select(*keys, F.explode(found).alias("problem"))
 
 
 def terminal_counts(ledger: DataFrame, key: str) -> DataFrame:
