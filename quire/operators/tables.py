@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import batches as B, grids as G, html_tree as H
 
-SHORT, MOST_SEEN = 2000, 5000  # characters of the pages that are kept with their rows, and how many of them
+SHORT, FEW, MOST_SEEN = 2000, 16, 5000  # characters and rows of the pages that are kept with their rows, and how many of them
 KEY = "table_id bigint, seq int"
 CELLS = (
     f"{KEY}, nesting int, n_rows int, n_cols int, nested int, bordered boolean, cell int, row int, col int, row_span int, col_span int, is_header boolean, text string, is_empty boolean, "
@@ -36,7 +36,7 @@ def _each(tables: DataFrame, id_col: str, html: str, schema: str, of: Callable[[
         made = seen.get(text)
         if made is None:
             made = list(of(G.grids(H.build(text)[0])))
-            if len(text) <= SHORT:
+            if len(text) <= SHORT and len(made) <= FEW:
                 if len(seen) >= MOST_SEEN:
                     seen.clear()
                 seen[text] = made
