@@ -8,4 +8,5 @@ from quire.sources import tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tables.load(spark, sf_dir, name)
+    """A table as its files are split: a page costs the operators a few milliseconds, so that a shuffle to make tasks smaller isn't worth its disk."""
+    return tables.load(spark, sf_dir, name, bounded=False)
