@@ -88,14 +88,15 @@ def lint(docs: DataFrame, id_col: str, text: str, max_line: int = 2200) -> DataF
 def align(a: list, b: list, similarity, gap: float = 0.325) -> list[tuple[int | None, int | None]]:
     """Global alignment of least cost; ties go to substitution, then deletion, then insertion.
 
-    What two sides share at their start and end is paired off first, and each similarity is computed once.
+    What two sides share at their start and end is paired off first, and each similarity is computed once.  At the end, where the
+    path is read from, what is wholly alike is shared, wherever it stands: pairing it costs nothing, so that no path is better, and ties go to it.
     """
     n, m = len(a), len(b)
     head = 0
     while head < min(n, m) and a[head] == b[head]:
         head += 1
     tail = 0
-    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+    while tail < min(n, m) - head and ((p := a[n - 1 - tail]) == (q := b[m - 1 - tail]) or similarity(p, q) == 1):
         tail += 1
     x, y = a[head : n - tail], b[head : m - tail]
     cost = [[j * gap for j in range(len(y) + 1)]]
@@ -127,6 +128,8 @@ def similar(a: dict, b: dict) -> float:
     if a["kind"] == "directive":
         keys = set(a["props"]) | set(b["props"])
         return 1.0 if not keys else sum(a["props"].get(k) == b["props"].get(k) for k in keys) / len(keys)
+    if a["text"] == b["text"]:
+        return 1.0
     ta, tb = _tokens(a), _tokens(b)
     return max(_dice(ta[0], ta[1], tb[0], tb[1]), 0.9 if ta[2] and ta[2] == tb[2] else 0.0)
 
